@@ -22,13 +22,23 @@ def _before(counts: DataFrame, value: str, n: str) -> DataFrame:
     return rows.join(totals, "_bucket").select(value, (F.col("_base") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias("below"), n)
 
 
-def percent_rank_avg(df: DataFrame, value: str, out: str) -> DataFrame:
-    """``df`` with the mean rank of ties over the number of rows."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_ties"))
-    total = counts.agg(F.sum("_ties").alias("_all"))
-    ranks = _before(counts, value, "_ties").crossJoin(F.broadcast(total))
-    ranks = ranks.select(value, ((F.col("below") + (F.col("_ties") + 1) / 2) / F.col("_all")).alias(out))
-    return df.join(ranks, value, "left")
+def percent_rank_avg(df: DataFrame, key: str, *values: str) -> DataFrame:
+    """``key, name, rank``: for each of the columns, the mean rank of ties over the number of rows with a value.
+
+    All columns are ranked together, in one pass over the rows.
+    """
+    listed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in values])
+    rows = df.select(key, F.explode(listed).alias("e")).select(key, "e.name", "e.v").where("v is not null")
+    v = F.col("v")
+    bucket = F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * 64)
+    counts = rows.groupBy("name", "v").agg(F.count("*").alias("n")).withColumn("bucket", bucket)
+    order = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy("name", "bucket").agg(F.sum("n").alias("m"))
+    totals = totals.select("name", "bucket", F.coalesce(F.sum("m").over(order), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy("name")).alias("everyone"))
+    inside = Window.partitionBy("name", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    ranks = counts.join(totals, ["name", "bucket"]).select("name", "v", ((below + (F.col("n") + 1) / 2) / F.col("everyone")).alias("rank"))
+    return rows.join(ranks, ["name", "v"]).select(key, "name", "rank")
 
 
 def ordinal(df: DataFrame, first: str, *then, out: str = "rank") -> DataFrame:

@@ -12,9 +12,13 @@ from ..params import CONTRACTION_SHARE, CYCLE_MONTHS, RENEWAL_NEAR_DAYS
 
 
 def snapshot_date(*columns: tuple[DataFrame, str]) -> DataFrame:
-    """One row: the latest day of all given columns, nulls left out."""
-    days = reduce(DataFrame.crossJoin, [df.agg(F.max(c).alias(f"d{k}")) for k, (df, c) in enumerate(columns)])
-    return days.select((F.greatest(*days.columns) if len(columns) > 1 else F.col("d0")).alias("snapshot_date"))
+    """One row: the latest day of all given columns, nulls left out. Each table is read once."""
+    tables: dict[int, tuple[DataFrame, list[str]]] = {}
+    for df, c in columns:
+        tables.setdefault(id(df), (df, []))[1].append(c)
+    latest = lambda cs: F.greatest(*[F.max(c) for c in cs]) if len(cs) > 1 else F.max(cs[0])
+    days = [df.agg(latest(cs).alias("day")) for df, cs in tables.values()]
+    return reduce(DataFrame.union, days).agg(F.max("day").alias("snapshot_date"))
 
 
 def cycle_months(c: str = "billing_cycle") -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property, reduce
 
 from pyspark import StorageLevel
@@ -19,15 +20,14 @@ class Marts:
     (in memory and on disk) once they are computed; without it every mart is its own plan.
     """
 
-    def __init__(self, customers: DataFrame, subscriptions: DataFrame, usage: DataFrame, payments: DataFrame, shared: bool = False, many: DataFrame | None = None):
+    def __init__(self, customers: DataFrame, subscriptions: DataFrame, usage: DataFrame, payments: DataFrame, shared: bool = False, many: Callable[[], DataFrame] | None = None):
         self.customers, self.subscriptions, self.usage, self.payments, self.shared = customers, subscriptions, usage, payments, shared
-        #: Several subscriptions a customer, for the checks that look for overlaps.
-        self.many = subscriptions if many is None else many
+        self._many = many
 
     @classmethod
     def of_star(cls, spark: SparkSession, folder: str, shared: bool = False) -> Marts:
         s = Star(spark, folder)
-        return cls(s.customers(), s.subscriptions(), s.usage(), s.payments(), shared, s.subscriptions_multi())
+        return cls(s.customers(), s.subscriptions(), s.usage(), s.payments(), shared, s.subscriptions_multi)
 
     @classmethod
     def of_raw(cls, spark: SparkSession, folder: str, form: str = "parquet", shared: bool = True) -> Marts:
@@ -36,6 +36,11 @@ class Marts:
     def _keep(self, df: DataFrame) -> DataFrame:
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self.shared else df
 
+    @cached_property
+    def many(self) -> DataFrame:
+        """Several subscriptions a customer, for the checks that look for overlaps."""
+        return self._many() if self._many else self.subscriptions
+
     @property
     def raw(self) -> dict[str, DataFrame]:
         return {"customers": self.customers, "subscriptions": self.subscriptions, "product_usage": self.usage, "payments": self.payments}
@@ -44,7 +49,7 @@ class Marts:
     def snapshot(self) -> DataFrame:
         s = self.subscriptions
         days = features.snapshot_date((s, "subscription_start_date"), (s, "subscription_end_date"), (self.usage, "usage_date"), (self.payments, "payment_date"))
-        return self._keep(days)
+        return days.persist()  # one row
 
     @cached_property
     def profile_snapshot(self) -> DataFrame:
@@ -55,7 +60,7 @@ class Marts:
 
     @cached_property
     def subscription_snapshot(self) -> DataFrame:
-        return features.snapshot_date((self.subscriptions, "subscription_start_date"), (self.subscriptions, "subscription_end_date"))
+        return features.snapshot_date((self.subscriptions, "subscription_start_date"), (self.subscriptions, "subscription_end_date")).persist()
 
     @cached_property
     def features(self) -> DataFrame:
@@ -143,50 +148,50 @@ class Marts:
         )
 
     @cached_property
-    def validations(self) -> dict[str, DataFrame]:
-        """Each cross-mart check by its key."""
+    def validations(self) -> dict[str, Callable[[], DataFrame]]:
+        """Each cross-mart check by its key; none is planned before it is called."""
         v, f, s = validate, self.features, self.subscriptions
         return {
-            "row_column_sanity": v.row_column_sanity(self.raw),
-            "duplicate_handling": v.duplicate_handling(self.raw),
-            "null_handling": v.null_handling(s),
-            "status_consistency": v.status_consistency(s, self.payments),
-            "impossible_dates": v.impossible_dates(self.customers, s),
-            "impossible_revenue": v.impossible_revenue(s),
-            "overlap_customers": v.overlap_customers(self.many),
-            "usage_outside_period": v.usage_outside_period(self.usage, self.many),
-            "payment_consistency": v.payment_consistency(self.payments, s),
-            "churn_flag_logic": v.churn_flag_logic(f, s),
-            "at_risk_flag_logic": v.at_risk_flag_logic(f, s),
-            "customer_churn_tieout": v.customer_churn_tieout(f, self.segments),
-            "revenue_churn_tieout": v.revenue_churn_tieout(f, drivers.churn_by(f, "segment")),
-            "revenue_at_risk_tieout": v.revenue_at_risk_tieout(f, self.segments),
-            "retention_rate": v.retention_rate(self.cohorts),
-            "trend_metrics": v.trend_metrics(self.trend),
-            "cohort_logic": v.cohort_logic(self.cohorts),
-            "join_inflation": v.join_inflation({"customers": self.customers, "subscriptions": s, "features": f, "risk_scores": self.scores}),
-            "incomplete_periods": v.incomplete_periods(self.trend),
-            "denominators": v.denominators(self.by_dimension),
-            "survivorship": v.survivorship(f, self.scores),
-            "overclaiming": v.overclaiming(self.relations),
-            "conclusions_supported": v.conclusions_supported(self.findings, self.by_dimension, self.relations),
-            "tier_summary_tieout": v.tier_summary_tieout(self.scores, risk.tier_summary(self.scores)),
-            "priority_monotone": v.priority_monotone(self.ranked),
-            "tier_score_monotone": v.tier_score_monotone(self.scores),
-            "action_rules": v.action_rules(self.scores),
-            "financial_tieout": v.financial_tieout(f, self.segment_risk),
-            "score_drift": v.score_drift(self.scores),
-            "kpi_cube_vs_trend": v.kpi_cube_vs_trend(trend.trend_filtered(self.facts), self.trend),
-            "cube_has_all_scope": v.cube_has_all_scope(self.cube, self.accounts),
+            "row_column_sanity": lambda: v.row_column_sanity(self.raw),
+            "duplicate_handling": lambda: v.duplicate_handling(self.raw),
+            "null_handling": lambda: v.null_handling(s),
+            "status_consistency": lambda: v.status_consistency(s, self.payments),
+            "impossible_dates": lambda: v.impossible_dates(self.customers, s),
+            "impossible_revenue": lambda: v.impossible_revenue(s),
+            "overlap_customers": lambda: v.overlap_customers(self.many),
+            "usage_outside_period": lambda: v.usage_outside_period(self.usage, self.many),
+            "payment_consistency": lambda: v.payment_consistency(self.payments, s),
+            "churn_flag_logic": lambda: v.churn_flag_logic(f, s),
+            "at_risk_flag_logic": lambda: v.at_risk_flag_logic(f, s),
+            "customer_churn_tieout": lambda: v.customer_churn_tieout(f, self.segments),
+            "revenue_churn_tieout": lambda: v.revenue_churn_tieout(f, drivers.churn_by(f, "segment")),
+            "revenue_at_risk_tieout": lambda: v.revenue_at_risk_tieout(f, self.segments),
+            "retention_rate": lambda: v.retention_rate(self.cohorts),
+            "trend_metrics": lambda: v.trend_metrics(self.trend),
+            "cohort_logic": lambda: v.cohort_logic(self.cohorts),
+            "join_inflation": lambda: v.join_inflation({"customers": self.customers, "subscriptions": s, "features": f, "risk_scores": self.scores}),
+            "incomplete_periods": lambda: v.incomplete_periods(self.trend),
+            "denominators": lambda: v.denominators(self.by_dimension),
+            "survivorship": lambda: v.survivorship(f, self.scores),
+            "overclaiming": lambda: v.overclaiming(self.relations),
+            "conclusions_supported": lambda: v.conclusions_supported(self.findings, self.by_dimension, self.relations),
+            "tier_summary_tieout": lambda: v.tier_summary_tieout(self.scores, risk.tier_summary(self.scores)),
+            "priority_monotone": lambda: v.priority_monotone(self.ranked),
+            "tier_score_monotone": lambda: v.tier_score_monotone(self.scores),
+            "action_rules": lambda: v.action_rules(self.scores),
+            "financial_tieout": lambda: v.financial_tieout(f, self.segment_risk),
+            "score_drift": lambda: v.score_drift(self.scores),
+            "kpi_cube_vs_trend": lambda: v.kpi_cube_vs_trend(trend.trend_filtered(self.facts), self.trend),
+            "cube_has_all_scope": lambda: v.cube_has_all_scope(self.cube, self.accounts),
         }
 
     @cached_property
     def graded(self) -> DataFrame:
         """All cross-mart checks with severity and gate. The subscriptions' own overlap counts here, not that of ``many``."""
         checks = {**self.validations}
-        checks["overlap_customers"] = validate.overlap_customers(self.subscriptions)
-        checks["usage_outside_period"] = validate.usage_outside_period(self.usage, self.subscriptions)
-        return release.with_severity(reduce(DataFrame.unionByName, checks.values()))
+        checks["overlap_customers"] = lambda: validate.overlap_customers(self.subscriptions)
+        checks["usage_outside_period"] = lambda: validate.usage_outside_period(self.usage, self.subscriptions)
+        return release.with_severity(reduce(DataFrame.unionByName, [check() for check in checks.values()]))
 
     def exports(self) -> dict[str, DataFrame]:
         """The marts that are written, by name."""

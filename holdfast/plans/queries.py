@@ -106,8 +106,8 @@ PLAIN: dict[str, Callable[[Marts], DataFrame]] = {
 #: Queries whose plan reads the features or scores several times; these are kept while it runs.
 SHARED: dict[str, Callable[[Marts], DataFrame]] = {
     "structured_findings": lambda m: m.findings,
-    "percent_rank_avg": lambda m: percent_rank_avg(m.features.where("churn_flag = 0").select("customer_id", "current_mrr"), "current_mrr", "r").select(
-        "customer_id", rnd("r", 8).alias("percent_rank")
+    "percent_rank_avg": lambda m: percent_rank_avg(m.features.where("churn_flag = 0"), "customer_id", "current_mrr").select(
+        "customer_id", rnd("rank", 8).alias("percent_rank")
     ),
     "revenue_risk_score": lambda m: m.scores.select("customer_id", "revenue_risk_score"),
     "retention_priority_score": lambda m: m.scores.select("customer_id", "retention_priority_score"),
@@ -162,7 +162,7 @@ SHARED: dict[str, Callable[[Marts], DataFrame]] = {
     "contract_checks": lambda m: m.contract_checks,
     "contract_issues": lambda m: contracts.issues(contracts.contract_checks("raw_usage", m.usage, contracts.Contract("usage_id", ("usage_id", "channel")))),
     **{
-        f"val_{k}": (lambda m, k=k: m.validations[k])
+        f"val_{k}": (lambda m, k=k: m.validations[k]())
         for k in (
             "row_column_sanity", "duplicate_handling", "null_handling", "status_consistency", "impossible_dates", "impossible_revenue", "overlap_customers",
             "usage_outside_period", "payment_consistency", "churn_flag_logic", "at_risk_flag_logic", "customer_churn_tieout", "revenue_churn_tieout",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,14 +13,21 @@ class Star:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
-        self._read = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+        self._folder, self._tables = folder, {}
+
+    def _read(self, name: str) -> DataFrame:
+        """A table; its files are listed and its schema read once."""
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self._tables[name]
 
     def _orders(self) -> DataFrame:
         return self._read("orders").withColumn("day", F.col("o_orderdate").cast("date"))
 
+    @cached_property
     def last_day(self) -> DataFrame:
-        """One row: the last order day."""
-        return self._orders().agg(F.max("day").alias("last_day"))
+        """One row, kept: the last order day."""
+        return self._orders().agg(F.max("day").alias("last_day")).persist()
 
     def customers(self) -> DataFrame:
         first = self._orders().groupBy("o_custkey").agg(F.min(F.struct("day", "o_orderkey", "o_orderpriority")).alias("f"))
@@ -46,7 +55,7 @@ class Star:
         idle = F.datediff("last_day", "b")
         per_month = (F.col("total").cast("double") / (months(F.col("b")) - months(F.col("a")) + 1)).cast("decimal(38,10)")
         k = F.col("o_custkey")
-        return own.crossJoin(F.broadcast(self.last_day())).select(
+        return own.crossJoin(F.broadcast(self.last_day)).select(
             k.alias("subscription_id"),
             k.alias("customer_id"),
             F.col("a").alias("subscription_start_date"),
@@ -73,7 +82,7 @@ class Star:
         owner = self._read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id"))
         return (
             lines.join(owner, "l_orderkey")
-            .crossJoin(F.broadcast(self.last_day()))
+            .crossJoin(F.broadcast(self.last_day))
             .where("usage_date <= last_day")
             .select(
                 F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("usage_id"),
