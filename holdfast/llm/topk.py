@@ -129,7 +129,8 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
 
     All candidates if there are fewer than k; an id is no candidate for itself. A repeated
     query id is one query (its smallest vector); repeated rows are candidates as often as
-    they occur. Vectors of different lengths are filled up with zeros.
+    they occur. Vectors of different lengths are filled up with zeros. Ranks are exact for
+    all integers; a score beyond the range of a long is shown as its nearest end.
     """
     spark = vectors.sparkSession
     ensure_checkpoint_dir(spark)
@@ -150,7 +151,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
                     [
                         pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)),
                         pa.array(np.concatenate([o[1] for o in out]).astype(np.int64)),
-                        pa.array(np.concatenate([o[2] for o in out]).astype(np.int64)),
+                        pa.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for o in out for s in o[2]], pa.int64()),
                     ],
                     names=["query_id", "vec_id", "score"],
                 )
