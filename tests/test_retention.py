@@ -63,7 +63,7 @@ def test_cohorts(spark, edges):
 
 @pytest.mark.parametrize(
     ("start", "cycle", "want"),
-    [("2024-01-31", "Monthly", "2024-03-31"), ("2024-06-01", "Monthly", "2024-06-01"), (None, "Monthly", None), ("2023-02-29"[:8] + "28", "Annual", "2025-02-28"), ("2024-02-29", "Quarterly", "2024-05-29")],
+    [("2024-01-31", "Monthly", "2024-03-29"), ("2024-06-01", "Monthly", "2024-06-01"), (None, "Monthly", None), ("2023-02-29"[:8] + "28", "Annual", "2025-02-28"), ("2024-02-29", "Quarterly", "2024-05-29")],
 )
 def test_next_renewal(spark, start, cycle, want):
     rows = subs(spark, [(1, start, None, 1, cycle, "active")])
