@@ -18,7 +18,9 @@ QUALITY, METRIC, INTEGRITY, DASHBOARD, GOVERNANCE = "Data Quality", "Metric Corr
 
 def _row(one: DataFrame, category: str, name: str, good: Column, otherwise: str, *figures: str) -> DataFrame:
     """A check row from one row of figures, which are its evidence as ``name=value``."""
-    said = F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in figures])
+    kinds = dict(one.dtypes)
+    value = lambda c: F.col(c).cast("decimal(38,6)") if kinds[c] == "double" else F.col(c)  # noqa: E731  no exponents
+    said = F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), value(c).cast("string")) for c in figures])
     good = F.coalesce(good, F.lit(False))
     return one.select(F.lit(category).alias("category"), F.lit(name).alias("check_name"), F.when(good, "PASS").otherwise(otherwise).alias("status"), said.alias("evidence"))
 

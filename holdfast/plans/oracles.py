@@ -343,8 +343,12 @@ def _contracts(dataset: str, table: str, key: str, missing: list[str] = ()) -> d
 _CON = {ds: _contracts(ds, t, CONTRACTS[ds].primary_key) for ds, t in _DATA.items()}
 
 
+_DOUBLES = {"features_rate", "segment_rate", "features_value", "segment_value", "max_diff", "tier_share_drift", "priority_drift", "max_customer_diff", "max_revenue_diff"}
+
+
 def _val(category: str, name: str, good: str, other: str, figures: dict[str, str]) -> str:
-    said = " || '; ' || ".join(f"'{k}=' || CAST({k} AS VARCHAR)" for k in figures)
+    value = lambda k: f"CAST({k} AS DECIMAL(38,6))" if k in _DOUBLES else k
+    said = " || '; ' || ".join(f"'{k}=' || CAST({value(k)} AS VARCHAR)" for k in figures)
     inner = ", ".join(f"{e} AS {k}" for k, e in figures.items())
     return f"SELECT '{category}' AS category, '{name}' AS check_name, CASE WHEN {good} THEN 'PASS' ELSE '{other}' END AS status, {said} AS evidence FROM (SELECT {inner})"
 
