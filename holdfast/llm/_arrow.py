@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a task works on; bounds the Python workers' memory.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 #: Odd multiplier of the polynomial hashes (mod 2**64) and its inverse.
 _BASE = 0x9E3779B97F4A7C15
@@ -76,7 +76,7 @@ class RangeHash:
     def __init__(self, data: np.ndarray):
         n = len(data) + 1
         if len(RangeHash._up) < n:
-            RangeHash._up, RangeHash._down = powers(_BASE, 2 * n), powers(_INV, 2 * n)
+            RangeHash._up, RangeHash._down = powers(_BASE, n + n // 4), powers(_INV, n + n // 4)
         self.prefix = np.zeros(n, dtype=np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self._up[: n - 1], out=self.prefix[1:])
 

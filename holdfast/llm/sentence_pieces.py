@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from ._arrow import chunks, mix, text_only
 
 #: Bytes of distinct units whose suffixes are sorted at once, and units that a worker remembers.
-BATCH_BYTES, REMEMBERED = 1 << 20, 600_000
+BATCH_BYTES, REMEMBERED = 1 << 19, 400_000
 
 _SPACE = "▁"
 _END = 0xFF  # no byte of UTF-8
@@ -291,7 +291,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
 
     def scan(batches):
         encoder = _encoder(shared)
-        for batch in chunks(batches, limit=2 << 20):
+        for batch in chunks(batches):
             ids, size = encoder.encode(batch.column(1).cast(pa.binary()).to_pylist())
             ends = np.concatenate([[0], np.cumsum(size)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
