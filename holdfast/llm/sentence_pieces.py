@@ -261,18 +261,6 @@ class Encoder:
         return ids, total[cut[1:]] - total[cut[:-1]]
 
 
-_ENCODERS: dict[int, Encoder] = {}
-
-
-def _encoder(shared) -> Encoder:
-    """The encoder of this worker, which goes on through its tasks."""
-    key = shared._jid if hasattr(shared, "_jid") else id(shared)
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(shared.value)
-    return _ENCODERS[key]
-
-
 def decode_ids(out: list[bytes], ids: list[int]) -> str:
     """Text of a list of ids: pieces and bytes joined, less the space put before the text."""
     data = b"".join(map(out.__getitem__, ids))
@@ -290,7 +278,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary())
 
     def scan(batches):
-        encoder = _encoder(shared)
+        encoder = Encoder(shared.value)
         for batch in chunks(batches):
             ids, size = encoder.encode(batch.column(1).cast(pa.binary()).to_pylist())
             ends = np.concatenate([[0], np.cumsum(size)])
