@@ -16,25 +16,37 @@ from ..sources.binding import Star
 class Marts:
     """Marts over one set of raw tables.
 
-    With ``shared`` the customer features and the scores, which most marts read, are kept
-    (in memory and on disk) once they are computed; without it every mart is its own plan.
+    With ``shared`` the marts that others read are kept (in memory and on disk) once they
+    are computed, so that a report over many of them plans and runs each once; without it
+    every mart is its own plan. ``release`` gives the kept ones back.
     """
 
     def __init__(self, customers: DataFrame, subscriptions: DataFrame, usage: DataFrame, payments: DataFrame, shared: bool = False, many: Callable[[], DataFrame] | None = None):
         self.customers, self.subscriptions, self.usage, self.payments, self.shared = customers, subscriptions, usage, payments, shared
         self._many = many
+        self._kept: list[DataFrame] = []
 
     @classmethod
     def of_star(cls, spark: SparkSession, folder: str, shared: bool = False) -> Marts:
         s = Star(spark, folder)
-        return cls(s.customers(), s.subscriptions(), s.usage(), s.payments(), shared, s.subscriptions_multi)
+        customers, subscriptions = s.customers(), s.subscriptions()
+        if shared:
+            customers, subscriptions = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (customers, subscriptions))
+        return cls(customers, subscriptions, s.usage(), s.payments(), shared, s.subscriptions_multi)
 
     @classmethod
     def of_raw(cls, spark: SparkSession, folder: str, form: str = "parquet", shared: bool = True) -> Marts:
         return cls(*[sources.load(spark, folder, n, form) for n in ("customers", "subscriptions", "product_usage", "payments")], shared)
 
     def _keep(self, df: DataFrame) -> DataFrame:
-        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.shared else df
+        if not self.shared:
+            return df
+        self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self._kept[-1]
+
+    def release(self) -> None:
+        while self._kept:
+            self._kept.pop().unpersist()
 
     @cached_property
     def many(self) -> DataFrame:
@@ -68,46 +80,45 @@ class Marts:
 
     @cached_property
     def cohorts(self) -> DataFrame:
-        return cohorts.cohort_retention(self.subscriptions, self.snapshot)
+        return self._keep(cohorts.cohort_retention(self.subscriptions, self.snapshot))
 
     @cached_property
     def segments(self) -> DataFrame:
-        return cohorts.segment_retention(self.features)
+        return self._keep(cohorts.segment_retention(self.features))
 
     @cached_property
     def trend(self) -> DataFrame:
-        return trend.monthly_trend(self.subscriptions, self.subscription_snapshot)
+        return self._keep(trend.monthly_trend(self.subscriptions, self.subscription_snapshot))
 
     @cached_property
     def facts(self) -> DataFrame:
-        return trend.dimensional_trend(self.customers, self.subscriptions, self.subscription_snapshot)
+        return self._keep(trend.dimensional_trend(self.customers, self.subscriptions, self.subscription_snapshot))
 
     @cached_property
     def overall(self) -> DataFrame:
-        return trend.overall_health(self.features, self.subscriptions, self.trend)
+        return self._keep(trend.overall_health(self.features, self.subscriptions, self.trend))
 
     @cached_property
     def by_dimension(self) -> DataFrame:
-        return drivers.churn_by_dimensions(self.features)
+        return self._keep(drivers.churn_by_dimensions(self.features))
 
     @cached_property
     def relations(self) -> DataFrame:
-        return drivers.behavioral_relationships(self.features)
+        return self._keep(drivers.behavioral_relationships(self.features))
 
     @cached_property
     def plays(self) -> DataFrame:
-        return drivers.intervention_priorities(self.features)
+        return self._keep(drivers.intervention_priorities(self.features))
 
     @cached_property
     def segment_risk(self) -> DataFrame:
-        return drivers.segment_revenue_risk(self.features)
+        return self._keep(drivers.segment_revenue_risk(self.features))
 
     @cached_property
     def findings(self) -> DataFrame:
-        return drivers.structured_findings(
-            self.overall, cohorts.cohort_health(self.cohorts), self.by_dimension, self.relations, drivers.revenue_at_risk_summary(self.features),
-            self.segment_risk, drivers.value_tier_churn_mix(self.features), self.plays,
-        )
+        f = self.features
+        health, exposed, tiers = cohorts.cohort_health(self.cohorts), drivers.revenue_at_risk_summary(f), drivers.value_tier_churn_mix(f)
+        return self._keep(drivers.structured_findings(self.overall, health, self.by_dimension, self.relations, exposed, self.segment_risk, tiers, self.plays))
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -115,7 +126,7 @@ class Marts:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return risk.ranked(self.scores)
+        return self._keep(risk.ranked(self.scores))
 
     @cached_property
     def enriched(self) -> DataFrame:
@@ -127,11 +138,11 @@ class Marts:
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return cubes.scored_accounts(self.enriched)
+        return self._keep(cubes.scored_accounts(self.enriched))
 
     @cached_property
     def cube(self) -> DataFrame:
-        return cubes.risk_kpi_cube(self.accounts)
+        return self._keep(cubes.risk_kpi_cube(self.accounts))
 
     @cached_property
     def columns(self) -> DataFrame:
