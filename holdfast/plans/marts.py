@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +13,13 @@ from ..sources import tables as sources
 from ..sources.binding import Star
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    """All rows of equal columns; halves are joined first, so that no part is analysed over and over."""
+    if len(parts) == 1:
+        return parts[0]
+    return _union(parts[: len(parts) // 2]).union(_union(parts[len(parts) // 2 :]))
+
+
 class Marts:
     """Marts over one set of raw tables.
 
@@ -161,7 +168,7 @@ class Marts:
     @cached_property
     def validations(self) -> dict[str, Callable[[], DataFrame]]:
         """Each cross-mart check by its key; none is planned before it is called."""
-        v, f, s = validate, self.features, self.subscriptions
+        v, s = validate, self.subscriptions
         return {
             "row_column_sanity": lambda: v.row_column_sanity(self.raw),
             "duplicate_handling": lambda: v.duplicate_handling(self.raw),
@@ -172,25 +179,25 @@ class Marts:
             "overlap_customers": lambda: v.overlap_customers(self.many),
             "usage_outside_period": lambda: v.usage_outside_period(self.usage, self.many),
             "payment_consistency": lambda: v.payment_consistency(self.payments, s),
-            "churn_flag_logic": lambda: v.churn_flag_logic(f, s),
-            "at_risk_flag_logic": lambda: v.at_risk_flag_logic(f, s),
-            "customer_churn_tieout": lambda: v.customer_churn_tieout(f, self.segments),
-            "revenue_churn_tieout": lambda: v.revenue_churn_tieout(f, drivers.churn_by(f, "segment")),
-            "revenue_at_risk_tieout": lambda: v.revenue_at_risk_tieout(f, self.segments),
+            "churn_flag_logic": lambda: v.churn_flag_logic(self.features, s),
+            "at_risk_flag_logic": lambda: v.at_risk_flag_logic(self.features, s),
+            "customer_churn_tieout": lambda: v.customer_churn_tieout(self.features, self.segments),
+            "revenue_churn_tieout": lambda: v.revenue_churn_tieout(self.features, drivers.churn_by(self.features, "segment")),
+            "revenue_at_risk_tieout": lambda: v.revenue_at_risk_tieout(self.features, self.segments),
             "retention_rate": lambda: v.retention_rate(self.cohorts),
             "trend_metrics": lambda: v.trend_metrics(self.trend),
             "cohort_logic": lambda: v.cohort_logic(self.cohorts),
-            "join_inflation": lambda: v.join_inflation({"customers": self.customers, "subscriptions": s, "features": f, "risk_scores": self.scores}),
+            "join_inflation": lambda: v.join_inflation({"customers": self.customers, "subscriptions": s, "features": self.features, "risk_scores": self.scores}),
             "incomplete_periods": lambda: v.incomplete_periods(self.trend),
             "denominators": lambda: v.denominators(self.by_dimension),
-            "survivorship": lambda: v.survivorship(f, self.scores),
+            "survivorship": lambda: v.survivorship(self.features, self.scores),
             "overclaiming": lambda: v.overclaiming(self.relations),
             "conclusions_supported": lambda: v.conclusions_supported(self.findings, self.by_dimension, self.relations),
             "tier_summary_tieout": lambda: v.tier_summary_tieout(self.scores, risk.tier_summary(self.scores)),
             "priority_monotone": lambda: v.priority_monotone(self.ranked),
             "tier_score_monotone": lambda: v.tier_score_monotone(self.scores),
             "action_rules": lambda: v.action_rules(self.scores),
-            "financial_tieout": lambda: v.financial_tieout(f, self.segment_risk),
+            "financial_tieout": lambda: v.financial_tieout(self.features, self.segment_risk),
             "score_drift": lambda: v.score_drift(self.scores),
             "kpi_cube_vs_trend": lambda: v.kpi_cube_vs_trend(trend.trend_filtered(self.facts), self.trend),
             "cube_has_all_scope": lambda: v.cube_has_all_scope(self.cube, self.accounts),
@@ -202,7 +209,7 @@ class Marts:
         checks = {**self.validations}
         checks["overlap_customers"] = lambda: validate.overlap_customers(self.subscriptions)
         checks["usage_outside_period"] = lambda: validate.usage_outside_period(self.usage, self.subscriptions)
-        return release.with_severity(reduce(DataFrame.unionByName, [check() for check in checks.values()]))
+        return self._keep(release.with_severity(_union([check() for check in checks.values()])))
 
     def exports(self) -> dict[str, DataFrame]:
         """The marts that are written, by name."""
