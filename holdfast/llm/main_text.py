@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ._arrow import chunks
 
-#: Pages that mark their own article which training may use, those of smallest hash.
+#: Pages that mark their own article which training takes, by their hash (about so many, or all if there are fewer).
 TRAIN_PAGES = 2000
 #: Times that each hand-labelled page counts.
 HAND_WEIGHT = 40
@@ -250,7 +250,7 @@ LABELLED = [x.replace("data-y='0'", 'data-y="0"').replace("data-y='1'", 'data-y=
 
 
 def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> Model:
-    """Tables from ``LABELLED`` and from at most ``sample`` pages that mark their article.
+    """Tables from ``LABELLED`` and from some ``sample`` pages, by hash, that mark their article.
 
     What comes to the driver is one row for each kind of emission and label: a fixed number.
     """
@@ -269,7 +269,10 @@ def train(pages: DataFrame, sample: int = TRAIN_PAGES) -> Model:
         )
 
     html = F.col("html").cast("string")
-    few = pages.select(html.alias("html")).where(html.rlike("(?i)<(article|main)")).orderBy(F.xxhash64("html")).limit(sample)
+    marked = pages.where(html.rlike("(?i)<(article|main)"))
+    # of all marked pages, those whose hash falls below the share that makes up the sample
+    share = min(1.0, sample / max(1, marked.count()))
+    few = marked.where(F.pmod(F.xxhash64("page_id", "html"), F.lit(1 << 31)) < int(share * (1 << 31))).select(html.alias("html"))
     counts: Counter = Counter()
     for page in LABELLED * HAND_WEIGHT:
         nodes, _ = parse(page)
