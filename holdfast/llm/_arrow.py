@@ -47,6 +47,7 @@ def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int =
             end = min(end, batch.num_rows)
             yield batch.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()  # workers live on between tasks
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from ._arrow import chunks, mix, text_only
 
 #: Bytes of distinct units whose suffixes are sorted at once, and units that a worker remembers.
-BATCH_BYTES, REMEMBERED = 1 << 19, 400_000
+BATCH_BYTES, REMEMBERED = 1 << 18, 200_000
 
 _SPACE = "▁"
 _END = 0xFF  # no byte of UTF-8
