@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from holdfast.llm import decontaminate, line_dedup, quality, sentence_pieces, simhash
+from holdfast.llm import decontaminate, jaccard, line_dedup, quality, sentence_pieces, simhash
 from holdfast.llm._arrow import ensure_checkpoint_dir, read_table
 
 
@@ -24,7 +24,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, jaccard.SHINGLE, similarity=jaccard.SIMILARITY)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -113,10 +113,10 @@ WORD_BYTE[48:58] = WORD_BYTE[97:123] = True
 WORD_BYTE[128:] = True
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word of lower-cased bytes, and the number of words before each row."""
     inside = np.zeros(len(data) + 2, dtype=bool)
-    inside[1:-1] = WORD_BYTE[data]
+    inside[1:-1] = word_byte[data]
     edge = inside[1:] != inside[:-1]
     at = np.flatnonzero(edge)
     start, end = at[0::2], at[1::2]

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from ._arrow import chunks, ensure_checkpoint_dir, text_only
 
 SHINGLE, DISTANCE = 3, 2
@@ -176,12 +177,53 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DIS
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = jaccard.SHINGLE, distance: int = DISTANCE, similarity: tuple[int, int] = jaccard.SIMILARITY) -> DataFrame:
+    """``doc_id, component_id`` for every row, complete for texts of a Jaccard similarity of ``similarity`` or more.
+
+    Links are those of ``near_duplicates`` with these shingles, and all pairs of similar
+    shingle sets (``jaccard``); both make up the same components. Otherwise as there.
+    """
+    ensure_checkpoint_dir(docs.sparkSession)
+    last = F.lit((1 << 63) - 1)
+
+    def scan(batches):
+        for batch in chunks(batches, limit=1 << 20):
+            hashes = [fingerprint(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            key, _, size = jaccard.shingles(batch.column(1), shingle)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(_majority(hashes).view(np.int64)), pa.array(jaccard.set_ids(key, size))], names=["doc_id", "fp", "set"]
+            )
+
+    rows = text_only(docs, "doc_id").mapInArrow(scan, "doc_id bigint, fp bigint, set bigint").checkpoint()
+    texts = rows.groupBy("fp", "set").agg(F.coalesce(F.min("doc_id"), last).alias("node")).checkpoint()
+    prints, sets = (texts.groupBy(k).agg(F.min("node").alias("lead")).checkpoint() for k in ("fp", "set"))
+
+    def named(pairs: DataFrame) -> DataFrame:
+        ends = (sets.select(F.col("set").alias(k), F.col("lead").alias(f"{k}_lead")) for k in ("a", "b"))
+        return pairs.join(next(ends), "a").join(next(ends), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
+
+    join = jaccard.Join(docs, shingle, similarity)
+    edges = links(prints.select(F.col("lead").alias("node"), "fp"), distance).unionByName(named(join.first()))
+    for k, table in (("fp", prints), ("set", sets)):
+        edges = edges.unionByName(texts.join(table, k).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    found = components(edges)
+    labels = sets.join(found.withColumnRenamed("node", "lead"), "lead", "left").select("set", F.coalesce("component", "lead").alias("component")).checkpoint()
+    more = join.rest(labels)
+    ends = (labels.select(F.col("set").alias(k), F.col("component").alias(f"{k}_part")) for k in ("a", "b"))
+    more = more.join(next(ends), "a").join(next(ends), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
+    merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("component_id"))
+    # all texts of a set are in the component of its first one
+    final = labels.join(merged, "component", "left").select("set", F.coalesce("component_id", "component").alias("component_id"))
+    return rows.join(final, "set").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, similarity: tuple[int, int] | None = None) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: each component's smallest doc_id stays.
 
-    Only the ids of the documents that go are joined; the texts are not shuffled where
-    these are few, and in any case by their own doc_id.
+    With a ``similarity``, components are those of ``near_copies``. Only the ids of the
+    documents that go are joined; the texts are not shuffled where these are few, and in
+    any case by their own doc_id.
     """
-    found = near_duplicates(docs, shingle, distance)
+    found = near_copies(docs, shingle, distance, similarity) if similarity else near_duplicates(docs, shingle, distance)
     gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -366,6 +366,41 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
+def test_near_copies_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(simhash.jaccard, "DENSE", 2)
+    r = random.Random(8)
+    rows = []
+    for _ in range(12):
+        base = [f"w{r.randint(0, 400)}" for _ in range(r.choice([3, 5, 12, 60, 200]))]
+        for _ in range(r.randint(1, 8)):
+            text = list(base)
+            for _ in range(r.randint(0, max(1, len(base) // 40))):
+                text[r.randrange(len(text))] = f"x{r.randint(0, 5)}"
+            rows.append((len(rows), " ".join(text).upper() if r.random() < 0.2 else " ".join(text)))
+    rows += [(k + 1000, t) for k, t in ODD if k not in (5, None)]
+
+    def cut(text):
+        ws = (text or "").lower().split()
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
+
+    sets, prints = {k: cut(t) for k, t in rows}, {k: brute_print(t, 5) for k, t in rows}
+    similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and sets[a]
+    ids = sorted(sets)
+    group = {k: k for k in ids}
+    for _ in ids:
+        for i, a in enumerate(ids):
+            for b in ids[i + 1 :]:
+                if group[a] != group[b] and (similar(a, b) or (prints[a] ^ prints[b]).bit_count() <= 2):
+                    group = {k: min(group[a], group[b]) if v in (group[a], group[b]) else v for k, v in group.items()}
+    far = [(a, b) for a in ids for b in ids if a < b and similar(a, b) and (prints[a] ^ prints[b]).bit_count() > 2]
+    assert len(far) > 5
+    assert {x.doc_id: x.component_id for x in simhash.near_copies(docs(spark, rows)).collect()} == group
+    kept = simhash.keep_one(docs(spark, rows), 5, similarity=(4, 5)).collect()
+    assert {x.doc_id for x in kept} == set(group.values())
+    assert simhash.near_copies(odd(spark, ["set", "component_id"])).count() == len(ODD)
+    assert simhash.near_copies(docs(spark, [])).count() == 0
+
+
 # --- pieces
 
 
