@@ -1,14 +1,15 @@
 """License statements: an exact set-similarity join of text blocks with templates.
 
-A block (a line) matches a template when it holds at least ``threshold`` of the
-template's distinct words. Words are ordered by their frequency over all documents,
-rarest first, and three filters prune pairs without losing one:
+Blocks are all windows of consecutive words twice as long as the template, across line
+breaks. A block matches when it holds at least ``threshold`` of the template's distinct
+words. Words are ordered by their frequency over all documents, rarest first, and three
+filters prune pairs without losing one:
 
 prefix      a matching block shares a word with the first ``n - need + 1`` words of the template;
-length      it has at least ``need`` words;
+length      the words around a shared one that a block can hold are at least ``need``;
 positional  what can still follow the first shared word, in either, makes up ``need``.
 
-What is left is checked by counting. Templates are few and fixed, so their index is
+What is left is checked by counting in a sliding window. Templates are few and fixed, so their index is
 broadcast; the documents are mapped without a shuffle.
 """
 
@@ -81,27 +82,66 @@ class Index:
         self.labels = [label for label, _ in templates]
         self.sets = [sorted({self.rank[w.encode()] for w in t.split()}) for _, t in templates]
         self.need = [math.ceil(threshold * len(s) - 1e-9) for s in self.sets]
+        self.width = [2 * len(t.split()) for _, t in templates]
         self.lists: dict[int, list[tuple[int, int]]] = {}
         for t, s in enumerate(self.sets):
             for i, w in enumerate(s[: len(s) - self.need[t] + 1]):
                 self.lists.setdefault(w, []).append((t, i))
         self.probe = np.sort(hash_bytes([w for w, k in self.rank.items() if k in self.lists]))
 
-    def match(self, block: list[bytes]) -> list[tuple[int, float]]:
-        """(template, containment) of every template that the block holds enough of."""
-        own = sorted({self.rank[w] for w in set(block) if w in self.rank})
-        out, seen = [], set()
-        for j, w in enumerate(own):
-            for t, i in self.lists.get(w, ()):
-                if t in seen:
+    def regions(self, hits: np.ndarray, first: int, end: int) -> list[tuple[int, int]]:
+        """Ranges of words that windows around the hits cover, joined where they meet."""
+        wide = max(self.width)
+        cut = np.flatnonzero(np.diff(hits) >= 2 * wide)
+        lo, hi = hits[np.append(0, cut + 1)], hits[np.append(cut, len(hits) - 1)]
+        return list(zip(np.maximum(first, lo - wide + 1).tolist(), np.minimum(end, hi + wide).tolist(), strict=True))
+
+    def match(self, block: list[bytes], hits: list[int]) -> list[tuple[int, int, int, int]]:
+        """(shared words, template, first word, last word) of matching windows; ``hits`` are the places of words of the lists."""
+        places: dict[int, list[int]] = {}
+        for i in hits:
+            for t, _ in self.lists.get(self.rank.get(block[i], -1), ()):
+                places.setdefault(t, []).append(i)
+        out = []
+        for t, at in places.items():
+            wide, end = self.width[t], -1
+            for n, i in enumerate(at):
+                if n and i - at[n - 1] < wide:
+                    end = min(len(block), i + wide)
                     continue
-                seen.add(t)
-                s, need = self.sets[t], self.need[t]
-                if len(own) < need or 1 + min(len(s) - i - 1, len(own) - j - 1) < need:
-                    continue
-                both = len(set(s) & set(own))
-                if both >= need:
-                    out.append((t, both / len(s)))
+                if n:
+                    out += self._windows(block, t, start, end)
+                start, end = max(0, i - wide + 1), min(len(block), i + wide)
+            out += self._windows(block, t, start, end)
+        return out
+
+    def _windows(self, block: list[bytes], t: int, start: int, end: int) -> list[tuple[int, int, int, int]]:
+        """Matches of one template among some words, the fullest and shortest of those that overlap."""
+        own, need, get = set(self.sets[t]), self.need[t], self.rank.get
+        here = [(i, w) for i in range(start, end) if (w := get(block[i])) in own]
+        mine = sorted({w for _, w in here})
+        if len(mine) < need:
+            return []
+        j, i = mine[0], self.sets[t].index(mine[0])
+        if min(len(self.sets[t]) - i, sum(w >= j for w in mine)) < need:
+            return []
+        many: dict[int, int] = {}
+        found, left = [], 0
+        for k, w in here:
+            many[w] = many.get(w, 0) + 1
+            while k - here[left][0] >= self.width[t] or many[here[left][1]] > 1:
+                v = here[left][1]
+                many[v] -= 1
+                if not many[v]:
+                    del many[v]
+                left += 1
+            if len(many) >= need:
+                found.append((len(many), t, here[left][0], k))
+        found.sort(key=lambda f: (-f[0], f[3] - f[2]))
+        out: list[tuple[int, int, int, int]] = []
+        for f in found:
+            if not any(f[2] <= g[3] and g[2] <= f[3] for g in out):
+                out.append(f)
         return out
 
 
@@ -109,7 +149,7 @@ def license_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     """License labels of every document's whole text.
 
     One row per input row. Null and empty texts have no words and no labels; ``score``
-    is the largest containment of a template in a line, 1 with a base phrase, else 0.
+    is the largest containment of a matching template, 1 with a base phrase, else 0.
     Other columns are not used.
     """
     index = Index(templates, frequencies(docs, sorted({w for _, t in templates for w in t.split()})), threshold)
@@ -145,14 +185,14 @@ def license_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
             at = np.minimum(np.searchsorted(ix.probe, h), len(ix.probe) - 1)
             hits = np.flatnonzero(ix.probe[at] == h)
             if len(hits):
-                cuts = np.union1d(np.flatnonzero(data == 10), offsets)
-                block = np.searchsorted(cuts, start, side="right")
-                for b in np.unique(block[hits]):
-                    i, j = np.searchsorted(block, [b, b + 1])
-                    for t, share in ix.match([data[start[k] : end[k]].tobytes() for k in range(i, j)]):
-                        r = int(row[i])
-                        found.setdefault(r, set()).add(ix.labels[t])
-                        score[r] = max(score[r], share)
+                for r in np.unique(row[hits]):
+                    i, j = before[r], before[r + 1]
+                    mine = hits[np.searchsorted(hits, i) : np.searchsorted(hits, j)]
+                    for a, b in ix.regions(mine, i, j):
+                        said = [data[start[k] : end[k]].tobytes() for k in range(a, b)]
+                        for both, t, _, _ in ix.match(said, (mine[(mine >= a) & (mine < b)] - a).tolist()):
+                            found.setdefault(int(r), set()).add(ix.labels[t])
+                            score[r] = max(score[r], both / len(ix.sets[t]))
             for r in base:
                 score[r] = 1.0
             none = first < 0
@@ -174,7 +214,10 @@ def license_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The same rows as plain DuckDB SQL, with every line held against every template."""
+    """The same rows as plain DuckDB SQL, with every line held against every template.
+
+    It holds for texts whose statements stand on one line each, as written in the templates.
+    """
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     listed = lambda t: "[" + ", ".join(f"'{w}'" for w in t.split()) + "]"
     rows = ", ".join(f"('{label}', {listed(' '.join(sorted(set(t.split()))))})" for label, t in templates)

@@ -220,6 +220,29 @@ def test_licenses_against_counting(spark):
         assert r.labels == ",".join(sorted(found | {x for _, x in places}))
 
 
+def wrapped(text, wide, mark="# "):
+    out = [""]
+    for w in text.split():
+        if len(out[-1]) + len(w) >= wide:
+            out.append("")
+        out[-1] += w + " "
+    return "\n".join(mark + x for x in out)
+
+
+def license_of(spark, texts):
+    got = {r.doc_id: r.labels for r in licenses.license_labels(docs(spark, list(enumerate(texts)))).collect()}
+    return [got[k] for k in range(len(texts))]
+
+
+def test_wrapped_license_statements(spark):
+    texts, want = [], []
+    for wide in (30, 80):
+        for label, t in licenses.TEMPLATES:
+            texts.append("some code = 1\n\n" + wrapped(t.capitalize(), wide) + "\n" + "other words " * 300)
+            want.append(label)
+    assert [label in got.split(",") for got, label in zip(license_of(spark, texts), want, strict=True)] == [True] * len(want)
+
+
 # --- quality
 
 
