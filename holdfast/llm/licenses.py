@@ -9,7 +9,8 @@ prefix      a matching block shares a word with the first ``n - need + 1`` words
 length      the words around a shared one that a block can hold are at least ``need``;
 positional  what can still follow the first shared word, in either, makes up ``need``.
 
-What is left is checked by counting in a sliding window. Templates are few and fixed, so their index is
+What is left is checked by counting in a sliding window, which must hold the words that
+name the license (``NAMES``); of matches that overlap, only the fullest one counts. Templates are few and fixed, so their index is
 broadcast; the documents are mapped without a shuffle.
 """
 
@@ -48,6 +49,11 @@ TEMPLATES = [
     ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("proprietary", "all rights reserved"),
 ]
+# Words that name a license. Of these, a block holds all that the template has.
+NAMES = {
+    "mit": "mit", "apache-2": "apache 2", "cc-by-nc": "cc by nc noncommercial", "cc-by": "attribution", "cc-by-sa": "sharealike",
+    "gpl-3": "gnu 3", "bsd": "redistribution", "mpl-2": "mozilla 2", "proprietary": "all rights reserved",
+}
 
 _SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
 
@@ -83,6 +89,7 @@ class Index:
         self.sets = [sorted({self.rank[w.encode()] for w in t.split()}) for _, t in templates]
         self.need = [math.ceil(threshold * len(s) - 1e-9) for s in self.sets]
         self.width = [2 * len(t.split()) for _, t in templates]
+        self.named = [{self.rank[w.encode()] for w in NAMES.get(label, "").split() if w in t.split()} for label, t in templates]
         self.lists: dict[int, list[tuple[int, int]]] = {}
         for t, s in enumerate(self.sets):
             for i, w in enumerate(s[: len(s) - self.need[t] + 1]):
@@ -97,7 +104,7 @@ class Index:
         return list(zip(np.maximum(first, lo - wide + 1).tolist(), np.minimum(end, hi + wide).tolist(), strict=True))
 
     def match(self, block: list[bytes], hits: list[int]) -> list[tuple[int, int, int, int]]:
-        """(shared words, template, first word, last word) of matching windows; ``hits`` are the places of words of the lists."""
+        """(shared words, template, first word, last word) of the fullest matches; ``hits`` are the places of words of the lists."""
         places: dict[int, list[int]] = {}
         for i in hits:
             for t, _ in self.lists.get(self.rank.get(block[i], -1), ()):
@@ -113,7 +120,12 @@ class Index:
                     out += self._windows(block, t, start, end)
                 start, end = max(0, i - wide + 1), min(len(block), i + wide)
             out += self._windows(block, t, start, end)
-        return out
+        fullest = lambda f: (f[0], f[0] / len(self.sets[f[1]]))
+        kept: list[tuple[int, int, int, int]] = []
+        for f in sorted(out, key=fullest, reverse=True):
+            if not any(f[2] <= g[3] and g[2] <= f[3] and fullest(f) < fullest(g) for g in kept):
+                kept.append(f)
+        return kept
 
     def _windows(self, block: list[bytes], t: int, start: int, end: int) -> list[tuple[int, int, int, int]]:
         """Matches of one template among some words, the fullest and shortest of those that overlap."""
@@ -135,7 +147,7 @@ class Index:
                 if not many[v]:
                     del many[v]
                 left += 1
-            if len(many) >= need:
+            if len(many) >= need and self.named[t] <= many.keys():
                 found.append((len(many), t, here[left][0], k))
         found.sort(key=lambda f: (-f[0], f[3] - f[2]))
         out: list[tuple[int, int, int, int]] = []

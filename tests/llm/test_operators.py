@@ -243,6 +243,17 @@ def test_wrapped_license_statements(spark):
     assert [label in got.split(",") for got, label in zip(license_of(spark, texts), want, strict=True)] == [True] * len(want)
 
 
+def test_license_names_decide(spark):
+    by = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    cases = [
+        ("Released under the BSD License", ""), ("Licensed under the GNU General Public License, version 2.0", ""), ("Licensed under CC BY 4.0", ""),
+        ("Licensed under CC BY-SA 4.0", ""), (by.format(""), "cc-by"), (by.format("-NonCommercial"), "cc-by-nc"), (by.format("-ShareAlike"), "cc-by-sa"),
+        ("all " + "word " * 50 + "rights " + "word " * 50 + "reserved", ""), ("Released under the MIT License. All rights reserved.", "mit,proprietary"),
+        ("Released under the MIT License. Licensed under the Apache License, Version 2.0.", "apache-2,mit"),
+    ]
+    assert license_of(spark, [t for t, _ in cases]) == [label for _, label in cases]
+
+
 # --- quality
 
 
