@@ -41,19 +41,26 @@ _FOLD |= {0xFF01 + k: chr(0x21 + k) for k in range(0x5E)}  # full-width forms
 _FOLD |= {zero + k: chr(0x30 + k) for zero in (0x0660, 0x06F0, 0x0966) for k in range(10)}  # other digits
 _FOLDABLE = re.compile("[" + re.escape("".join(map(chr, _FOLD)) + _INVISIBLE) + "]")
 
-# Spelled digits.
+# Spelled digits of the corpus languages.
 _SPELLED = {
     "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4",
     "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "une": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
-_DIGIT = "(?:" + "|".join(_SPELLED) + r"|[0-9])"
-#: Runs that hold a spelled digit, in groups joined by spaces, hyphens or commas.
+_WORDS = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
+_DIGIT = f"(?:{_WORDS}|[0-9])"
+_DOT_WORD = "dot|point|punkt|punto"
+#: A dot between digits: worded, or in brackets.
+_DOT = rf"[ ]?[\[({{<][ ]?(?:{_DOT_WORD}|\.)[ ]?[\])}}>][ ]?|[ ]?(?:{_DOT_WORD})[ ]?"
+#: Runs of four digits or more, in groups joined by spaces, hyphens, commas or dots in their disguises.
 _RUN = re.compile(
-    rf"(?i)(?<![A-Za-z0-9])(?:(?:plus|\+)[ ]?)?{_DIGIT}(?:(?:[ ,-]{{1,2}}|[ ]?(?:dot|point)[ ]?|\.)?{_DIGIT}){{6,}}(?![A-Za-z])"
+    rf"(?i)(?<![^\W_])(?:(?:plus|más|mas|\+)[ ]?)?{_DIGIT}(?:(?:[ ,-]{{1,2}}|{_DOT}|\.)?{_DIGIT}){{3,}}(?![^\W\d_])"
 )
-_RUN_TOKEN = re.compile(r"(?i)plus|dot|point|" + "|".join(_SPELLED) + r"|[0-9]+|[ ,.+-]")
-_SPELLED_WORD = re.compile("(?i)" + "|".join(_SPELLED))
-
+_RUN_TOKEN = re.compile(rf"(?i)plus|más|mas|({_DOT})|{_WORDS}|[0-9]+|[ ,.+-]")
+_SPELLED_WORD = re.compile(f"(?i){_WORDS}")
+_DOTTED = re.compile(f"(?i){_DOT}")
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
 _MARK_AT = rf"\s?{_OPEN}(?:at|@|arroba){_CLOSE}\s?|\s@\s|\s(?:AT|at)\s"
 _MARK_DOT = rf"\s?{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s?|\s(?:DOT|dot)\s|\s\.\s"
@@ -145,15 +152,23 @@ class Trace:
 
 
 def _spelled(m: re.Match) -> Iterator[tuple[int, int, str]]:
-    if not _SPELLED_WORD.search(m[0]):
+    spelled, dots = _SPELLED_WORD.search(m[0]), len(_DOTTED.findall(m[0]))
+    if not spelled and not dots:
         return
+    edits = []
+    said = list(m[0])
     for t in _RUN_TOKEN.finditer(m[0]):
         word = t[0].lower()
-        new = _SPELLED.get(word) or {"plus": "+", "dot": ".", "point": ".", ".": "."}.get(word)
+        new = "." if t[1] else _SPELLED.get(word) or {"plus": "+", "más": "+", "mas": "+"}.get(word)
         if new is None and word in " ,-":
-            new = ""
+            new = "" if spelled else None
         if new is not None and new != t[0]:
-            yield m.start() + t.start(), m.start() + t.end(), new
+            edits.append((m.start() + t.start(), m.start() + t.end(), new))
+            said[t.start() : t.end()] = [new] + [""] * (t.end() - t.start() - 1)
+    text = "".join(said)
+    # the least that an identifier has: three dots for an address, eight digits else
+    if text.count(".") >= 3 or len(_digits(text)) >= 8:
+        yield from edits
 
 
 def normalise(text: str) -> Trace | None:

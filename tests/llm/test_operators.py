@@ -72,6 +72,21 @@ def test_pii_disguises_map_back(text, kind, said):
     assert set(base) <= set(every)
 
 
+@pytest.mark.parametrize(
+    ("said", "kind"),
+    [
+        ("192[.]168[.]1[.]1", "ip"), ("192(dot)168(dot)1(dot)1", "ip"), ("192 dot 168 dot 1 dot 1", "ip"), ("10.0[.]0.1", "ip"),
+        ("one two seven dot zero dot zero dot one", "ip"), ("eight dot eight dot eight dot eight", "ip"), ("acht punkt acht punkt acht punkt acht", "ip"),
+        ("ocho punto cero punto ocho punto uno", "ip"), ("un point deux point trois point quatre", "ip"),
+        ("plus vier neun drei null eins zwei drei fünf sechs", "phone"), ("plus trois trois un deux six sept huit neuf zéro", "phone"),
+    ],
+)
+def test_pii_dots_and_digit_words(said, kind):
+    _, every = pii.find(f"it is {said}, they say")
+    assert every == [(pii.KINDS.index(kind), 6, 6 + len(said))]
+    assert pii.find("version 3 point 4 of one dot two, one two three four") == ([], [])
+
+
 def test_pii_leaves_prose_alone():
     for text in ("he was at the shop and one of two or three men came", "zero tolerance", "in section 1.2.3 of 4", "look at this . com"):
         assert pii.find(text) == ([], [])
