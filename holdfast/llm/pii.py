@@ -69,7 +69,8 @@ _WRITTEN = re.compile(
     rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:{_MARK_DOT}|\.)[A-Za-z0-9_%+-]+){{0,4}}(?:{_MARK_AT}|@)[A-Za-z0-9-]+(?:(?:{_MARK_DOT}|\.)[A-Za-z0-9-]+){{1,4}}"
 )
 _MARK = re.compile(rf"({_MARK_AT})|({_MARK_DOT})")
-_HINT = re.compile(r"(?i)[\[({<]\s?(?:at|@|arroba|dot|punkt|point|punto|\.)\s?[\])}>]|\sdot\s|\s@\s")
+#: A mark that a plain " at " or " . " in prose is not; each written address needs one of its own.
+_STRONG = re.compile(r"(?i)[\[({<]\s?(?:at|@|arroba|dot|punkt|point|punto|\.)\s?[\])}>]|\sdot\s|\s@\s")
 _NAME_TOP = re.compile(r"\.[A-Za-z]{2,24}\Z")
 
 
@@ -180,14 +181,15 @@ def normalise(text: str) -> Trace | None:
     edits: list[tuple[int, int, str]] = []
     for run in _RUN.finditer(now):
         edits += _spelled(run)
-    if _HINT.search(now):
-        for m in _WRITTEN.finditer(now):
-            marks = [(m.start() + x.start(), m.start() + x.end(), "@" if x[1] else ".") for x in _MARK.finditer(m[0])]
-            if not marks:
-                continue
-            said = _MARK.sub(lambda x: "@" if x[1] else ".", m[0])
-            if said.count("@") == 1 and _NAME_TOP.search(said):
-                edits += marks
+    m = _WRITTEN.search(now) if _STRONG.search(now) else None
+    while m:
+        marks = [(m.start() + x.start(), m.start() + x.end(), "@" if x[1] else ".") for x in _MARK.finditer(m[0])]
+        said = _MARK.sub(lambda x: "@" if x[1] else ".", m[0])
+        if any(_STRONG.search(now, a, b) for a, b, _ in marks) and said.count("@") == 1 and _NAME_TOP.search(said):
+            edits += marks
+            m = _WRITTEN.search(now, m.end())
+        else:  # an address may start within what only looks like one
+            m = _WRITTEN.search(now, marks[0][1] if marks else m.end())
     if edits:
         edits.sort()
         kept, last = [], 0

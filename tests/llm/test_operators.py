@@ -87,6 +87,14 @@ def test_pii_dots_and_digit_words(said, kind):
     assert pii.find("version 3 point 4 of one dot two, one two three four") == ([], [])
 
 
+def test_pii_evidence_is_in_the_match():
+    passage = "look at example.com or joe at example.org"
+    far = passage + " and on. " + "word " * 50
+    assert pii.find(far + "bob [at] mail.example")[1] == [(0, len(far), len(far) + 21)]
+    text = "look at bob.smith [at] mail.com"
+    assert pii.find(text)[1] == [(0, 8, len(text))]
+
+
 def test_pii_leaves_prose_alone():
     for text in ("he was at the shop and one of two or three men came", "zero tolerance", "in section 1.2.3 of 4", "look at this . com"):
         assert pii.find(text) == ([], [])
