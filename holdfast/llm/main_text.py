@@ -30,7 +30,7 @@ HAND_WEIGHT = 40
 
 _ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select|object|button)\b{_ATTRS}>.*?(?:</\1\s*+>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|iframe)(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*+>|\Z)"
     rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRS})>|<[!?/][^>]*+>",
     re.S | re.I,
 )
@@ -44,7 +44,9 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES_P = frozenset(
     "address article aside blockquote body center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul td tr th dt dd".split()
 )
-_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "button": {"button"}, "select": {"select"}}
+#: Elements whose own text is not content, nor is what is below one that is closed.
+_OFF = frozenset("button select option optgroup object noscript template svg".split())
 _STOPS = frozenset("ul ol dl table body article section div".split())
 _PARTS = {
     "nav": "nav", "aside": "aside", "footer": "foot", "header": "head", "form": "form", "article": "article", "main": "article",
@@ -52,6 +54,7 @@ _PARTS = {
     "p": "p", "blockquote": "p", "pre": "p", "h1": "h", "h2": "h", "h3": "h", "h4": "h", "h5": "h", "h6": "h",
     "ul": "list", "ol": "list", "dl": "list", "menu": "nav", "li": "li", "dt": "li", "dd": "li",
     "table": "table", "tbody": "table", "thead": "table", "tr": "table", "td": "cell", "th": "cell", "figure": "figure", "figcaption": "figure",
+    "button": "form", "select": "form", "option": "form", "optgroup": "form", "object": "form", "noscript": "form", "template": "form", "svg": "form",
 }
 _BOILER = re.compile(
     r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscribe|sign-?up|login|search|nav\w*|menus?|breadcrumbs?|sidebar|side|aside|widgets?|related|recommend\w*|share|sharing|social|footer|foot|header|masthead|top-?bar|toolbar|comments?|replies|reply|respond|disqus|copyright|legal|pagination|pager|tags?|complementary|contentinfo|navigation)(?:$|[\s_\d-])"
@@ -79,8 +82,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                 blocks.append((stack[-1], said))
                 nodes[stack[-1]].chars += len(said)
 
-    def pop(k: int) -> None:
+    def pop(k: int, closed: int = -1) -> None:
         flush()
+        ended = {at for at in stack[k:] if nodes[at].tag in _OFF}
+        for n in nodes[min(ended) + 1 :] if ended else ():
+            if closed in ended:
+                n.part, n.hint = "form", "boiler"
+            elif n.parent in ended:  # never closed: what follows isn't below it
+                n.parent = nodes[n.parent].parent
         del stack[k:]
 
     for m in _TOKEN.finditer(page):
@@ -105,13 +114,17 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if m[2]:
             for k in range(len(stack) - 1, 0, -1):
                 if nodes[stack[k]].tag == tag:
-                    pop(k)
+                    pop(k, stack[k])
                     break
             else:
                 flush()
             continue
+        if tag == "svg" and m[4].endswith("/"):
+            continue
         flush()
         links = 0
+        if tag in _CLOSES_P and nodes[stack[-1]].tag == "svg":
+            pop(len(stack) - 1)
         if tag in _CLOSES_P and nodes[stack[-1]].tag == "p":
             pop(len(stack) - 1)
         if tag in _SAME:
@@ -128,12 +141,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         hint = "-"
         if names:
             hint = "boiler" if _BOILER.search(names) else "content" if _CONTENT.search(names) else "-"
+        if tag in _OFF:
+            hint = "boiler"
         said = re.search(r'data-y="([01])"', m[4]) if m[4] else None
         nodes.append(Node(tag, hint, stack[-1], int(said[1]) if said else None))
         stack.append(len(nodes) - 1)
     if last < len(page):
         run.append(page[last:])
-    flush()
+    pop(1)
     return nodes, blocks
 
 

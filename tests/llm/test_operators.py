@@ -150,6 +150,24 @@ def test_odd_pages(spark):
     assert main_text.main_text(pages.where("page_id > 9")).count() == 0
 
 
+def test_elements_without_their_end_keep_the_page():
+    said = lambda page: [t for _, t in main_text.parse(page)[1]]
+    for tag in ('<svg width="1"/>', "<svg>", "<button>", "<object>", "<noscript>", "<template>", "<select>"):
+        assert said(f"<div><p>a</p>{tag}<p>b</p></div><p>c</p>") == ["a", "b", "c"]
+    for tag in ("title-bar", "button-group", "select-box"):
+        assert said(f"<{tag}>x</{tag}><p>a</p>") == ["x", "a"]
+    assert said("<p>a</p><script>if (a < b) '<p>x</p>'") == ["a"]
+    counts = collections.Counter()
+    for page in main_text.LABELLED * main_text.HAND_WEIGHT:
+        nodes, _ = main_text.parse(page)
+        main_text.count(nodes, main_text.labelled(nodes), counts)
+    model = main_text.Model(counts)
+    long = "Long sentences of prose stand in the body of an article, with commas, clauses and a full stop at their end."
+    page = "<body><article><h1>Title</h1><p>{0}</p>{1}<p>{0}</p></article></body>"
+    for extra in ('<svg width="1"/>', "<button>Buy", "<object>", "<button>Buy</button>", f"<noscript><p>{long[:60]}</p></noscript>", "<select><option>One<option>Two</select>"):
+        assert model.text(page.format(long, extra)) == f"Title\n{long}\n{long}", extra
+
+
 # --- decontamination
 
 
