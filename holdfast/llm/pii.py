@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +38,8 @@ _LOOKALIKE = {
 }
 _INVISIBLE = "\u00ad\u200b\u200c\u200d\u2060\ufeff"
 _FOLD = {ord(k): v for k, v in _LOOKALIKE.items()}
-_FOLD |= {0xFF01 + k: chr(0x21 + k) for k in range(0x5E)}  # full-width forms
+# full-width, circled, raised and mathematical forms of ASCII characters
+_FOLD |= {c: s for c in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)) if len(s := unicodedata.normalize("NFKC", chr(c))) == 1 and s.isascii()}
 _FOLD |= {zero + k: chr(0x30 + k) for zero in (0x0660, 0x06F0, 0x0966) for k in range(10)}  # other digits
 _FOLDABLE = re.compile("[" + re.escape("".join(map(chr, _FOLD)) + _INVISIBLE) + "]")
 
@@ -48,8 +50,14 @@ _SPELLED = {
     "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "fuenf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
     "zéro": "0", "un": "1", "une": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+    "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19",
 }
-_WORDS = "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
+# Tens, which a digit may follow, and words that repeat the next digit.
+_TENS = {"twenty": "2", "thirty": "3", "forty": "4", "fourty": "4", "fifty": "5", "sixty": "6", "seventy": "7", "eighty": "8", "ninety": "9"}
+_TIMES = {"double": 2, "triple": 3}
+_UNIT = "one|two|three|four|five|six|seven|eight|nine"
+_COMPOUND = rf"(?:{'|'.join(_TENS)})(?:[ -]?(?:{_UNIT})(?![^\W_]))?|(?:{'|'.join(_TIMES)}) (?:zero|oh|{_UNIT}|[0-9])"
+_WORDS = _COMPOUND + "|" + "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
 _DIGIT = f"(?:{_WORDS}|[0-9])"
 _DOT_WORD = "dot|point|punkt|punto"
 #: A dot between digits: worded, or in brackets.
@@ -62,15 +70,27 @@ _RUN_TOKEN = re.compile(rf"(?i)plus|más|mas|({_DOT})|{_WORDS}|[0-9]+|[ ,.+-]")
 _SPELLED_WORD = re.compile(f"(?i){_WORDS}")
 _DOTTED = re.compile(f"(?i){_DOT}")
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
-_MARK_AT = rf"\s?{_OPEN}(?:at|@|arroba){_CLOSE}\s?|\s@\s|\s(?:AT|at)\s"
+_MARK_AT = rf"\s?{_OPEN}(?:at|@|arroba){_CLOSE}\s?|\s@\s|\s(?:AT|at)(?: the rate(?: of)?)?\s"
 _MARK_DOT = rf"\s?{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s?|\s(?:DOT|dot)\s|\s\.\s"
 #: An address written out with marks; plain dots may stand between labels too, but one mark at least is needed.
 _WRITTEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:(?:{_MARK_DOT}|\.)[A-Za-z0-9_%+-]+){{0,4}}(?:{_MARK_AT}|@)[A-Za-z0-9-]+(?:(?:{_MARK_DOT}|\.)[A-Za-z0-9-]+){{1,4}}"
+    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:{_MARK_DOT}|\.)[A-Za-z0-9_%+-]++){{0,4}}(?:{_MARK_AT}|@)[A-Za-z0-9-]++(?:(?:{_MARK_DOT}|\.)[A-Za-z0-9-]++){{1,4}}"
 )
 _MARK = re.compile(rf"({_MARK_AT})|({_MARK_DOT})")
-#: A mark that a plain " at " or " . " in prose is not; each written address needs one of its own.
-_STRONG = re.compile(r"(?i)[\[({<]\s?(?:at|@|arroba|dot|punkt|point|punto|\.)\s?[\])}>]|\sdot\s|\s@\s")
+#: The same with underscores or hyphens around the words.
+_GLUED = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9.]{1,40}(?:([_-])(?!at\1)[a-z0-9.]{1,40}){0,4}([_-])at\2[a-z0-9]{1,40}(?:\2(?!dot\2)[a-z0-9]{1,40}){0,3}(?:\2dot\2[a-z0-9]{1,40}){1,3}(?![a-z0-9_-])")
+_GLUE = re.compile(r"(?i)([_-])(?:(at)|dot)\1")
+#: A mark that prose doesn't have; an address without one needs a worded dot before a known top level.
+_STRONG = re.compile(r"(?i)[\[({<]\s?(?:at|@|arroba|dot|punkt|point|punto|\.)\s?[\])}>]|\s@\s|\sat the rate")
+_WORDED_DOT = re.compile(r"(?i)\sdot\s")
+_ANY_MARK = re.compile(rf"{_STRONG.pattern}|\sdot\s|[_-]dot[_-]")
+# Common top levels, and words that stand before " at " in prose.
+_TOPS = frozenset(
+    "com net org edu gov mil int info biz name pro mobi io co me us uk de fr es it nl eu ch at ru cn jp in br au ca pl se no dk fi be cz pt gr ie mx ar cl nz za kr tr il hk sg ai tv dev app online site xyz shop tech blog example test".split()
+)
+_NO_LOCAL = frozenset(
+    "a an the i you he she it we they me him her us them that this there here who what and or but not is are was were be been am met meet see saw look looked looking stay stayed arrive arrived stop stopped start started begin began end ended open opens close closed live lived work worked sit sat stand stood point pointed laugh laughed aim good bad best up down out in on off all only even just now then not".split()
+)
 _NAME_TOP = re.compile(r"\.[A-Za-z]{2,24}\Z")
 
 
@@ -102,7 +122,7 @@ def _digits(text: str) -> str:
 def detect(text: str) -> list[tuple[int, int, int]]:
     """Base matches as (kind, start, end): leftmost, non-overlapping per kind."""
     found = [(0, *span) for span in _emails(text)] if "@" in text else []
-    found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+    found += [(1, *m.span()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in m[0].split("."))]
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 16 and 16 <= len(d := _digits(m[0])) <= 19 and luhn(d):
             found.append((2, *m.span()))
@@ -152,6 +172,17 @@ class Trace:
         return (a + start - self.at[i] if plain_a else a), (b + end - self.at[j] if plain_b else b_end)
 
 
+def _number(word: str) -> str | None:
+    """Digits that a spelled number stands for."""
+    if word in _SPELLED:
+        return _SPELLED[word]
+    for tens, digit in _TENS.items():
+        if word.startswith(tens):
+            return digit + (_SPELLED[word[len(tens) :].strip(" -")] if len(word) > len(tens) else "0")
+    times, _, one = word.partition(" ")
+    return _SPELLED.get(one, one) * _TIMES[times] if times in _TIMES else None
+
+
 def _spelled(m: re.Match) -> Iterator[tuple[int, int, str]]:
     spelled, dots = _SPELLED_WORD.search(m[0]), len(_DOTTED.findall(m[0]))
     if not spelled and not dots:
@@ -160,7 +191,7 @@ def _spelled(m: re.Match) -> Iterator[tuple[int, int, str]]:
     said = list(m[0])
     for t in _RUN_TOKEN.finditer(m[0]):
         word = t[0].lower()
-        new = "." if t[1] else _SPELLED.get(word) or {"plus": "+", "más": "+", "mas": "+"}.get(word)
+        new = "." if t[1] else _number(word) or {"plus": "+", "más": "+", "mas": "+"}.get(word)
         if new is None and word in " ,-":
             new = "" if spelled else None
         if new is not None and new != t[0]:
@@ -172,6 +203,28 @@ def _spelled(m: re.Match) -> Iterator[tuple[int, int, str]]:
         yield from edits
 
 
+def _written(now: str) -> Iterator[tuple[int, int, str]]:
+    """Edits that turn written-out addresses into plain ones; each match is judged by itself."""
+    if not _ANY_MARK.search(now):
+        return
+    m = _WRITTEN.search(now)
+    while m:
+        marks = [(m.start() + x.start(), m.start() + x.end(), "@" if x[1] else ".") for x in _MARK.finditer(m[0])]
+        said = _MARK.sub(lambda x: "@" if x[1] else ".", m[0])
+        fits = said.count("@") == 1 and _NAME_TOP.search(said)
+        if fits and not any(_STRONG.search(now, a, b) for a, b, _ in marks):
+            fits = _WORDED_DOT.search(m[0]) and said.rsplit(".", 1)[1].lower() in _TOPS and said.split("@")[0].lower() not in _NO_LOCAL
+        if fits:
+            yield from marks
+            m = _WRITTEN.search(now, m.end())
+        else:  # an address may start within what only looks like one
+            m = _WRITTEN.search(now, marks[0][1] if marks else m.end())
+    for m in _GLUED.finditer(now):
+        marks = [(m.start() + x.start(), m.start() + x.end(), "@" if x[2] else ".") for x in _GLUE.finditer(m[0])]
+        if sum(new == "@" for *_, new in marks) == 1 and now[marks[-1][1] : m.end()].lower() in _TOPS:
+            yield from marks
+
+
 def normalise(text: str) -> Trace | None:
     """The text rewritten by both transducers; None if nothing in it is disguised."""
     trace = None
@@ -181,15 +234,7 @@ def normalise(text: str) -> Trace | None:
     edits: list[tuple[int, int, str]] = []
     for run in _RUN.finditer(now):
         edits += _spelled(run)
-    m = _WRITTEN.search(now) if _STRONG.search(now) else None
-    while m:
-        marks = [(m.start() + x.start(), m.start() + x.end(), "@" if x[1] else ".") for x in _MARK.finditer(m[0])]
-        said = _MARK.sub(lambda x: "@" if x[1] else ".", m[0])
-        if any(_STRONG.search(now, a, b) for a, b, _ in marks) and said.count("@") == 1 and _NAME_TOP.search(said):
-            edits += marks
-            m = _WRITTEN.search(now, m.end())
-        else:  # an address may start within what only looks like one
-            m = _WRITTEN.search(now, marks[0][1] if marks else m.end())
+    edits += _written(now)
     if edits:
         edits.sort()
         kept, last = [], 0
@@ -210,7 +255,8 @@ def find(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, in
     every = set(base)
     for kind, start, end in detect(trace.text):
         a, b = trace.back(start, end)
-        if not any(k == kind and x < b and a < y for k, x, y in base):
+        k = bisect.bisect_left(base, (kind, b, -1)) - 1  # the last base span of its kind that starts before its end
+        if k < 0 or base[k][0] != kind or base[k][2] <= a:
             every.add((kind, a, b))
     return base, sorted(every)
 

@@ -100,6 +100,53 @@ def test_pii_leaves_prose_alone():
         assert pii.find(text) == ([], [])
 
 
+def test_pii_long_numbers_and_texts():
+    zeros = "0" * 10_000 + "1.2.3.4"
+    assert pii.detect(zeros) == [(1, 0, len(zeros))] and pii.detect("0" * 10_000 + ".0.0." + "9" * 5000) == []
+    many = "a@b.cd " * 20_000
+    assert len(pii.find(many + "joe [at] mail.example")[1]) == 20_001
+
+
+@pytest.mark.parametrize(
+    ("said", "kind"),
+    [
+        ("john_at_example_dot_com", "email"), ("john-at-my-site-dot-co-dot-uk", "email"), ("john at the rate example dot com", "email"), ("joe [at] foo (dot) museum", "email"),
+        ("ten dot zero dot zero dot one", "ip"), ("one ninety-two dot one sixty eight dot one dot one", "ip"), ("192 dot 168 dot 0 dot 1", "ip"),
+        ("plus forty-four twenty seven nine four six zero one two", "phone"), ("plus one double five five triple six one two", "phone"), ("𝐣𝐨𝐞@𝐞𝐱𝐚𝐦𝐩𝐥𝐞.com", "email"),
+    ],
+)
+def test_pii_more_disguises(said, kind):
+    assert pii.find(f"it is {said}, they say")[1] == [(pii.KINDS.index(kind), 6, 6 + len(said))]
+
+
+def test_pii_added_spans_precision_and_recall():
+    """Disguised identifiers between sentences of prose with "at", "dot" and spelled numbers: all are found, and nothing else."""
+    r = random.Random(11)
+    prose = ["he met at noon dot com", "see you at home dot the end", "we were at the shop at five", "one of two or three of ten", "look at that dot", "a point of order", "forty-four of them and twenty one", "at page 3 . 4"]
+    digit = "zero one two three four five six seven eight nine".split()
+    word = lambda: "".join(r.choice("bcdfgklmn") + r.choice("aeiou") for _ in range(3))
+
+    def disguised():
+        at, dot = r.choice([(" [at] ", " [dot] "), (" at ", " dot "), ("(at)", "(dot)"), ("_at_", "_dot_"), (" @ ", " . ")])
+        spell = lambda n: " ".join(digit[int(c)] for c in str(n))
+        return r.choice(
+            [
+                (0, f"{word()}{at}{word()}{dot}{r.choice(['com', 'org', 'de'])}"),
+                (1, " dot ".join(spell(r.randint(0, 255)) for _ in range(4))),
+                (3, "plus " + " ".join(r.choice(digit) for _ in range(r.randint(8, 15)))),
+            ]
+        )
+
+    for _ in range(400):
+        text, want = "", []
+        for _ in range(r.randint(1, 4)):
+            text += r.choice(prose) + ". So: "
+            kind, said = disguised()
+            want.append((kind, len(text), len(text) + len(said)))
+            text += said + "; "
+        assert pii.find(text)[1] == sorted(want), text
+
+
 def test_pii_rows(spark):
     got = pii.pii_spans(odd(spark, ["spans", "n_email"])).collect()
     assert len(got) == len(ODD) and all(r.spans == "" for r in got)
