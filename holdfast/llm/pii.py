@@ -42,6 +42,9 @@ _FOLD = {ord(k): v for k, v in _LOOKALIKE.items()}
 _FOLD |= {c: s for c in (*range(0x80, 0xD800), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800)) if len(s := unicodedata.normalize("NFKC", chr(c))) == 1 and s.isascii()}
 _FOLD |= {zero + k: chr(0x30 + k) for zero in (0x0660, 0x06F0, 0x0966) for k in range(10)}  # other digits
 _FOLDABLE = re.compile("[" + re.escape("".join(map(chr, _FOLD)) + _INVISIBLE) + "]")
+#: Whether there is any: two classes, as one that spans planes is searched far more slowly.
+_LOW = re.compile("[" + re.escape("".join(chr(c) for c in _FOLD if c < 0x10000) + _INVISIBLE) + "]")
+_HIGH = re.compile("[\U0001d400-\U0001d7ff]")
 
 # Spelled digits of the corpus languages.
 _SPELLED = {
@@ -68,6 +71,7 @@ _RUN = re.compile(
 )
 _RUN_TOKEN = re.compile(rf"(?i)plus|más|mas|({_DOT})|{_WORDS}|[0-9]+|[ ,.+-]")
 _SPELLED_WORD = re.compile(f"(?i){_WORDS}")
+_PART = re.compile(rf"({_DOT_WORD}|[\[({{<]\.)|(\.)|([0-9])|({'|'.join(_TENS)}|{'|'.join(_TIMES)}|{'|'.join(w for w, d in _SPELLED.items() if len(d) > 1)})|{'|'.join(w for w, d in _SPELLED.items() if len(d) == 1)}")
 _DOTTED = re.compile(f"(?i){_DOT}")
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
 _MARK_AT = rf"\s?{_OPEN}(?:at|@|arroba){_CLOSE}\s?|\s@\s|\s(?:AT|at)(?: the rate(?: of)?)?\s"
@@ -83,7 +87,7 @@ _GLUE = re.compile(r"(?i)([_-])(?:(at)|dot)\1")
 #: A mark that prose doesn't have; an address without one needs a worded dot before a known top level.
 _STRONG = re.compile(r"(?i)[\[({<]\s?(?:at|@|arroba|dot|punkt|point|punto|\.)\s?[\])}>]|\s@\s|\sat the rate")
 _WORDED_DOT = re.compile(r"(?i)\sdot\s")
-_ANY_MARK = re.compile(rf"{_STRONG.pattern}|\sdot\s|[_-]dot[_-]")
+_BRACKETED = re.compile(r"[\[({<]\s?(?:at|@|arroba|dot|punkt|point|punto|\.)")
 # Common top levels, and words that stand before " at " in prose.
 _TOPS = frozenset(
     "com net org edu gov mil int info biz name pro mobi io co me us uk de fr es it nl eu ch at ru cn jp in br au ca pl se no dk fi be cz pt gr ie mx ar cl nz za kr tr il hk sg ai tv dev app online site xyz shop tech blog example test".split()
@@ -183,6 +187,47 @@ def _number(word: str) -> str | None:
     return _SPELLED.get(one, one) * _TIMES[times] if times in _TIMES else None
 
 
+#: How digit words, dots and what repeats a digit begin.
+_HEADS = frozenset(w[:3] for w in (*_SPELLED, *_TENS, *_TIMES, *_DOT_WORD.split("|"), "plus", "más", "mas"))
+_parts: dict[str, tuple[int, int, bool] | None] = {}
+
+
+def _part(token: str) -> tuple[int, int, bool] | None:
+    """Digits and dots that a token may stand for, and whether any is worded; None for a token that ends a run."""
+    bare = token.rstrip(".,;:!?)\"'")
+    if bare.isalpha() and bare[:3] not in _HEADS and bare[:2] not in _HEADS:
+        return None
+    found = _PART.findall(token)
+    if not found:
+        return None if any(map(str.isalpha, token)) else (0, 0, False)
+    digits = sum(0 if dot or point else 1 if digit else 3 if many else 1 for dot, point, digit, many in found)
+    return digits, sum(bool(dot or point) for dot, point, _, _ in found), any(not point and not digit for _, point, digit, _ in found)
+
+
+def _may_spell(low: str) -> bool:
+    """Whether tokens in a row may make up an identifier; far cheaper than looking for runs."""
+    digits = dots = worded = 0
+    if len(_parts) > 100_000:
+        _parts.clear()
+    for token in low.split():
+        if token[:3] not in _HEADS and token.isalpha() and token[:2] not in _HEADS:
+            digits = dots = worded = 0
+            continue
+        try:
+            part = _parts[token]
+        except KeyError:
+            part = _part(token)
+            if len(token) <= 40:
+                _parts[token] = part
+        if part is None:
+            digits = dots = worded = 0
+            continue
+        digits, dots, worded = digits + part[0], dots + part[1], worded or part[2]
+        if worded and (digits >= 8 or dots >= 3 and digits >= 4):
+            return True
+    return False
+
+
 def _spelled(m: re.Match) -> Iterator[tuple[int, int, str]]:
     spelled, dots = _SPELLED_WORD.search(m[0]), len(_DOTTED.findall(m[0]))
     if not spelled and not dots:
@@ -205,8 +250,6 @@ def _spelled(m: re.Match) -> Iterator[tuple[int, int, str]]:
 
 def _written(now: str) -> Iterator[tuple[int, int, str]]:
     """Edits that turn written-out addresses into plain ones; each match is judged by itself."""
-    if not _ANY_MARK.search(now):
-        return
     m = _WRITTEN.search(now)
     while m:
         marks = [(m.start() + x.start(), m.start() + x.end(), "@" if x[1] else ".") for x in _MARK.finditer(m[0])]
@@ -228,13 +271,16 @@ def _written(now: str) -> Iterator[tuple[int, int, str]]:
 def normalise(text: str) -> Trace | None:
     """The text rewritten by both transducers; None if nothing in it is disguised."""
     trace = None
-    if not text.isascii() and _FOLDABLE.search(text):
+    if not text.isascii() and (_LOW.search(text) or _HIGH.search(text)):
         trace = Trace(text).rewrite([(*m.span(), _FOLD.get(ord(m[0]), "")) for m in _FOLDABLE.finditer(text)])
     now = trace.text if trace else text
     edits: list[tuple[int, int, str]] = []
-    for run in _RUN.finditer(now):
-        edits += _spelled(run)
-    edits += _written(now)
+    low = now.lower()
+    if _may_spell(low):
+        for run in _RUN.finditer(now):
+            edits += _spelled(run)
+    if "dot" in low or " @ " in low or "at the rate" in low or _BRACKETED.search(low):
+        edits += _written(now)
     if edits:
         edits.sort()
         kept, last = [], 0
