@@ -10,7 +10,8 @@ positional  what can still follow the first shared shingle, in either, makes up
 
 What is left is checked by counting. Components are wanted, not pairs: each node is
 first held against one node for each of its shingles, and only nodes that are then still in
-different components meet in pairs. Shingles of many nodes are salted over tasks.
+different components meet in pairs. Shingles of many nodes are salted over tasks in both steps;
+copies of a text count once a task before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ from .decontaminate import windows
 SHINGLE, SIMILARITY = 5, (4, 5)
 #: Shares of the shingles' hashes whose occurrences are counted for the global order; any order is exact.
 BUCKETS = 1 << 16
-#: Bits of the sieve that picks the sets to be checked.
+#: Postings of a bucket from which its shingles are salted, if that is also ``SKEW`` times the mean.
+HOT, SKEW = 1 << 14, 2
+#: Bits of the sieve that picks the sets to be checked; it comes to the driver as bitmaps, 128 KB at most.
 SIEVE = 1 << 20
 #: Nodes of a shingle that meet in one task.
 DENSE = 256
@@ -83,34 +86,57 @@ def _occurrences(docs: DataFrame, n: int) -> np.ndarray:
     return out
 
 
-def _postings(docs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
-    """``shingle, set, n, pos`` of every set's prefix, rare shingles first."""
+def _postings(docs: DataFrame, n: int, similarity: tuple[int, int], hot: int) -> DataFrame:
+    """``shingle, salt, set, at`` of every set's prefix, rare shingles first; ``at`` holds the set's size and the place in it.
+
+    ``salt`` is 0 but for shingles of buckets with very many occurrences.
+    """
     p, q = similarity
-    seen = docs.sparkSession.sparkContext.broadcast(_occurrences(docs, n))
+    occurrences = _occurrences(docs, n)
+    salts = np.maximum(1, -(-occurrences // max(hot, SKEW * int(occurrences.mean()))))
+    seen = docs.sparkSession.sparkContext.broadcast((occurrences, salts))
 
     def scan(batches):
+        occurrences, salts = seen.value
+        known: set[int] = set()  # sets of this task, so that a copy is posted once
         for batch in chunks(batches):
             key, row, size = shingles(batch.column(0), n)
             ids = set_ids(key, size)
-            order = np.lexsort((key, seen.value[(key & np.uint64(BUCKETS - 1)).astype(np.int64)], row))
-            key, row = key[order], row[order]
+            if len(known) > 1_000_000:
+                known.clear()
+            new = np.zeros(len(ids), bool)
+            for r, i in enumerate(ids.tolist()):
+                if i not in known:
+                    known.add(i)
+                    new[r] = True
+            some = new[row]
+            key, row = key[some], row[some]
+            size = np.where(new, size, 0)
+            bucket = (key & np.uint64(BUCKETS - 1)).astype(np.int64)
+            order = np.lexsort((key, occurrences[bucket], row))
+            key, row, bucket = key[order], row[order], bucket[order]
             pos = np.arange(len(key)) - (np.cumsum(size) - size)[row]
             first = pos < (size - -(-size * p // q) + 1)[row]
-            key, row, pos = key[first], row[first], pos[first]
+            key, row, pos, bucket = key[first], row[first], pos[first], bucket[first]
+            salt = np.where(salts[bucket] > 1, 1 + np.mod(ids[row] >> 20, salts[bucket]), 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(size[row], pa.int32()), pa.array(pos, pa.int32())],
-                names=["shingle", "set", "n", "pos"],
+                [pa.array(key.view(np.int64)), pa.array(salt, pa.int32()), pa.array(ids[row]), pa.array(size[row].astype(np.int64) << 32 | pos)],
+                names=["shingle", "salt", "set", "at"],
             )
 
-    return text_only(docs).mapInArrow(scan, "shingle bigint, set bigint, n int, pos int")
+    return text_only(docs).mapInArrow(scan, "shingle bigint, salt int, set bigint, at bigint")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, n: int, similarity: tuple[int, int]) -> DataFrame:
     """The pairs (``a, b``) whose sets are similar, by counting."""
     p, q = similarity
     needed = pairs.select(F.explode(F.array("a", "b")).alias("set")).distinct()
+    slot = F.col("set").bitwiseAND(F.lit(SIEVE - 1)) + 1
+    maps = needed.groupBy(F.bitmap_bucket_number(slot).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     sieve = np.zeros(SIEVE, bool)
-    sieve[[r.k for r in needed.select(F.col("set").bitwiseAND(F.lit(SIEVE - 1)).alias("k")).distinct().collect()]] = True
+    for r in maps.collect():
+        bits = np.unpackbits(np.frombuffer(r.bits, np.uint8), bitorder="little")
+        sieve[(r.part - 1) * len(bits) : r.part * len(bits)] = bits
     shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def scan(batches):
@@ -135,32 +161,37 @@ def _pair(a: str, b: str) -> list[Column]:
 def _may(similarity: tuple[int, int], x: str, y: str) -> Column:
     """Whether the length and positional filters leave a pair that shares a shingle of both prefixes."""
     p, q = similarity
-    n, m = F.col(f"{x}n"), F.col(f"{y}n")
-    follow = F.least(n - F.col(f"{x}pos"), m - F.col(f"{y}pos"))
+    n, m = F.shiftright(f"{x}at", 32), F.shiftright(f"{y}at", 32)
+    follow = F.least(n - F.col(f"{x}at").bitwiseAND(F.lit(0xFFFFFFFF)), m - F.col(f"{y}at").bitwiseAND(F.lit(0xFFFFFFFF)))
     return (F.least(n, m) * q >= F.greatest(n, m) * p) & (follow * (p + q) >= (n + m) * p)
 
 
+def _led(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows with the smallest set of their shingle (and salt), and whether it is the only one."""
+    w = Window.partitionBy(*by)
+    return rows.select("*", F.min(F.struct("set", "at")).over(w).alias("lead"), F.max("set").over(w).alias("most")).withColumn("alone", F.expr("lead.set = most")).drop("most")
+
+
 class Join:
     """Links of similar sets in two steps, both exact; ``docs`` are read again by each."""
 
-    def __init__(self, docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, dense: int | None = None):
+    def __init__(self, docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, dense: int | None = None, hot: int | None = None):
         self.docs, self.shingle, self.similarity, self.dense = docs, shingle, similarity, dense or DENSE
-        w = Window.partitionBy("shingle")
-        posted = _postings(docs, shingle, similarity).select("*", F.min(F.struct("set", "n", "pos")).over(w).alias("lead"), F.max("set").over(w).alias("most"))
-        self.met = posted.where("lead.set <> most").drop("most").distinct().checkpoint()
+        posted = _led(_postings(docs, shingle, similarity, hot or HOT), "shingle", "salt")
+        self.met = posted.where("not alone or salt > 0").dropDuplicates(["shingle", "salt", "set"]).checkpoint()
 
     def first(self) -> DataFrame:
-        """Similar pairs of a set and the first one of some shingle of its prefix."""
-        met = self.met.where(F.col("set") != F.col("lead.set")).where(_may(self.similarity, "", "lead."))
-        pairs = met.select(*_pair("set", "lead.set")).distinct().checkpoint()
+        """Similar pairs of a set and the first one of some shingle of its prefix; of a salted shingle, also of its salts' first ones."""
+        leads = _led(self.met.where("salt > 0 and set = lead.set").drop("lead", "alone"), "shingle")
+        met = self.met.where("set <> lead.set").select("set", "at", "lead").unionByName(leads.where("set <> lead.set").select("set", "at", "lead"))
+        pairs = met.where(_may(self.similarity, "", "lead.")).select(*_pair("set", "lead.set")).distinct().checkpoint()
         return _verified(self.docs, pairs, self.shingle, self.similarity)
 
     def rest(self, labels: DataFrame) -> DataFrame:
         """Similar pairs of sets of different components (``set, component``)."""
-        w = Window.partitionBy("shingle")
-        rows = self.met.drop("lead").join(labels, "set")
-        rows = rows.select("*", F.min("component").over(w).alias("lo"), F.max("component").over(w).alias("hi"), F.count("*").over(w).alias("many")).where("lo <> hi")
-        rows = rows.withColumn("salts", F.ceil(F.col("many") / self.dense).cast("int")).drop("lo", "hi", "many").checkpoint()
+        rows = self.met.select("shingle", "set", "at").join(labels, "set")
+        parts = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
+        rows = rows.join(parts.select("shingle", F.ceil(F.col("many") / self.dense).cast("int").alias("salts")), "shingle").checkpoint()
         x = rows.withColumn("salt", F.pmod(F.xxhash64("set"), F.col("salts")).cast("int")).alias("x")
         y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
         met = x.join(
@@ -173,4 +204,3 @@ class Join:
         )
         pairs = met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct().checkpoint()
         return _verified(self.docs, pairs, self.shingle, self.similarity)
-

@@ -100,6 +100,7 @@ class PerfectHash:
         return out
 
 
+_COUNTS = ["__n_lines", "__n_dropped"]
 _SHARD = "shard int, sizes array<int>, bits binary, prints binary, counts binary, keeps binary"
 
 
@@ -171,32 +172,35 @@ def _blocks(table: DataFrame, limit: int):
         yield block
 
 
-def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with shared lines removed from ``text``, and with ``n_lines`` and ``n_dropped``.
+def drop_shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, block_bytes: int = BLOCK_BYTES, counts: bool = True) -> DataFrame:
+    """``docs`` with shared lines removed from ``text``, and with ``n_lines`` and ``n_dropped`` unless ``counts`` is false.
 
     Keys of ``min_chars`` code points or more in ``min_docs`` documents or more (rows; a
     repeated row is another document) lose all their lines except in the largest doc_id
     that holds them. Null and empty texts are one empty line. All other columns stay.
-    Columns called ``n_lines`` or ``n_dropped`` are replaced. A null doc_id counts as smallest.
+    Columns called ``n_lines`` or ``n_dropped`` are replaced by the counts, if these are
+    wanted. A null doc_id counts as smallest. An empty table stays empty.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    docs = docs.drop("n_lines", "n_dropped")
-    schema = docs.schema
+    if counts:
+        docs = docs.drop("n_lines", "n_dropped")
+    names = docs.columns
     lines = frequent_lines(docs, min_chars, min_docs).checkpoint()
     shards = max(1, -(-lines.count() // SHARD_KEYS))
     table = build_shards(lines, shards).checkpoint()
     where, who = docs.columns.index("text"), docs.columns.index("doc_id")
     fill = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    out = docs.withColumns({"text": fill, "n_lines": F.lit(0).cast("bigint"), "n_dropped": F.lit(0).cast("bigint")})
-    first = True
+    out = docs.withColumns({"text": fill, **{c: F.lit(0).cast("bigint") for c in _COUNTS}})
+    shared = None
     for block in list_or_empty(_blocks(table, block_bytes)):
+        first = shared is None
         if not first:
             out = out.checkpoint()
+            shared.destroy()
         shared = spark.sparkContext.broadcast(Probe(block, shards, min_docs))
         out = out.mapInArrow(_pass(shared, where, who, min_chars, first), out.schema)
-        first = False
-    return out.select(*[F.col(c) for c in schema.names], "n_lines", "n_dropped")
+    return out.select(*names, *([F.col(c).alias(c.strip("_")) for c in _COUNTS] if counts else []))
 
 
 def list_or_empty(blocks):

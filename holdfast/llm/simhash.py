@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import jaccard
 from ._arrow import chunks, ensure_checkpoint_dir, text_only
@@ -30,6 +31,9 @@ SHINGLE, DISTANCE = 3, 2
 SEGMENTS = 5
 #: Nodes of a key that are compared with each other; keys with more take the way by neighbours.
 DENSE = 256
+#: Ids of documents to be removed that are broadcast (some 32 MB); more of them are joined by a shuffle.
+FEW = 1_000_000
+_KEY = "near_duplicate_key__"
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
@@ -161,69 +165,124 @@ def components(edges: DataFrame) -> DataFrame:
         before = mark
 
 
+#: Components of texts without any doc_id lie beyond this; they are shown as null.
+_NAMELESS = (1 << 63) - 1 - (1 << 40)
+
+
+def _lead(key: str) -> Column:
+    """The smallest doc_id of a group of equal texts; one of its own, beyond all others, if none has any."""
+    return F.coalesce(F.min("doc_id"), F.lit(_NAMELESS + 1) + F.pmod(F.xxhash64(key), F.lit(1 << 40)))
+
+
+def _shown(component: Column) -> Column:
+    return F.when(component <= _NAMELESS, component).alias("component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """``doc_id, fp, component_id`` for every row.
 
     ``component_id`` is the smallest doc_id that can be reached over fingerprints at most
     ``distance`` bits apart, its own included. Texts without words have fingerprint zero
     and link like others; null text is empty. Repeated rows give repeated result rows,
-    and other columns are not used. A row whose doc_id is null takes part as the largest.
+    and other columns are not used. A row whose doc_id is null takes part in linking; the
+    component is null where no id can be reached.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     fps = fingerprints(docs, shingle).checkpoint()
-    nodes = fps.groupBy("fp").agg(F.coalesce(F.min("doc_id"), F.lit((1 << 63) - 1)).alias("node")).checkpoint()
+    nodes = fps.groupBy("fp").agg(_lead("fp").alias("node")).checkpoint()
     found = components(links(nodes, distance))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    named = nodes.join(found, "node", "left").select("fp", _shown(F.coalesce("component", "node")))
     return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def _set_prints(key: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Fingerprints of sets of shingle hashes; zero for an empty set."""
+    return _majority(np.split(key, np.cumsum(size)[:-1])) if len(size) else np.zeros(0, np.uint64)
+
+
 def near_copies(docs: DataFrame, shingle: int = jaccard.SHINGLE, distance: int = DISTANCE, similarity: tuple[int, int] = jaccard.SIMILARITY) -> DataFrame:
-    """``doc_id, component_id`` for every row, complete for texts of a Jaccard similarity of ``similarity`` or more.
+    """``doc_id, set, component_id`` for every row, complete for texts of a Jaccard similarity of ``similarity`` or more.
 
-    Links are those of ``near_duplicates`` with these shingles, and all pairs of similar
-    shingle sets (``jaccard``); both make up the same components. Otherwise as there.
+    Texts are sets of shingles, and a set's fingerprint the majority of its shingles' hashes.
+    Links are fingerprints at most ``distance`` bits apart, and all pairs of similar
+    sets (``jaccard``); both make up the same components. Otherwise as ``near_duplicates``.
     """
     ensure_checkpoint_dir(docs.sparkSession)
-    last = F.lit((1 << 63) - 1)
 
     def scan(batches):
-        for batch in chunks(batches, limit=1 << 20):
-            hashes = [fingerprint(t, shingle) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+        for batch in chunks(batches, limit=1 << 19):
             key, _, size = jaccard.shingles(batch.column(1), shingle)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(_majority(hashes).view(np.int64)), pa.array(jaccard.set_ids(key, size))], names=["doc_id", "fp", "set"]
+                [batch.column(0), pa.array(jaccard.set_ids(key, size)), pa.array(_set_prints(key, size).view(np.int64))], names=["doc_id", "set", "fp"]
             )
 
-    rows = text_only(docs, "doc_id").mapInArrow(scan, "doc_id bigint, fp bigint, set bigint").checkpoint()
-    texts = rows.groupBy("fp", "set").agg(F.coalesce(F.min("doc_id"), last).alias("node")).checkpoint()
-    prints, sets = (texts.groupBy(k).agg(F.min("node").alias("lead")).checkpoint() for k in ("fp", "set"))
+    rows = text_only(docs, "doc_id").mapInArrow(scan, "doc_id bigint, set bigint, fp bigint").checkpoint()
+    sets = rows.groupBy("set").agg(_lead("set").alias("lead"), F.first("fp").alias("fp")).checkpoint()
+    prints = sets.groupBy("fp").agg(F.min("lead").alias("node")).checkpoint()
 
     def named(pairs: DataFrame) -> DataFrame:
         ends = (sets.select(F.col("set").alias(k), F.col("lead").alias(f"{k}_lead")) for k in ("a", "b"))
         return pairs.join(next(ends), "a").join(next(ends), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
 
     join = jaccard.Join(docs, shingle, similarity)
-    edges = links(prints.select(F.col("lead").alias("node"), "fp"), distance).unionByName(named(join.first()))
-    for k, table in (("fp", prints), ("set", sets)):
-        edges = edges.unionByName(texts.join(table, k).where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    edges = links(prints, distance).unionByName(named(join.first()))
+    edges = edges.unionByName(sets.join(prints, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
     found = components(edges)
     labels = sets.join(found.withColumnRenamed("node", "lead"), "lead", "left").select("set", F.coalesce("component", "lead").alias("component")).checkpoint()
     more = join.rest(labels)
     ends = (labels.select(F.col("set").alias(k), F.col("component").alias(f"{k}_part")) for k in ("a", "b"))
     more = more.join(next(ends), "a").join(next(ends), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
-    merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("component_id"))
-    # all texts of a set are in the component of its first one
-    final = labels.join(merged, "component", "left").select("set", F.coalesce("component_id", "component").alias("component_id"))
-    return rows.join(final, "set").select("doc_id", "component_id")
+    merged = components(more).select(F.col("node").alias("component"), F.col("component").alias("merged"))
+    final = labels.join(merged, "component", "left").select("set", _shown(F.coalesce("merged", "component")))
+    return rows.join(final, "set").select("doc_id", "set", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, similarity: tuple[int, int] | None = None) -> DataFrame:
-    """The rows of ``docs``, all columns, without near-duplicates: each component's smallest doc_id stays.
+    """The rows of ``docs``, all columns, without near-duplicates: one row of each component's smallest doc_id stays.
 
-    With a ``similarity``, components are those of ``near_copies``. Only the ids of the
-    documents that go are joined; the texts are not shuffled where these are few, and in
-    any case by their own doc_id.
+    With a ``similarity``, components are those of ``near_copies``. Rows repeated with one
+    doc_id count as one document: the row of the smallest text stays. A row without a
+    doc_id goes where its component has an id, else it stays. Null and empty texts are
+    near-duplicates of each other; an empty table stays empty.
+
+    Only ids are joined, broadcast while they are at most ``FEW``: the texts are not
+    shuffled then, and else by their own doc_id.
     """
-    found = near_copies(docs, shingle, distance, similarity) if similarity else near_duplicates(docs, shingle, distance)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    found = (near_copies(docs, shingle, distance, similarity) if similarity else near_duplicates(docs, shingle, distance).withColumnRenamed("fp", "set")).checkpoint()
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("many"), F.min("component_id").alias("component_id"))
+    # of an id whose rows are in several components, the row that stays is that of the smallest one
+    moved = ids.where("many > 1 or doc_id <> component_id").select("doc_id", F.expr("many > 1 and doc_id = component_id").alias("again")).checkpoint()
+    few = F.broadcast if moved.count() <= FEW else lambda t: t
+    out = docs.where("doc_id is not null").join(few(moved.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    again = moved.where("again").select("doc_id")
+    if not again.isEmpty():
+        whole = F.struct(*[F.col(c) for c in docs.columns])
+        one = docs.join(few(again), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(whole, F.coalesce("text", F.lit(""))).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    nameless = found.where("doc_id is null and component_id is not null").select("set").distinct()
+    if not nameless.isEmpty():
+        out = out.unionByName(_without(docs.where("doc_id is null"), nameless, shingle, bool(similarity)))
+    else:
+        out = out.unionByName(docs.where("doc_id is null"))
+    return out
+
+
+def _without(docs: DataFrame, gone: DataFrame, shingle: int, sets: bool) -> DataFrame:
+    """Rows whose set (or fingerprint) isn't among some."""
+    names = docs.columns
+    where = names.index("text")
+
+    def scan(batches):
+        import pyarrow.compute as pc
+
+        for batch in chunks(batches):
+            text = pc.fill_null(batch.column(where), "")
+            if sets:
+                key, _, size = jaccard.shingles(text, shingle)
+                ids = jaccard.set_ids(key, size)
+            else:
+                ids = _majority([fingerprint(t, shingle) for t in text.cast(pa.binary()).to_pylist()]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids)], names=[*names, _KEY])
+
+    named = docs.mapInArrow(scan, T.StructType([*docs.schema.fields, T.StructField(_KEY, T.LongType())]))
+    return named.join(gone.withColumnRenamed("set", _KEY), _KEY, "left_anti").select(*names)

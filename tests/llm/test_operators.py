@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -416,6 +417,8 @@ def test_perfect_hash():
 
 def test_odd_lines(spark):
     assert line_dedup.drop_shared_lines(odd(spark)).count() == len(ODD)
+    own = line_dedup.drop_shared_lines(odd(spark, ["n_lines", "n_dropped"]), counts=False)
+    assert {r.n_lines for r in own.collect()} == {"clash"} and own.columns == odd(spark, ["n_lines", "n_dropped"]).columns
     assert line_dedup.drop_shared_lines(docs(spark, [])).count() == 0
 
 
@@ -488,8 +491,11 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_near_copies_against_all_pairs(spark, monkeypatch):
+@pytest.mark.parametrize("hot", [1 << 14, 3])
+def test_near_copies_against_all_pairs(spark, monkeypatch, hot):
     monkeypatch.setattr(simhash.jaccard, "DENSE", 2)
+    monkeypatch.setattr(simhash.jaccard, "HOT", hot)
+    monkeypatch.setattr(simhash.jaccard, "SKEW", 0)
     r = random.Random(8)
     rows = []
     for _ in range(12):
@@ -505,7 +511,11 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
         ws = (text or "").lower().split()
         return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))} if ws else set()
 
-    sets, prints = {k: cut(t) for k, t in rows}, {k: brute_print(t, 5) for k, t in rows}
+    def set_print(text):
+        key, _, _ = simhash.jaccard.shingles(pa.array([text or ""]), 5)
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in key.tolist()) > len(key))
+
+    sets, prints = {k: cut(t) for k, t in rows}, {k: set_print(t) for k, t in rows}
     similar = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) - 1e-9 and sets[a]
     ids = sorted(sets)
     group = {k: k for k in ids}
@@ -519,10 +529,35 @@ def test_near_copies_against_all_pairs(spark, monkeypatch):
     assert {x.doc_id: x.component_id for x in simhash.near_copies(docs(spark, rows)).collect()} == group
     kept = simhash.keep_one(docs(spark, rows), 5, similarity=(4, 5)).collect()
     assert {x.doc_id for x in kept} == set(group.values())
+    if hot == 3:
+        return
     assert simhash.near_copies(odd(spark, ["set", "component_id"])).count() == len(ODD)
     assert simhash.near_copies(docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("similarity", [None, (4, 5)])
+def test_keep_one_edge_cases(spark, similarity):
+    """Repeated rows, rows without an id, nulls, long texts, clashing columns, an empty table."""
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [
+        (5, "a text that stands here three times"), (5, "a text that stands here three times"), (5, "a text that stands here three times"), (9, "a text that stands here three times"),
+        (None, "a text that stands here three times"), (None, "text without any id at all"), (None, "another text without an id at all"), (7, "one more text on its own"),
+        (3, None), (4, ""), (8, long), (6, long + " end"),
+    ]
+    table = docs(spark, rows).withColumns({c: F.lit("clash") for c in ("set", "fp", "component_id", "near_duplicate_key")})
+    kept = simhash.keep_one(table, 5, similarity=similarity)
+    want = [(3, None), (5, rows[0][1]), (6, long + " end"), (7, rows[7][1]), (None, rows[6][1]), (None, rows[5][1])]
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted(want, key=str)
+    assert kept.columns == table.columns
+    assert simhash.keep_one(docs(spark, []), 5, similarity=similarity).count() == 0
+
+
+def test_rows_without_an_id_link_only_their_own(spark):
+    rows = [(5, "first text of its own here"), (None, "first text of its own here"), (9, "second one that differs wholly"), (None, "second one that differs wholly"), (None, "a third, of no id")]
+    for found in (simhash.near_duplicates(docs(spark, rows)), simhash.near_copies(docs(spark, rows))):
+        assert sorted(((x.doc_id, x.component_id) for x in found.collect()), key=str) == sorted([(5, 5), (None, 5), (9, 9), (None, 9), (None, None)], key=str)
+
+
 # --- pieces
 
 
