@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from holdfast.llm import decontaminate, jaccard, line_dedup, quality, sentence_pieces, simhash
-from holdfast.llm._arrow import ensure_checkpoint_dir, read_table
+from holdfast.llm._arrow import ensure_checkpoint_dir, read_table, remove
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +18,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that many share; ``n_chars`` follows the text."""
-    kept = line_dedup.drop_shared_lines(docs)
+    kept = line_dedup.drop_shared_lines(docs, counts=False)
     return kept.select(*[F.length("text").cast("bigint").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
@@ -51,12 +51,19 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; what is between them goes to a folder of its own in the checkpoint directory."""
+    """All stages over ``documents``.
+
+    Each stage is written to a folder of its own in the checkpoint directory and read
+    again; what the next stage has read goes, and the last one's rows stay there for the caller.
+    """
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     place = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
-    docs = read_table(spark, sf_dir, "documents")
+    docs, last = read_table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
-        docs = spark.read.parquet(f"{place}/{k}")
+        if last:
+            remove(spark, last)
+        last = f"{place}/{k}"
+        docs = spark.read.parquet(last)
     return docs
