@@ -262,14 +262,39 @@ def test_tiles_are_greedy():
     r = random.Random(1)
     for _ in range(200):
         a, b = ([r.choice("xyz") for _ in range(r.randint(3, 14))] for _ in range(2))
-        items = decontaminate.Items([1], [" ".join(a)], 3)
-        data = np.frombuffer(" ".join(b).encode(), np.uint8)
-        start, end, _ = _arrow.words(data, np.array([0, len(data)]))
-        h = _arrow.RangeHash(data)(start, end)
-        covered = 0
-        for n, _, _, at, here in items.pairs(h, np.zeros(len(h), np.int64)):
-            covered = decontaminate.tile(decontaminate.runs(at, here, n), len(a), n)[1] if len(at) else 0
-        assert covered == brute(a, b, 3)
+        ids = {w: np.uint64(decontaminate.mix(np.array([k + 1], np.uint64))[0]) for k, w in enumerate("xyz")}
+        x, y = (np.array([ids[w] for w in side], np.uint64) for side in (a, b))
+        assert decontaminate.tile(x, y, 3)[1] == brute(a, b, 3)
+        own = decontaminate.windows(x, 3)
+        assert decontaminate.tile(x, decontaminate._met(y, decontaminate.windows(y, 3), own, 3), 3)[1] == brute(a, b, 3)
+
+
+def test_repeated_words_and_shared_stems():
+    """Work and memory stay with the words, not with the pairs of their places."""
+    import tracemalloc
+
+    stem = "which of the following statements about the matter is true "
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = ["same " * 20_000] + [stem + " ".join(word() for _ in range(20)) for _ in range(10_000)]
+    items = decontaminate.Items(list(range(len(texts))), texts, 5)
+    asked = ["same " * 20_000, stem + " ".join(word() for _ in range(400)), "x " + texts[77] + " y", "same " * 12_001, "same " * 11_999]
+    tracemalloc.start()
+    got = decontaminate._leaks(items, pa.array(asked), 0.6)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert [(row, item, covered) for row, item, _, covered, _ in got] == [(0, 0, 20_000), (2, 77, 30), (3, 0, 12_001)]
+    stems = decontaminate.Items(list(range(50)), [stem + f"w{k}" for k in range(50)], 5)
+    assert len(decontaminate._leaks(stems, pa.array([stem]), 0.6)) == 50  # a stem that is most of its items counts
+
+
+def test_drop_leaks_edge_cases(spark):
+    bench = spark.createDataFrame([(1, " ".join(f"w{k}" for k in range(30))), (None, "same text here"), (2, None)], "item_id long, text string")
+    rows = [(1, "so w0 w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12 w13 w14 w15 w16 w17 w18"), (1, "w0 w1 w2 w3 w4 w5"), *ODD]
+    table = docs(spark, rows).withColumns({c: F.lit("clash") for c in ("item_id", "coverage", "n_tiles")})
+    kept = decontaminate.drop_leaks(table, bench)
+    assert collections.Counter((x.doc_id, x.text) for x in kept.collect()) == collections.Counter(rows[1:]) and kept.columns == table.columns
+    assert decontaminate.drop_leaks(docs(spark, []), bench).count() == 0
 
 
 # --- language
