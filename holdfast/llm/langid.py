@@ -1,8 +1,8 @@
 """Language of a text by multinomial naive Bayes over hashed character n-grams.
 
 The counts of every (language, bucket) are summed by Spark over all training documents;
-the log-probability matrix, languages x buckets, is broadcast, and each batch is scored
-as a sparse product in numpy.
+the log-probability matrix, languages x buckets, is broadcast by its seen entries, and each
+batch is scored as a sparse product in numpy, some languages at a time.
 """
 
 from __future__ import annotations
@@ -16,13 +16,14 @@ from ._arrow import chunks, utf8
 
 #: Buckets of the hash; a power of two.
 BUCKETS = 1 << 14
-#: Bytes that the broadcast matrix may have; more languages get fewer buckets.
-MATRIX_BYTES = 16 << 20
+#: Languages that are scored at once; of the matrix, so many rows are laid out in full.
+WIDE = 128
 ORDERS = (1, 2, 3)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+    """Rows that are not learned from; those without a doc_id are among them."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,21 +83,43 @@ def _letters(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Model:
-    def __init__(self, langs: list[str], matrix: np.ndarray, prior: np.ndarray):
-        self.langs, self.matrix, self.prior = langs, matrix, prior
-
-    def scores(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Mean log-probability of each row's n-grams by language, and their number.
-
-        The rows' bucket counts are one sparse matrix, times the log-probabilities.
-        """
-        n, k = len(offsets) - 1, len(self.langs)
-        where, who = grams(data, offsets, self.matrix.shape[1])
-        count = np.bincount(who, minlength=n)
-        out = np.empty((n, k))
-        for j in range(k):
-            out[:, j] = np.bincount(who, weights=self.matrix[j][where], minlength=n)
-        return out, count
+    """Log-probabilities of languages: one for each seen bucket, and one of each language for all others."""
+
+    def __init__(self, langs: list[str], seen: list[tuple[np.ndarray, np.ndarray]], docs: list[float], buckets: int):
+        self.langs, self.buckets = langs, buckets
+        total = [n.sum() + 0.5 * buckets for _, n in seen]
+        self.other = np.log([0.5 / t for t in total])
+        self.at = [at.astype(np.int32) for at, _ in seen]
+        self.logs = [np.log((n + 0.5) / t) for (_, n), t in zip(seen, total, strict=True)]
+        self.prior = np.log(np.array(docs) / sum(docs)) if langs else np.zeros(0)
+        self._first: np.ndarray | None = None
+
+    def _matrix(self, a: int) -> np.ndarray:
+        if a == 0 and self._first is not None:
+            return self._first
+        m = np.repeat(self.other[a : a + WIDE, None], self.buckets, axis=1)
+        for row, at, logs in zip(m, self.at[a : a + WIDE], self.logs[a : a + WIDE], strict=False):
+            row[at] = logs
+        if a == 0:
+            self._first = m
+        return m
+
+    def classify(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each row's best language, its posterior, and the number of n-grams; the first one of equals."""
+        n = len(offsets) - 1
+        where, who = grams(data, offsets, self.buckets)
+        best, index, total = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n)
+        for a in range(0, len(self.langs), WIDE):
+            m = self._matrix(a)
+            out = np.empty((n, len(m)))
+            for j, row in enumerate(m):
+                out[:, j] = np.bincount(who, weights=row[where], minlength=n) + self.prior[a + j]
+            top = out.max(1)
+            index[top > best] = a + out.argmax(1)[top > best]
+            high = np.maximum(best, top)
+            total = total * np.exp(best - high) + np.exp(out - high[:, None]).sum(1)
+            best = high
+        return index, 1 / np.maximum(total, 1.0), np.bincount(who, minlength=n)
 
 
 def train(docs: DataFrame, buckets: int = BUCKETS) -> Model:
@@ -124,21 +147,13 @@ def train(docs: DataFrame, buckets: int = BUCKETS) -> Model:
 
     sums = rows.mapInArrow(scan, "lang string, bucket int, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     per = sums.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).orderBy("lang")
-    langs, lines, prior = [], [], []
+    langs, seen, prior = [], [], []
     for r in per.toLocalIterator():  # a row of at most `buckets` counts for each language
-        line = np.zeros(buckets)
         at, n = np.array(r.bucket), np.array(r.n, float)
-        line[at[at >= 0]] = n[at >= 0]
         langs.append(r.lang)
-        lines.append(line)
+        seen.append((at[at >= 0], n[at >= 0]))
         prior.append(n[at < 0].sum())
-    if not langs:
-        return Model([], np.zeros((0, buckets)), np.zeros(0))
-    while len(langs) * buckets * 8 > MATRIX_BYTES and buckets > 256:
-        buckets //= 2
-        lines = [x[:buckets] + x[buckets:] for x in lines]
-    m = np.array(lines) + 0.5
-    return Model(langs, np.log(m / m.sum(1, keepdims=True)), np.log(np.array(prior) / sum(prior)))
+    return Model(langs, seen, prior, buckets)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -148,20 +163,15 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     The score is the posterior of the language, one row per input row; other columns are
     not used. A map over partitions: no shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.matrix, model.prior))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scan(batches):
-        m = Model(*shared.value)
+        m = shared.value
         names = np.array([*m.langs, "und"], dtype=object)
         for batch in chunks(batches, limit=1 << 20):
-            log_p, n = m.scores(*utf8(batch.column(1)))
-            if len(m.langs):
-                log_p += m.prior
-                best = log_p.argmax(1)
-                share = 1 / np.exp(log_p - log_p.max(1, keepdims=True)).sum(1)
-            else:
-                best, share = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows)
-            best[n == 0], share[n == 0] = len(m.langs), 0.0
+            best, share, n = m.classify(*utf8(batch.column(1)))
+            none = (n == 0) | (len(m.langs) == 0)
+            best[none], share[none] = len(m.langs), 0.0
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(names[best], pa.string()), pa.array(share, pa.float64())], names=["doc_id", "lang_pred", "score"]
             )

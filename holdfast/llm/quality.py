@@ -18,6 +18,8 @@ from ._arrow import LOWER, RangeHash, chunks, ensure_checkpoint_dir, text_only,
 
 #: Score at which a document counts as good.
 ACCEPT = 0.3
+#: Labelled documents that are learned from, by their hash (about so many, or all if there are fewer).
+TRAIN_DOCS = 200_000
 #: Weight of the pooled covariance, of its diagonal, and the scale of the log-density difference.
 POOL, DIAGONAL, TEMPER = 0.7, 0.1, 1.0
 
@@ -82,7 +84,8 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    """Rows that are not learned from; those without a doc_id are among them."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
 def features(docs: DataFrame) -> DataFrame:
@@ -123,15 +126,21 @@ class Model:
         return 1 / (1 + np.exp(np.clip(-(TEMPER * (logs[1] - logs[0]) + self.prior), -500, 500)))
 
 
+def known(labels: DataFrame, sample: int = TRAIN_DOCS) -> DataFrame:
+    """``doc_id, quality`` that are learned from: labels of 0 or 1, not held out, some ``sample`` of them by hash; small enough to broadcast."""
+    rows = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").where(~held_out())
+    share = min(1.0, sample / max(1, rows.count()))
+    return F.broadcast(rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int(share * (1 << 31))))
+
+
 def train(rows: DataFrame, labels: DataFrame) -> Model:
-    """From features and labels of quality 0 or 1; other labels and held-out rows are left out.
+    """From features and what is ``known`` of their documents.
 
     The classes' counts, sums and products are added up by Spark; a fixed number of them
     comes to the driver. Repeated labels of a document count as often as they occur.
     With fewer than two rows of a class every score is 0.5.
     """
     d = len(FEATURES)
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").where(~held_out())
 
     def scan(batches):
         sums = np.zeros((2, 1 + d + d * d))
@@ -145,7 +154,7 @@ def train(rows: DataFrame, labels: DataFrame) -> Model:
         at = np.arange(sums.size)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(sums.ravel())], names=["at", "v"])
 
-    joined = rows.join(known, "doc_id").select("x", "quality")
+    joined = rows.join(labels, "doc_id").select("x", "quality")
     sums = np.zeros(2 * (1 + d + d * d))
     for r in joined.mapInArrow(scan, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
         sums[r["at"]] = r["v"]
@@ -157,10 +166,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Columns ``doc_id, held_out, score, predicted`` for every row of ``docs``.
 
     Texts are read once: their statistics are checkpointed, then learned from and scored.
+    Null texts are scored as empty ones, repeated rows alike; a row without a doc_id is
+    held out. Other columns are not used; an empty table gives no rows.
     """
     ensure_checkpoint_dir(docs.sparkSession)
     rows = features(docs).checkpoint()
-    model = train(rows, labels)
+    model = train(rows, known(labels))
 
     def scan(batches):
         for batch in batches:
@@ -173,17 +184,20 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches ``accept``; texts aren't shuffled."""
-    model = train(features(docs), labels)
+    """The rows of ``docs``, all columns, whose score reaches ``accept``; texts aren't shuffled.
+
+    Only labelled texts are learned from; each row is then judged by its text alone: null
+    texts as empty ones, repeated rows alike, rows without a doc_id too. An empty table
+    stays empty.
+    """
+    labels = known(labels)
+    model = train(features(docs.join(labels.select("doc_id"), "doc_id", "left_semi")), labels)
     where = docs.columns.index("text")
 
     def scan(batches):
-        for batch in chunks(batches):
-            text = batch.column(where)
-            if text.null_count:
-                text = pa.compute.fill_null(text, "")
-            yield batch.filter(pa.array(model.score(statistics(*utf8(text))) >= accept))
+        import pyarrow.compute as pc
 
-    import pyarrow.compute  # noqa: F401
+        for batch in chunks(batches):
+            yield batch.filter(pa.array(model.score(statistics(*utf8(pc.fill_null(batch.column(where), "")))) >= accept))
 
     return docs.mapInArrow(scan, docs.schema)

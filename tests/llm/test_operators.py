@@ -313,6 +313,55 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(odd(spark), none).collect()} == {"und"}
 
 
+def test_language_against_plain_counting(spark, monkeypatch):
+    """Counts, log-probabilities and posteriors in plain Python, with languages scored two at a time."""
+    monkeypatch.setattr(langid, "WIDE", 2)
+    r = random.Random(4)
+    words_of = {x: ["".join(r.choice("abcdeéßøñ" if x != "zz" else "xyzXÄ𝔘") for _ in range(r.randint(1, 6))) for _ in range(30)] for x in ("aa", "bb", "cc", "dd", "zz")}
+    rows = [(k, " ".join(r.choices(words_of[x], k=r.randint(1, 12))) + r.choice(["", "!", " 12, a"]), x) for k in range(80) for x in [r.choice(list(words_of))]]
+    rows += [(200, "no language", None), (201, None, "aa"), (202, "", "bb"), (203, "a" * 20_000, "cc"), (None, "dd ee", "dd"), (3, rows[3][1], rows[3][2])]
+
+    def buckets(text):
+        codes = [0 if not c.isalpha() else ord(c.lower()[0]) if ord(c) <= 0xFFFF else ord(c) for c in text]
+        codes = [c for i, c in enumerate(codes) if c or i == 0 or codes[i - 1]]
+        out = []
+        for n in (1, 2, 3):
+            for i in range(len(codes) - n + 1):
+                if n == 1 and not codes[i]:
+                    continue
+                h = 0
+                for c in codes[i : i + n]:
+                    h = (h * 0x01000193 & 0xFFFFFFFF) ^ c
+                h = (h * 0x9E3779B1 + (n * 0x85EBCA6B & 0xFFFFFFFF)) & 0xFFFFFFFF
+                out.append((h ^ h >> 15) & (langid.BUCKETS - 1))
+        return out
+
+    held = lambda k: k is None or zlib.crc32(str(k).encode()) % 4 == 2
+    counts, number = collections.defaultdict(collections.Counter), collections.Counter()
+    for k, text, x in rows:
+        if not held(k) and x is not None and text is not None:
+            counts[x].update(buckets(text))
+            number[x] += 1
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = collections.defaultdict(list)
+    for x in langid.predict(table, langid.train(table.where(~langid.held_out()))).collect():
+        got[x.doc_id].append(x)
+    for k, text, _ in rows:
+        seen = buckets(text or "")
+        if not any(c.isalpha() for c in text or ""):
+            assert got[k][0].lang_pred == "und" and got[k][0].score == 0.0
+            continue
+        logs = {}
+        for x in sorted(counts):
+            total = sum(counts[x].values()) + 0.5 * langid.BUCKETS
+            logs[x] = math.log(number[x] / sum(number.values())) + sum(math.log((counts[x][b] + 0.5) / total) for b in seen)
+        best = max(sorted(logs), key=logs.get)
+        share = 1 / sum(math.exp(v - logs[best]) for v in logs.values())
+        for x in got[k]:
+            assert x.score == pytest.approx(share) and (x.lang_pred == best or share < 0.5001)
+    assert table.where("doc_id is null").select(langid.held_out().alias("h")).first().h is True
+
+
 # --- licenses
 
 
@@ -387,6 +436,64 @@ def test_quality(spark):
     assert quality.quality_scores(docs(spark, []), labels).count() == 0
 
 
+def test_quality_against_plain_densities(spark):
+    """Class moments, shrinkage and log-densities by their formulas, over the operator's own statistics; held-out and null ids aren't learned from."""
+    r = random.Random(3)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    rows = [(k, " ".join(word(r.randint(2, 9 if k % 3 else 3)) for _ in range(r.randint(5, 60))) + "!" * (k % 4)) for k in range(120)] + [(None, "no id"), (7, "again"), (500, None)]
+    marks = [(k, int(k % 3 > 0), 0) for k in range(100)] + [(None, 1, 0), (5, 1, 1), (501, 0, 0), (6, None, 0), (8, 7, 0)]
+    table = docs(spark, rows).withColumns({c: F.lit("clash") for c in ("quality", "x", "score")})
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int").withColumn("text", F.lit("clash"))
+    scores = quality.quality_scores(table, labels).collect()
+    x = {}
+    for f in quality.features(docs(spark, rows)).collect():
+        x.setdefault(f.doc_id, []).append(np.array(f.x))
+    own = {0: [], 1: []}
+    for k, y, _ in marks:
+        if k is not None and y in (0, 1) and zlib.crc32(str(k).encode()) % 5:
+            own[y] += x.get(k, [])
+    scatter = {y: (np.array(v) - np.mean(v, 0)).T @ (np.array(v) - np.mean(v, 0)) for y, v in own.items()}
+    pooled = (scatter[0] + scatter[1]) / (len(own[0]) + len(own[1]) - 2)
+
+    def log_density(v, y):
+        c = (1 - quality.POOL) * scatter[y] / (len(own[y]) - 1) + quality.POOL * pooled
+        c = (1 - quality.DIAGONAL) * c + quality.DIAGONAL * np.diag(np.diag(c)) + 1e-5 * np.eye(len(c))
+        e = v - np.mean(own[y], 0)
+        return math.log(len(own[y])) - 0.5 * (e @ np.linalg.solve(c, e) + np.linalg.slogdet(c)[1])
+
+    want = sorted(1 / (1 + math.exp(min(500, log_density(v, 0) - log_density(v, 1)))) for vs in x.values() for v in vs)
+    assert sorted(s.score for s in scores) == pytest.approx(want, abs=1e-6)
+    assert all(s.held_out == (s.doc_id is None or zlib.crc32(str(s.doc_id).encode()) % 5 == 0) and s.predicted == int(s.score >= 0.3) for s in scores)
+    kept = quality.keep_good(table, labels)
+    by = {(s.doc_id, round(s.score, 9)): s.predicted for s in scores}
+    assert kept.count() == sum(s.predicted for s in scores) and len(by) >= len(rows) - 1 and kept.columns == table.columns
+
+
+def test_statistics_of_a_text():
+    text = "Ab, ab AB 12!\nshort\nshort\n" + "long words everywhere " * 3
+    f = dict(zip(quality.FEATURES, quality.statistics(*_arrow.utf8(pa.array([text, "", "é"])))[0], strict=True))
+    words = re.findall(r"[0-9a-z]+", text.lower())
+    size = len(text)
+    assert f["upper"] ** 2 == pytest.approx(3 / size) and f["digit"] ** 2 == pytest.approx(2 / size) and f["newline"] ** 2 == pytest.approx(3 / size)
+    assert f["log_words"] == pytest.approx(math.log1p(len(words))) and f["distinct"] == pytest.approx(len(set(words)) / len(words))
+    triples = list(zip(words, words[1:], words[2:], strict=False))
+    assert f["distinct_triples"] == pytest.approx(len(set(triples)) / len(triples))
+    lines = text.split("\n")
+    assert f["repeated_lines"] ** 2 == pytest.approx(1 - len(set(lines)) / len(lines)) and f["short_lines"] ** 2 == pytest.approx(sum(len(x) < 30 for x in lines) / len(lines))
+
+
+def test_keep_good_edge_cases(spark):
+    r = random.Random(7)
+    rows = [(k, " ".join(r.choice(["lorem", "ipsum", "dolor", "sit"]) for _ in range(50)) if k % 2 else "!!! BUY $$$ " * 9) for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(200)], "doc_id long, quality int, toxic int")
+    extra = [(900, None), (901, ""), (902, rows[1][1] * 500), (None, rows[1][1]), (903, rows[3][1]), (903, rows[3][1]), (904, rows[0][1])]
+    kept = quality.keep_good(docs(spark, rows + extra).withColumn("quality", F.lit("clash")), labels)
+    got = collections.Counter(x.doc_id for x in kept.collect())
+    assert got[None] == 1 and got[903] == 2 and got[904] == 0 and all(got[k] == k % 2 for k in range(200)) and got[900] == got[901]
+    assert quality.keep_good(docs(spark, []), labels).count() == 0
+    assert quality.keep_good(docs(spark, rows), labels.where("false")).count() == len(rows)
+
+
 # --- search
 
 
