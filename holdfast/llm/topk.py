@@ -1,19 +1,22 @@
 """Exact top-k inner-product search with block-at-a-time pruning.
 
-Vectors become integers, floor(64 * x). Rows are packed into groups, ordered in each so
-that rows with the same leading component stand together, and cut into blocks. A block
-keeps each component's largest and smallest value; a query's bound for the block is the
-sum over components of the larger product. Blocks are taken by falling bound and scored
-through their rows until the next bound is below the k-th score; equal bounds are still
-taken, as ties go to the smaller id.
-
-The query set meets all rows in blocks: packs of queries, copied to each share of the
-groups, join the groups by share. Each pair of pack and group returns k rows a query at
-most, and the last step keeps the k best of these.
+Vectors become integers, floor(64 * x), kept as narrow as they fit. Rows are dealt to shares
+by the nearest of some centres (of a bounded sample), equally, and packed into groups; in
+a group rows of one centre stand together and are cut into small blocks. A block keeps each
+component's largest and smallest value; a query's bound for the block is the sum over
+components of the larger product. Blocks are taken by falling bound and scored through their
+rows until the next bound is below the k-th score; equal bounds are still taken, as ties go to
+the smaller id. Where most blocks of a group are above it, all are scored at once.
+
+A query is a row of some group itself: its k-th score there is where all others start
+from. The query set meets all rows in blocks: some megabytes of queries are broadcast at
+a time, each task keeps the k best of its groups, and the last step the k best of these.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -23,8 +26,14 @@ from ._arrow import ensure_checkpoint_dir
 
 K = 20
 EVERY = 20
-#: Rows of a group (one task's step), of a block, and of a pack of queries.
-GROUP, BLOCK, PACK = 8192, 64, 256
+#: Rows of a group (one step of a task), of a block, and of a pack of queries; bytes of queries that are broadcast at once.
+GROUP, BLOCK, PACK, QUERY_BYTES = 8192, 16, 256, 8 << 20
+#: Rows that centres are found from (about so many, by hash), and centres.
+SAMPLE, CENTRES = 4096, 256
+#: Share of a group's blocks above the k-th score from which all of them are scored at once.
+MOST = 0.3
+
+_NONE = -(1 << 63)
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -46,117 +55,249 @@ def _matrix(ids: pa.Array, codes: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids.to_numpy(zero_copy_only=False), out
 
 
-def pack(rows: DataFrame, most: int, ordered: bool) -> DataFrame:
-    """Rows packed within their partitions: ids and components as bytes, ``most`` rows each."""
+def centres(rows: DataFrame, total: int) -> np.ndarray:
+    """Means of a sample's rows around some of them; none for an empty sample."""
+    share = min(1.0, SAMPLE / max(1, total))
+    few = rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 31)) < int(share * (1 << 31))).select("codes")
+    held = [np.array(r.codes, float) for r in few.toLocalIterator() if r.codes]
+    if not held:
+        return np.zeros((0, 0))
+    width = max(map(len, held))
+    x = np.stack([np.pad(v, (0, width - len(v))) for v in held])
+    x = x[np.lexsort(x.T)]
+    c = x[np.linspace(0, len(x) - 1, min(CENTRES, len(x))).astype(int)]
+    for _ in range(2):
+        near = nearest(x, c)
+        c = np.stack([x[near == k].mean(0) if (near == k).any() else c[k] for k in range(len(c))])
+    return c
+
+
+def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    if not len(c):
+        return np.zeros(len(x), np.int64)
+    width = max(x.shape[1], c.shape[1])
+    x, c = np.pad(x, ((0, 0), (0, width - x.shape[1]))).astype(float), np.pad(c, ((0, 0), (0, width - c.shape[1])))
+    return (x @ c.T - 0.5 * np.square(c).sum(1)).argmax(1)
+
+
+def _narrow(x: np.ndarray) -> tuple[int, bytes]:
+    """Integers as bytes of the narrowest kind that holds them, and its width."""
+    for size in (2, 4, 8):
+        limit = 1 << 8 * size - 1
+        if size == 8 or not x.size or (x.min() >= -limit and x.max() < limit):
+            return size, x.astype(f"<i{size}").tobytes()
+    raise AssertionError
+
+
+def _unpack(size: int, width: int, ids: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    i = np.frombuffer(ids, np.int64)
+    return i, np.frombuffer(codes, f"<i{size}").astype(np.int64).reshape(len(i), width)
 
-    def scan(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+_PACKED = "size int, width int, ids binary, codes binary"
+
+
+def _packed(ids: np.ndarray, x: np.ndarray) -> list[pa.Array]:
+    size, codes = _narrow(x)
+    return [pa.array([size], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([codes], pa.binary())]
+
+
+def groups(rows: DataFrame, c: np.ndarray, shares: int) -> DataFrame:
+    """Rows dealt to shares by their centre, and packed: sorted by centre, ``GROUP`` rows at most."""
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(c)
+
+    def centred(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP):
+                part = batch.slice(at, GROUP)
+                near = nearest(_matrix(part.column(0), part.column(1))[1], shared.value)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(near, pa.int32())], names=["vec_id", "codes", "centre"])
+
+    def packs(batches):
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def out():
-            width = max(x.shape[1] for _, x in held)
-            ids = np.concatenate([i for i, _ in held])
-            x = np.vstack([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for _, x in held])
+            width = max(x.shape[1] for _, x, _ in held)
+            ids, near = np.concatenate([i for i, _, _ in held]), np.concatenate([n for _, _, n in held])
+            x = np.vstack([np.pad(x, ((0, 0), (0, width - x.shape[1]))) for _, x, _ in held])
             held.clear()
-            if ordered and width:
+            if width:
                 lead = np.abs(x).argmax(1)
-                order = np.lexsort((ids, x[np.arange(len(x)), lead], lead))
+                order = np.lexsort((ids, x[np.arange(len(x)), lead], lead, near))
                 ids, x = ids[order], x[order]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([width], pa.int32()), pa.array([ids.astype(np.int64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())],
-                names=["width", "ids", "codes"],
-            )
+            return pa.RecordBatch.from_arrays(_packed(ids, x), names=["size", "width", "ids", "codes"])
 
         n = 0
         for batch in batches:
             at = 0
             while at < batch.num_rows:
-                part = batch.slice(at, min(batch.num_rows - at, most - n))
-                held.append(_matrix(part.column(0), part.column(1)))
+                part = batch.slice(at, min(batch.num_rows - at, GROUP - n))
+                held.append((*_matrix(part.column(0), part.column(1)), part.column(2).to_numpy()))
                 n += part.num_rows
                 at += part.num_rows
-                if n == most:
+                if n == GROUP:
                     yield out()
                     n = 0
         if n:
             yield out()
 
-    return rows.mapInArrow(scan, "width int, ids binary, codes binary")
+    near = rows.mapInArrow(centred, "vec_id bigint, codes array<bigint>, centre int")
+    # neighbouring shares for a centre, one row after another by hash: no centre is more than its part of any share
+    spread = F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-shares // 4))))
+    dealt = near.repartition(shares, "centre", spread) if len(c) > 1 else near.repartition(shares)
+    return dealt.mapInArrow(packs, _PACKED).checkpoint()
 
 
-def _unpack(width: int, ids: bytes, codes: bytes) -> tuple[np.ndarray, np.ndarray]:
-    i = np.frombuffer(ids, np.int64)
-    return i, np.frombuffer(codes, np.int64).reshape(len(i), width)
-
-
-def search(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, block: int = BLOCK):
-    """The k best rows of one group for each query: yields (query id, row ids, scores)."""
-    width = max(q.shape[1], x.shape[1])
-    q = np.pad(q, ((0, 0), (0, width - q.shape[1])))
-    x = np.pad(x, ((0, 0), (0, width - x.shape[1])))
-    largest = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * max(width, 1)
-    kind = np.float64 if largest < 1 << 53 else object  # exact either way
-    q, x = q.astype(kind), x.astype(kind)
-    cuts = np.arange(0, len(x), block)
-    high, low = np.maximum.reduceat(x, cuts, axis=0), np.minimum.reduceat(x, cuts, axis=0)
-    bounds = np.maximum(q, 0) @ high.T + np.minimum(q, 0) @ low.T
-    for i in range(len(q)):
-        order = np.argsort(-bounds[i].astype(np.float64), kind="stable")
-        got_id, got, kth = np.zeros(0, np.int64), np.zeros(0, kind), None
-        for at in range(0, len(order), 4):
-            some = order[at : at + 4]
-            if kth is not None and max(bounds[i, some]) < kth:
-                if kind is np.float64:
-                    break
-                continue
+def queries(packed: DataFrame, k: int, every: int) -> DataFrame:
+    """``vec_id, codes, kth`` of the queries: their k-th score in their own group, null with fewer rows."""
+
+    def scan(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                ids, x = _unpack(*(batch.column(j)[r].as_py() for j in range(4)))
+                some = np.flatnonzero(ids % every == 0)
+                for at in range(0, len(some), PACK):
+                    part = some[at : at + PACK]
+                    best = Best(ids[part], x[part], np.full(len(part), _NONE), k)
+                    best.take(ids, x)
+                    kth = [s[-1] if len(s) == k and abs(s[-1]) < 1 << 62 else None for s in best.scores]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(part) + 1) * x.shape[1], pa.int32()), pa.array(x[part].ravel(), pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(ids[part]), lists, pa.array(kth, pa.int64())], names=["vec_id", "codes", "kth"]
+                    )
+
+    found = packed.mapInArrow(scan, "vec_id bigint, codes array<bigint>, kth bigint")
+    return found.groupBy("vec_id").agg(F.min(F.struct("codes", "kth")).alias("q")).select("vec_id", "q.codes", "q.kth")
+
+
+class Best:
+    """Some queries and the k best rows that they have met; ``kth`` is the score that a row must reach."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, kth: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.kth = [None if s == _NONE else int(s) for s in kth.tolist()]
+        self.rows, self.scores = [np.zeros(0, np.int64)] * len(ids), [[]] * len(ids)
+        self.scored = self.blocks = 0
+
+    def take(self, ids: np.ndarray, x: np.ndarray, block: int = BLOCK) -> None:
+        """Meet the rows of one group."""
+        width = max(self.q.shape[1], x.shape[1])
+        q, x = np.pad(self.q, ((0, 0), (0, width - self.q.shape[1]))), np.pad(x, ((0, 0), (0, width - x.shape[1])))
+        largest = int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) * max(width, 1)
+        kind = np.float32 if largest < 1 << 24 else np.float64 if largest < 1 << 53 else object  # exact in any case
+        q, x = q.astype(kind), x.astype(kind)
+        cuts = np.arange(0, len(x), block)
+        bounds = np.maximum(q, 0) @ np.maximum.reduceat(x, cuts, axis=0).T + np.minimum(q, 0) @ np.minimum.reduceat(x, cuts, axis=0).T
+        for i in (i for i, s in enumerate(self.kth) if s is None):  # a start: the k-th score of the blocks of the largest bounds
+            some = np.argsort(-bounds[i].astype(np.float64), kind="stable")[: 2 + self.k // block]
             rows = (cuts[some][:, None] + np.arange(block)).ravel()
             rows = rows[rows < len(x)]
-            rows = rows[ids[rows] != q_ids[i]]
-            score = x[rows] @ q[i]
-            if kth is not None:
-                keep = score >= kth
-                rows, score = rows[keep], score[keep]
-            got_id, got = np.concatenate([got_id, ids[rows]]), np.concatenate([got, score])
-            if len(got) > k:
-                best = np.lexsort((got_id, -got))[:k] if kind is np.float64 else sorted(range(len(got)), key=lambda j: (-got[j], got_id[j]))[:k]
-                got_id, got = got_id[best], got[best]
-            if len(got) == k:
-                kth = min(got)
-        yield q_ids[i], got_id, got
-
-
-def top_k(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
+            score = x[rows[ids[rows] != self.ids[i]]] @ q[i]
+            if len(score) >= self.k:
+                self.kth[i] = int(sorted(score.tolist())[-self.k])
+        least = np.array([-np.inf if s is None else s for s in self.kth], object if kind is object else np.float64)
+        live = bounds >= least[:, None]
+        self.blocks += live.size
+        if kind is not object and live.mean() > MOST:
+            self.scored += live.size
+            score = q @ x.T
+            score[self.ids[:, None] == ids[None, :]] = -np.inf
+            fits = (score >= least[:, None]) & (score > -np.inf)
+            for i in np.flatnonzero(fits.any(1)).tolist():
+                at = np.flatnonzero(fits[i])
+                self._merge(i, ids[at], score[i, at])
+            return
+        for i in np.flatnonzero(live.any(1)).tolist():
+            some = np.flatnonzero(live[i])
+            order = some[np.argsort(-bounds[i, some].astype(np.float64), kind="stable")]
+            for at in range(0, len(order), 16):
+                part = order[at : at + 16]
+                if self.kth[i] is not None:
+                    part = part[bounds[i, part] >= self.kth[i]]
+                if not len(part):
+                    if kind is object:
+                        continue
+                    break
+                self.scored += len(part)
+                rows = (cuts[part][:, None] + np.arange(block)).ravel()
+                rows = rows[rows < len(x)]
+                rows = rows[ids[rows] != self.ids[i]]
+                score = x[rows] @ q[i]
+                if self.kth[i] is not None:
+                    rows, score = rows[keep := score >= self.kth[i]], score[keep]
+                self._merge(i, ids[rows], score)
+
+    def _merge(self, i: int, rows: np.ndarray, score: np.ndarray) -> None:
+        k = self.k
+        if len(rows) > 4 * k and score.dtype != object:  # all of the k-th score and above
+            keep = score >= -np.partition(-score, k - 1)[k - 1]
+            rows, score = rows[keep], score[keep]
+        rows, score = np.concatenate([self.rows[i], rows]), [*self.scores[i], *map(int, score)]
+        best = sorted(range(len(score)), key=lambda j: (-score[j], rows[j]))[:k]
+        self.rows[i], self.scores[i] = rows[best], [score[j] for j in best]
+        if len(best) == k:
+            self.kth[i] = self.scores[i][-1] if self.kth[i] is None else max(self.kth[i], self.scores[i][-1])
+
+
+def _query_blocks(chosen: DataFrame, limit: int):
+    """Packs of queries (ids, components, k-th scores) in blocks of at most ``limit`` bytes (one pack at least)."""
+
+    def scan(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, PACK):
+                part = batch.slice(at, PACK)
+                kth = part.column(2).fill_null(_NONE).to_numpy().astype(np.int64)
+                yield pa.RecordBatch.from_arrays([*_packed(*_matrix(part.column(0), part.column(1))), pa.array([kth.tobytes()], pa.binary())], names=["size", "width", "ids", "codes", "kth"])
+
+    block, held = [], 0
+    for r in chosen.mapInArrow(scan, f"{_PACKED}, kth binary").toLocalIterator():
+        own = len(r.ids) * 2 + len(r.codes)
+        if block and held + own > limit:
+            yield block
+            block, held = [], 0
+        block.append(tuple(r))
+        held += own
+    if block:
+        yield block
+
+
+def top_k(vectors: DataFrame, k: int = K, every: int = EVERY, query_bytes: int = QUERY_BYTES) -> DataFrame:
     """Columns ``query_id, rank, vec_id, score`` for queries whose ``vec_id`` is divisible by ``every``.
 
     All candidates if there are fewer than k; an id is no candidate for itself. A repeated
     query id is one query (its smallest vector); repeated rows are candidates as often as
     they occur. Vectors of different lengths are filled up with zeros. Ranks are exact for
-    all integers; a score beyond the range of a long is shown as its nearest end.
+    all integers; a score beyond the range of a long is shown as its nearest end. Null or
+    non-finite vectors and null ids take no part, and other columns are not used.
     """
     spark = vectors.sparkSession
     ensure_checkpoint_dir(spark)
     rows = usable(vectors)
-    shares = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    groups = pack(rows, GROUP, True).repartition(shares).withColumn("share", F.spark_partition_id()).checkpoint()
-    chosen = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("codes").alias("codes"))
-    packs = pack(chosen, PACK, False).select(F.col("width").alias("q_width"), F.col("ids").alias("q_ids"), F.col("codes").alias("q_codes"))
-    packs = packs.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
-    pairs = groups.join(packs, "share").select("q_width", "q_ids", "q_codes", "width", "ids", "codes")
+    packed = groups(rows, centres(rows, vectors.count()), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    chosen = queries(packed, k, every).checkpoint()
 
-    def scan(batches):
-        for batch in batches:
-            for r in range(batch.num_rows):
-                v = [batch.column(c)[r].as_py() for c in range(6)]
-                out = list(search(*_unpack(*v[:3]), *_unpack(*v[3:]), k))
+    def search(shared):
+        def scan(batches):
+            best = [Best(*_unpack(*p[:4]), np.frombuffer(p[4], np.int64), k) for p in shared.value]
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    ids, x = _unpack(*(batch.column(j)[r].as_py() for j in range(4)))
+                    for b in best:
+                        b.take(ids, x)
+            for b in best:
+                size = [len(s) for s in b.scores]
+                scores = [min(max(s, -(1 << 63)), (1 << 63) - 1) for own in b.scores for s in own]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([o[0] for o in out], [len(o[1]) for o in out]).astype(np.int64)),
-                        pa.array(np.concatenate([o[1] for o in out]).astype(np.int64)),
-                        pa.array([min(max(int(s), -(1 << 63)), (1 << 63) - 1) for o in out for s in o[2]], pa.int64()),
-                    ],
-                    names=["query_id", "vec_id", "score"],
+                    [pa.array(np.repeat(b.ids, size)), pa.array(np.concatenate(b.rows)), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"]
                 )
 
-    found = pairs.mapInArrow(scan, "query_id bigint, vec_id bigint, score bigint")
+        return scan
+
+    parts = [
+        packed.mapInArrow(search(spark.sparkContext.broadcast(block)), "query_id bigint, vec_id bigint, score bigint") for block in _query_blocks(chosen, query_bytes)
+    ] or [spark.createDataFrame([], "query_id bigint, vec_id bigint, score bigint")]
+    found = reduce(DataFrame.union, parts)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -513,6 +513,37 @@ def test_top_k_is_exact(spark, scale):
     assert topk.top_k(few).count() == 2 and topk.top_k(few.where("false")).count() == 0
 
 
+def test_top_k_edge_cases(spark):
+    """Repeated ids and rows, ties, empty vectors, more than one block of queries, a third of the rows in one place."""
+    r = random.Random(5)
+    rows = [(k, [r.choice([-1.0, 0.0, 0.5]) for _ in range(4)] if k % 3 else [0.25] * 4) for k in range(90)]
+    rows += [(40, [9.0, 0.0, 0.0, 0.0]), (41, [0.5] * 4), (41, [0.5] * 4), (100, []), (None, [1.0] * 4), (120, [float("-inf")] * 4)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("codes", "centre", "kth", "score")})
+    got = collections.defaultdict(list)
+    for x in topk.top_k(table, 6, query_bytes=1).collect():
+        got[x.query_id].append((x.rank, x.score, x.vec_id))
+    ints = [(k, [math.floor(64 * c) for c in v]) for k, v in rows if k is not None and k != 120]
+    for q in (0, 20, 40, 60, 80, 100):
+        own = min(v for k, v in ints if k == q)
+        want = sorted((-sum(a * b for a, b in zip(own, v, strict=False)), k) for k, v in ints if k != q)[:6]
+        assert sorted(got[q]) == [(n + 1, -s, k) for n, (s, k) in enumerate(want)]
+    assert set(got) == {0, 20, 40, 60, 80, 100}
+
+
+def test_blocks_are_pruned():
+    """Of vectors in clusters, far less than all blocks are scored, and the result is that of scoring all."""
+    r = np.random.default_rng(1)
+    middle = r.normal(size=(40, 16)) * 300
+    x = np.floor(middle[np.sort(r.integers(0, 40, 4000))] + r.normal(size=(4000, 16)) * 20).astype(np.int64)
+    ids = np.arange(4000)
+    best = topk.Best(ids[::20], x[::20], np.full(200, topk._NONE), 20)
+    best.take(ids, x)
+    assert best.scored < 0.2 * best.blocks
+    for i, q in enumerate(ids[::20]):
+        score = x @ x[q]
+        assert best.rows[i].tolist() == sorted((k for k in ids.tolist() if k != q), key=lambda k: (-score[k], k))[:20]
+
+
 # --- lines
 
 
