@@ -2,9 +2,11 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -14,6 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from holdfast.llm import _arrow, decontaminate, langid, licenses, line_dedup, main_text, pii, quality, sentence_pieces, simhash, topk
+from tests.llm.held_out_pages import PAGES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 ODD = [(1, None), (2, ""), (3, " \n\n \t"), (4, "word " * 40_000), (5, "same text here"), (5, "same text here"), (None, "no id at all"), (7, "x" * 50_000), (8, "ünïcödé 日本語 𝔘 a\x00b")]
@@ -160,34 +163,58 @@ def test_pii_rows(spark):
 # --- pages
 
 
-def test_labelled_pages_come_back(spark):
-    rows = [(k, "u", page) for k, page in enumerate(main_text.LABELLED)]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
-    got = {r.page_id: r for r in main_text.main_text(pages).collect()}
-    for k, page in enumerate(main_text.LABELLED):
-        nodes, blocks = main_text.parse(page)
-        labels = main_text.labelled(nodes)
-        assert got[k].text == "\n".join(said for node, said in blocks if labels[node])
-        assert got[k].n_chars == len(got[k].text)
-
-
-def test_marginals_are_the_sums_over_all_labellings():
-    model = main_text.Model(collections.Counter({("part=p", 1): 3, ("part=p", 0): 1, ("part=nav", 0): 2, ("step=p,1", 1): 4, ("step=p,0", 0): 3}))
-    nodes, _ = main_text.parse("<body><div><p>one</p><p>two</p></div><nav><p>three</p></nav></body>")
-    weight = collections.defaultdict(float)
-    total = 0.0
-    low = (math.log(0.8), math.log(0.2)), (math.log(0.2), math.log(0.8))
-    for bits in range(1 << len(nodes)):
-        y = [bits >> k & 1 for k in range(len(nodes))]
-        w = -4.0 * y[0]
-        for k, n in enumerate(nodes):
-            w += sum(model.tables.get(e, (0, 0))[y[k]] for e in main_text._seen(n))
+@pytest.fixture(scope="module")
+def hand_model():
+    return main_text.Model(main_text._hand_counts())
+
+
+@pytest.mark.parametrize("k", range(len(PAGES)))
+def test_held_out_pages_come_back(hand_model, k):
+    page, lines = PAGES[k]
+    assert page not in main_text.LABELLED and hand_model.text(page) == "\n".join(lines)
+
+
+def test_held_out_pages_with_a_trained_model(spark):
+    """Training on pages of the table doesn't spoil others; rows repeat, other columns clash, null ids stay."""
+    marked = [(1000 + k, "u", f"<body><nav><a href='/'>x</a></nav><div class='ad'>y</div><article><h1>T {k}</h1><p>{'words and more of them ' * (k % 9)}</p></article><footer>z</footer></body>") for k in range(200)]
+    rows = marked + [(k, "u", page) for k, (page, _) in enumerate(PAGES)] + [(0, "u", PAGES[0][0]), (None, None, PAGES[1][0])]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("text", "n_chars", "label")})
+    got = collections.defaultdict(list)
+    for r in main_text.main_text(pages).collect():
+        got[r.page_id].append(r.text)
+        assert r.n_chars == len(r.text)
+    for k, (_, lines) in enumerate(PAGES):
+        assert got[k] == ["\n".join(lines)] * (2 if k == 0 else 1)
+    assert got[None] == ["\n".join(PAGES[1][1])]
+
+
+def test_marginals_are_the_sums_over_all_labellings(hand_model):
+    nodes, _ = main_text.parse("<body><div class='x'><p>one</p><p>two</p></div><nav><p>three</p></nav></body>")
+    weight, total = collections.defaultdict(float), 0.0
+    texts = collections.Counter(n.parent for n in nodes if n.chars)
+    for labels in itertools.product(range(3), repeat=len(nodes)):
+        w = hand_model.root(nodes[0].part)[labels[0]]
+        for k, (n, e) in enumerate(zip(nodes, main_text.seen(nodes), strict=True)):
+            w += hand_model.emission(*e)[labels[k]] / max(1, texts[n.parent]) ** 0.5
             if n.parent >= 0:
-                w += model.tables.get(f"step={n.part},{y[n.parent]}", low[y[n.parent]])[y[k]]
+                w += hand_model.potential(n.part, n.hint, labels[n.parent])[labels[k]]
         total += math.exp(w)
-        for k in range(len(nodes)):
-            weight[k] += math.exp(w) * y[k]
-    assert model.marginals(nodes) == pytest.approx([weight[k] / total for k in range(len(nodes))])
+        for k, y in enumerate(labels):
+            weight[k, y] += math.exp(w)
+    for k, p in enumerate(hand_model.marginals(nodes)):
+        assert p == pytest.approx([weight[k, y] / total for y in range(3)])
+
+
+def test_pages_own_marks_are_not_labels():
+    nodes, _ = main_text.parse('<article><p>a</p><rect data-y="1"></rect></article>')
+    assert all(n.label is None for n in nodes) and main_text.labelled(nodes)[1] == main_text.CONTENT
+
+
+@pytest.mark.parametrize("page", ["<a" * 1_000_000, '<a "' * 500_000, "</div>" * 100_000, "<div>" * 20_000 + "</p>" * 20_000, "<x-a>" * 50_000 + "<li></li>" * 10_000, "<!-- " * 200_000, "<p title='" * 200_000])
+def test_long_and_broken_pages(hand_model, page):
+    began = time.process_time()
+    hand_model.text(page)
+    assert time.process_time() - began < 20
 
 
 def test_odd_pages(spark):
@@ -205,11 +232,7 @@ def test_elements_without_their_end_keep_the_page():
     for tag in ("title-bar", "button-group", "select-box"):
         assert said(f"<{tag}>x</{tag}><p>a</p>") == ["x", "a"]
     assert said("<p>a</p><script>if (a < b) '<p>x</p>'") == ["a"]
-    counts = collections.Counter()
-    for page in main_text.LABELLED * main_text.HAND_WEIGHT:
-        nodes, _ = main_text.parse(page)
-        main_text.count(nodes, main_text.labelled(nodes), counts)
-    model = main_text.Model(counts)
+    model = main_text.Model(main_text._hand_counts())
     long = "Long sentences of prose stand in the body of an article, with commas, clauses and a full stop at their end."
     page = "<body><article><h1>Title</h1><p>{0}</p>{1}<p>{0}</p></article></body>"
     for extra in ('<svg width="1"/>', "<button>Buy", "<object>", "<button>Buy</button>", f"<noscript><p>{long[:60]}</p></noscript>", "<select><option>One<option>Two</select>"):
