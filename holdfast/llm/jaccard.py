@@ -9,13 +9,16 @@ length      the smaller one has ``p / q`` of the larger one's shingles at least;
 positional  what can still follow the first shared shingle, in either, makes up the overlap.
 
 What is left is checked by counting. Components are wanted, not pairs: each node is
-first held against one node for each of its shingles, and only nodes that are then still in
-different components meet in pairs. Shingles of many nodes are salted over tasks in both steps;
-copies of a text count once a task before anything is shuffled.
+first held against ``TRIED`` nodes for each of its shingles, those before it in the order of
+their hashes, and only nodes that are then still in different components meet in pairs.
+Shingles of many nodes are salted over tasks in both steps; copies of a text count once a task
+before anything is shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -31,9 +34,14 @@ BUCKETS = 1 << 16
 HOT, SKEW = 1 << 14, 2
 #: Bits of the sieve that picks the sets to be checked; it comes to the driver as bitmaps, 128 KB at most.
 SIEVE = 1 << 20
+#: Nodes of a shingle that each of its nodes is first held against.
+TRIED = 16
 #: Nodes of a shingle that meet in one task.
 DENSE = 256
 
+#: Columns of a set's sketch.
+SKETCH = [f"s{k}" for k in range(8)]
+
 _NO_SPACE = np.ones(256, dtype=bool)
 _NO_SPACE[[9, 10, 11, 12, 13, 32]] = False
 
@@ -69,6 +77,16 @@ def set_ids(key: np.ndarray, size: np.ndarray) -> np.ndarray:
     return mix(total[end] - total[end - size] + size.astype(np.uint64)).view(np.int64)
 
 
+def sketches(key: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """512 bits of every row's set, eight longs: of each share of the hashes, whether their number is odd.
+
+    Two sets' sketches differ in no more bits than the sets in shingles.
+    """
+    slot = (key >> np.uint64(32)).astype(np.int64) & 511
+    odd = np.bincount(row * 512 + slot, minlength=n * 512).reshape(n, 512) & 1
+    return np.packbits(odd.astype(bool), axis=1, bitorder="little").view(np.int64)
+
+
 def _occurrences(docs: DataFrame, n: int) -> np.ndarray:
     """Shingles of all documents by bucket; the driver takes one row a bucket."""
 
@@ -166,10 +184,11 @@ def _may(similarity: tuple[int, int], x: str, y: str) -> Column:
     return (F.least(n, m) * q >= F.greatest(n, m) * p) & (follow * (p + q) >= (n + m) * p)
 
 
-def _led(rows: DataFrame, *by: str) -> DataFrame:
-    """Rows with the smallest set of their shingle (and salt), and whether it is the only one."""
-    w = Window.partitionBy(*by)
-    return rows.select("*", F.min(F.struct("set", "at")).over(w).alias("lead"), F.max("set").over(w).alias("most")).withColumn("alone", F.expr("lead.set = most")).drop("most")
+def _tried(rows: DataFrame, *by: str) -> DataFrame:
+    """Rows of distinct sets, numbered in their shingle (and salt), with those before them."""
+    w = Window.partitionBy(*by).orderBy("set")
+    before = F.collect_list(F.struct("set", "at")).over(w.rowsBetween(-TRIED, -1))
+    return rows.select("*", before.alias("before"), F.row_number().over(w).alias("number"))
 
 
 class Join:
@@ -177,18 +196,21 @@ class Join:
 
     def __init__(self, docs: DataFrame, shingle: int = SHINGLE, similarity: tuple[int, int] = SIMILARITY, dense: int | None = None, hot: int | None = None):
         self.docs, self.shingle, self.similarity, self.dense = docs, shingle, similarity, dense or DENSE
-        posted = _led(_postings(docs, shingle, similarity, hot or HOT), "shingle", "salt")
-        self.met = posted.where("not alone or salt > 0").dropDuplicates(["shingle", "salt", "set"]).checkpoint()
+        w = Window.partitionBy("shingle", "salt")
+        posted = _postings(docs, shingle, similarity, hot or HOT).select("*", F.min("set").over(w).alias("a"), F.max("set").over(w).alias("b"))
+        shared = posted.where("a <> b or salt > 0").drop("a", "b").dropDuplicates(["shingle", "salt", "set"])
+        self.met = _tried(shared, "shingle", "salt").checkpoint()
 
     def first(self) -> DataFrame:
-        """Similar pairs of a set and the first one of some shingle of its prefix; of a salted shingle, also of its salts' first ones."""
-        leads = _led(self.met.where("salt > 0 and set = lead.set").drop("lead", "alone"), "shingle")
-        met = self.met.where("set <> lead.set").select("set", "at", "lead").unionByName(leads.where("set <> lead.set").select("set", "at", "lead"))
+        """Similar pairs of a set and some of the sets of its prefix's shingles; of a salted shingle, also of its salts' first ones."""
+        firsts = _tried(self.met.where(F.col("salt") > 0).where(F.col("number") <= TRIED).drop("before", "number"), "shingle")
+        met = reduce(DataFrame.unionByName, (t.select("set", "at", F.explode("before").alias("lead")) for t in (self.met, firsts)))
         pairs = met.where(_may(self.similarity, "", "lead.")).select(*_pair("set", "lead.set")).distinct().checkpoint()
         return _verified(self.docs, pairs, self.shingle, self.similarity)
 
     def rest(self, labels: DataFrame) -> DataFrame:
-        """Similar pairs of sets of different components (``set, component``)."""
+        """Similar pairs of sets of different components (``set, component`` and the sketch)."""
+        p, q = self.similarity
         rows = self.met.select("shingle", "set", "at").join(labels, "set")
         parts = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
         rows = rows.join(parts.select("shingle", F.ceil(F.col("many") / self.dense).cast("int").alias("salts")), "shingle").checkpoint()
@@ -200,7 +222,12 @@ class Join:
             & (F.col("x.salt") == F.col("y.salt"))
             & (F.col("x.set") < F.col("y.set"))
             & (F.col("x.component") != F.col("y.component"))
-            & _may(self.similarity, "x.", "y."),
+            & _may(self.similarity, "x.", "y.")
+            # of n and m shingles at most (n + m) * (q - p) / (q + p) are in one set only
+            & (
+                sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH), F.lit(0)) * (p + q)
+                <= (F.shiftright("x.at", 32) + F.shiftright("y.at", 32)) * (q - p)
+            ),
         )
         pairs = met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct().checkpoint()
         return _verified(self.docs, pairs, self.shingle, self.similarity)

@@ -211,13 +211,16 @@ def near_copies(docs: DataFrame, shingle: int = jaccard.SHINGLE, distance: int =
 
     def scan(batches):
         for batch in chunks(batches, limit=1 << 19):
-            key, _, size = jaccard.shingles(batch.column(1), shingle)
+            key, row, size = jaccard.shingles(batch.column(1), shingle)
+            sketch = jaccard.sketches(key, row, batch.num_rows)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(jaccard.set_ids(key, size)), pa.array(_set_prints(key, size).view(np.int64))], names=["doc_id", "set", "fp"]
+                [batch.column(0), pa.array(jaccard.set_ids(key, size)), pa.array(_set_prints(key, size).view(np.int64)), *map(pa.array, np.ascontiguousarray(sketch.T))],
+                names=["doc_id", "set", "fp", *jaccard.SKETCH],
             )
 
-    rows = text_only(docs, "doc_id").mapInArrow(scan, "doc_id bigint, set bigint, fp bigint").checkpoint()
-    sets = rows.groupBy("set").agg(_lead("set").alias("lead"), F.first("fp").alias("fp")).checkpoint()
+    said = "".join(f", {c} bigint" for c in jaccard.SKETCH)
+    rows = text_only(docs, "doc_id").mapInArrow(scan, f"doc_id bigint, set bigint, fp bigint{said}").checkpoint()
+    sets = rows.groupBy("set").agg(_lead("set").alias("lead"), *[F.first(c).alias(c) for c in ("fp", *jaccard.SKETCH)]).checkpoint()
     prints = sets.groupBy("fp").agg(F.min("lead").alias("node")).checkpoint()
 
     def named(pairs: DataFrame) -> DataFrame:
@@ -228,7 +231,7 @@ def near_copies(docs: DataFrame, shingle: int = jaccard.SHINGLE, distance: int =
     edges = links(prints, distance).unionByName(named(join.first()))
     edges = edges.unionByName(sets.join(prints, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
     found = components(edges)
-    labels = sets.join(found.withColumnRenamed("node", "lead"), "lead", "left").select("set", F.coalesce("component", "lead").alias("component")).checkpoint()
+    labels = sets.join(found.withColumnRenamed("node", "lead"), "lead", "left").select("set", F.coalesce("component", "lead").alias("component"), *jaccard.SKETCH).checkpoint()
     more = join.rest(labels)
     ends = (labels.select(F.col("set").alias(k), F.col("component").alias(f"{k}_part")) for k in ("a", "b"))
     more = more.join(next(ends), "a").join(next(ends), "b").select(F.col("a_part").alias("a"), F.col("b_part").alias("b"))
