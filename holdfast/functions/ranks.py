@@ -22,6 +22,34 @@ def _before(counts: DataFrame, value: str, n: str) -> DataFrame:
     return rows.join(totals, "_bucket").select(value, (F.col("_base") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias("below"), n)
 
 
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], *by: str) -> DataFrame:
+    """Exact, interpolated quantiles: for each name the one of (column, share), one row, or one for each value of ``by``.
+
+    Values are counted first; a histogram of buckets names those with the wanted places, and
+    only their distinct values are put in order, a task for each bucket.
+    """
+    spark, keys, v = df.sparkSession, [*by, "name"], F.col("v")
+    listed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in sorted({c for c, _ in wanted.values()})])
+    rows = df.select(*by, F.explode(listed).alias("e")).select(*by, "e.name", "e.v").where("v is not null")
+    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("n")).withColumn("bucket", F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * 64))
+    every = Window.partitionBy(*keys)
+    upto = every.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("m"))
+    totals = totals.withColumns({"base": F.coalesce(F.sum("m").over(upto), F.lit(0)), "everyone": F.sum("m").over(every)})
+    asked = spark.createDataFrame([(out, c, p) for out, (c, p) in wanted.items()], "out string, name string, p double")
+    places = totals.join(F.broadcast(asked), "name").withColumn("place", F.col("p") * (F.col("everyone") - 1))
+    places = places.select(*keys, "bucket", "base", "m", "out", "place", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("k"))
+    places = places.where("base <= k and k < base + m").distinct().drop("m")
+    inside = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    near = counts.join(places.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi").withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    met = near.join(places, [*keys, "bucket"]).where("base + below <= k and k < base + below + n")
+    low, high = (F.max(F.when(F.col("k") == f("place"), v)) for f in (F.floor, F.ceil))
+    place = F.max("place")
+    mean = F.when(low == high, low).otherwise((F.ceil(place) - place) * low + (place - F.floor(place)) * high)
+    found = met.groupBy(*by, "out").agg(mean.alias("q"))
+    return found.groupBy(*by).agg(*[F.max(F.when(F.col("out") == out, F.col("q"))).alias(out) for out in wanted])
+
+
 def percent_rank_avg(df: DataFrame, key: str, *values: str) -> DataFrame:
     """``key, name, rank``: for each of the columns, the mean rank of ties over the number of rows with a value.
 

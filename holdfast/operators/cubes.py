@@ -51,14 +51,21 @@ def risk_kpi_cube(accounts: DataFrame) -> DataFrame:
     keys = [*DIMS, "risk_tier"]
     high = F.col("risk_tier").isin("high", "critical")
     rows = accounts.dropna(subset=keys).withColumns({"mrr": F.col("current_mrr"), "exposed": exposed_mrr(), "high": flag(high), "critical": flag(F.col("risk_tier") == "critical")})
-    cells = rows.cube(*keys).agg(
+    # exact sums of the finest cells first, so that the cube expands cells and not accounts
+    cents = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(28,4)")), F.lit(0).cast("decimal(28,4)"))
+    fine = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), cents("mrr").alias("mrr"), cents("exposed").alias("exposed"), F.sum("high").alias("high"), F.sum("critical").alias("critical"),
+        cents("retention_priority_score").alias("priority"),
+    )
+    total = lambda c: rnd(F.sum(c).cast("double"), 2)
+    cells = fine.cube(*keys).agg(
         *[F.grouping(k).alias(f"all_{k}") for k in keys],
-        F.count("*").alias("scored_customers"),
-        rnd(money("mrr"), 2).alias("total_current_mrr"),
-        rnd(money("exposed"), 2).alias("revenue_at_risk"),
+        F.sum("n").alias("scored_customers"),
+        total("mrr").alias("total_current_mrr"),
+        total("exposed").alias("revenue_at_risk"),
         F.sum("high").alias("high_risk_customers"),
         F.sum("critical").alias("critical_customers"),
-        rnd(money("retention_priority_score"), 2).alias("priority_sum"),
+        total("priority").alias("priority_sum"),
     )
     name = lambda k: F.when(F.col(f"all_{k}") == 1, ALL).otherwise(F.col(k))
     return cells.select(
@@ -93,7 +100,7 @@ def monthly_fact_encoded(facts: DataFrame) -> DataFrame:
     rows = facts
     for c in ("month", *DIMS):
         domain = facts.select(c).where(F.col(c).isNotNull()).distinct().withColumn(f"{c}_index", (F.dense_rank().over(Window.orderBy(c)) - 1).cast("int"))
-        rows = rows.join(F.broadcast(domain), c)
+        rows = rows.join(domain, c)
     return rows.select(*[f"{c}_index" for c in ("month", *DIMS)], "active_customers_start", "active_mrr_start", "churned_customers", "churned_mrr")
 
 

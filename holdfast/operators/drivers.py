@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import beside, count_if, flag, money, rnd, share
+from ..functions.ranks import quantiles
 from ..params import DIMS
 
 
@@ -42,13 +43,13 @@ def churn_by_dimensions(features: DataFrame) -> DataFrame:
 
 def thresholds(features: DataFrame) -> DataFrame:
     """One row of exact, interpolated quantiles over all customers."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return features.agg(
-        q("support_tickets_90d", 0.75).alias("q75_tickets"),
-        q("nps_score_recent", 0.25).alias("q25_nps"),
-        q("feature_adoption_score_recent", 0.25).alias("q25_adoption"),
-        q("feature_adoption_score_recent", 0.40).alias("q40_adoption"),
-    )
+    wanted = {
+        "q75_tickets": ("support_tickets_90d", 0.75),
+        "q25_nps": ("nps_score_recent", 0.25),
+        "q25_adoption": ("feature_adoption_score_recent", 0.25),
+        "q40_adoption": ("feature_adoption_score_recent", 0.40),
+    }
+    return quantiles(features, wanted)
 
 
 def behaviours() -> list[tuple[str, Column]]:
@@ -120,7 +121,7 @@ def hidden_risk(features: DataFrame) -> DataFrame:
 
 
 def _value_threshold(features: DataFrame) -> DataFrame:
-    return features.where(_at_risk()).agg(F.coalesce(F.percentile("current_mrr", F.lit(0.75)), F.lit(0.0)).alias("high_value_threshold"))
+    return quantiles(features.where(_at_risk()), {"q": ("current_mrr", 0.75)}).select(F.coalesce("q", F.lit(0.0)).alias("high_value_threshold"))
 
 
 def high_value_at_risk(features: DataFrame) -> DataFrame:
@@ -159,8 +160,8 @@ def segment_revenue_risk(features: DataFrame) -> DataFrame:
 def value_tier_churn_mix(features: DataFrame) -> DataFrame:
     """Quartiles of monthly revenue, right-closed; a quartile that ties leave empty has no row."""
     v = F.col("avg_monthly_revenue")
-    q = features.agg(F.percentile("avg_monthly_revenue", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    tier = F.when(v <= F.col("q")[0], "Low").when(v <= F.col("q")[1], "Mid-Low").when(v <= F.col("q")[2], "Mid-High").otherwise("High")
+    q = quantiles(features, {f"q{k}": ("avg_monthly_revenue", k / 4) for k in (1, 2, 3)})
+    tier = F.when(v <= F.col("q1"), "Low").when(v <= F.col("q2"), "Mid-Low").when(v <= F.col("q3"), "Mid-High").otherwise("High")
     rows = beside(features.where(v.isNotNull()), q).groupBy(tier.alias("value_tier")).agg(
         F.count("customer_id").alias("customers"),
         F.sum("churn_flag").alias("churned_customers"),
@@ -287,8 +288,7 @@ def structured_findings(
 
 def usage_trend_distribution(features: DataFrame) -> DataFrame:
     """Quartiles of usage trend by churn, and the furthest values within 1.5 quartile ranges of them."""
-    q = features.groupBy("churn_flag").agg(F.percentile("usage_trend", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select("churn_flag", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    q = quantiles(features, {"q1": ("usage_trend", 0.25), "median": ("usage_trend", 0.5), "q3": ("usage_trend", 0.75)}, "churn_flag")
     v, reach = F.col("usage_trend"), (F.col("q3") - F.col("q1")) * 1.5
     return features.select("churn_flag", "usage_trend").join(F.broadcast(q), "churn_flag").groupBy("churn_flag").agg(
         F.count("*").alias("customers"),

@@ -27,11 +27,14 @@ def cycle_months(c: str = "billing_cycle") -> Column:
 
 
 def usage_windows(usage: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Sums and means over the last 30 and 90 days and the 30 before the last 30, a row for each customer in them."""
+    """Sums and means over the last 30 and 90 days and the 30 before the last 30, a row for each customer in them.
+
+    The days are held against a value of the snapshot alone, so that the filter reaches the scan.
+    """
     age = F.datediff("snapshot_date", "usage_date")
     in30, prior = age < 30, (age >= 30) & (age < 60)
     return (
-        beside(usage, snapshot)
+        beside(usage.where(F.col("usage_date") > snapshot.select(F.date_sub("snapshot_date", 90)).scalar()), snapshot)
         .where(age < 90)
         .groupBy("customer_id")
         .agg(

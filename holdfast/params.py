@@ -12,9 +12,10 @@ ALL = "__all__"
 RENEWAL_NEAR_DAYS = 45
 CONTRACTION_SHARE = 0.85
 MIN_TREND_BASE = 100
+DASHBOARD_ACCOUNTS = 800
 COHORT_TREND_STEP = 0.02
 
-# Divisors and offsets of the signals, and their weights in the order that ties are broken by.
+# Divisors and offsets of the signals, and their weights in the order that ties are broken by.
 WEIGHTS = {
     "usage decline": 0.24,
     "failed payments": 0.22,
@@ -36,12 +37,12 @@ ACTIONS = (
     "monitor only",
 )
 
-# Score baseline of the drift check.
+# Score baseline of the drift check.
 BASELINE_SHARES = {"critical": 0.0, "high": 0.005889281507656066, "medium": 0.20926580290537888, "low": 0.784844915586965}
 BASELINE_PRIORITY = 31.805206124852763
 MAX_TIER_DRIFT, MAX_PRIORITY_DRIFT = 0.03, 3.0
 
-# Plausible shapes: rows from, rows to, columns.
+# Plausible shapes: rows from, rows to, columns.
 SHAPES = {
     "customers": (3500, 3500, 6),
     "subscriptions": (3500, 3500, 8),

@@ -9,6 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cohorts, contracts, cubes, drivers, features, profile, quality, release, risk, trend, validate
+from ..params import DASHBOARD_ACCOUNTS, DIMS
 from ..sources import tables as sources
 from ..sources.binding import Star
 
@@ -28,9 +29,9 @@ class Marts:
     every mart is its own plan. ``release`` gives the kept ones back.
     """
 
-    def __init__(self, customers: DataFrame, subscriptions: DataFrame, usage: DataFrame, payments: DataFrame, shared: bool = False, many: Callable[[], DataFrame] | None = None):
+    def __init__(self, customers: DataFrame, subscriptions: DataFrame, usage: DataFrame, payments: DataFrame, shared: bool = False, many: Callable[[], DataFrame] | None = None, recent: Callable[[DataFrame], DataFrame] | None = None):
         self.customers, self.subscriptions, self.usage, self.payments, self.shared = customers, subscriptions, usage, payments, shared
-        self._many = many
+        self._many, self._recent = many, recent
         self._kept: list[DataFrame] = []
 
     @classmethod
@@ -39,7 +40,9 @@ class Marts:
         customers, subscriptions = s.customers(), s.subscriptions()
         if shared:
             customers, subscriptions = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (customers, subscriptions))
-        return cls(customers, subscriptions, s.usage(), s.payments(), shared, s.subscriptions_multi)
+        out = cls(customers, subscriptions, s.usage(), s.payments(), shared, s.subscriptions_multi, s.recent_usage)
+        out._kept += [s.last_day, *([customers, subscriptions] if shared else [])]
+        return out
 
     @classmethod
     def of_raw(cls, spark: SparkSession, folder: str, form: str = "parquet", shared: bool = True) -> Marts:
@@ -68,7 +71,8 @@ class Marts:
     def snapshot(self) -> DataFrame:
         s = self.subscriptions
         days = features.snapshot_date((s, "subscription_start_date"), (s, "subscription_end_date"), (self.usage, "usage_date"), (self.payments, "payment_date"))
-        return days.persist()  # one row
+        self._kept.append(days.persist())  # one row
+        return days
 
     @cached_property
     def profile_snapshot(self) -> DataFrame:
@@ -79,11 +83,17 @@ class Marts:
 
     @cached_property
     def subscription_snapshot(self) -> DataFrame:
-        return features.snapshot_date((self.subscriptions, "subscription_start_date"), (self.subscriptions, "subscription_end_date")).persist()
+        self._kept.append(features.snapshot_date((self.subscriptions, "subscription_start_date"), (self.subscriptions, "subscription_end_date")).persist())
+        return self._kept[-1]
+
+    @cached_property
+    def recent_usage(self) -> DataFrame:
+        """Usage that the windows up to the snapshot may need."""
+        return self._recent(self.snapshot) if self._recent else self.usage
 
     @cached_property
     def features(self) -> DataFrame:
-        return self._keep(features.customer_features(self.customers, self.subscriptions, self.usage, self.payments, self.snapshot))
+        return self._keep(features.customer_features(self.customers, self.subscriptions, self.recent_usage, self.payments, self.snapshot))
 
     @cached_property
     def cohorts(self) -> DataFrame:
@@ -211,36 +221,45 @@ class Marts:
         checks["usage_outside_period"] = lambda: validate.usage_outside_period(self.usage, self.subscriptions)
         return self._keep(release.with_severity(_union([check() for check in checks.values()])))
 
-    def exports(self) -> dict[str, DataFrame]:
-        """The marts that are written, by name."""
-        f = self.features
-        by = {f"churn_by_{d}": drivers.churn_by(f, d) for d in ("segment", "region", "acquisition_channel", "plan_type")}
+    @cached_property
+    def _exports(self) -> dict[str, Callable[[], DataFrame]]:
+        """The marts that are written, by name; none is planned before it is called."""
+        f = lambda: self.features
         return {
-            "customer_retention_features": f,
-            "cohort_retention_table": self.cohorts,
-            "segment_retention_summary": self.segments,
-            "overall_retention_trend_monthly": self.trend,
-            "monthly_dimensional_trend": self.facts,
-            **by,
-            "behavioral_churn_relationships": self.relations,
-            "churn_driver_ranking": drivers.churn_driver_ranking(f),
-            "segment_revenue_risk_contribution": self.segment_risk,
-            "intervention_priorities": self.plays,
-            "main_analysis_structured_findings": self.findings,
-            "customer_risk_scores": self.scores,
-            "customer_risk_priority_ranked": self.ranked,
-            "risk_tier_summary": risk.tier_summary(self.scores),
-            "risk_kpi_cube": self.cube,
-            "snapshot_agg": self.cells,
-            "dimension_domains": cubes.dimension_domains(f),
-            "monthly_fact_rows": cubes.monthly_fact_encoded(self.facts),
-            "data_quality_checks": self.quality_checks,
-            "data_contract_checks": self.contract_checks,
-            "final_validation_checks": self.graded,
-            "release_readiness_matrix": release.release_matrix(self.graded),
+            "customer_retention_features": lambda: self.features,
+            "cohort_retention_table": lambda: self.cohorts,
+            "segment_retention_summary": lambda: self.segments,
+            "overall_retention_trend_monthly": lambda: self.trend,
+            "monthly_dimensional_trend": lambda: self.facts,
+            **{f"churn_by_{d}": (lambda d=d: drivers.churn_by(f(), d)) for d in DIMS},
+            "behavioral_churn_relationships": lambda: self.relations,
+            "churn_driver_ranking": lambda: drivers.churn_driver_ranking(f()),
+            "segment_revenue_risk_contribution": lambda: self.segment_risk,
+            "intervention_priorities": lambda: self.plays,
+            "main_analysis_structured_findings": lambda: self.findings,
+            "customer_risk_scores": lambda: self.scores,
+            "customer_risk_priority_ranked": lambda: self.ranked,
+            "risk_tier_summary": lambda: risk.tier_summary(self.scores),
+            "risk_kpi_cube": lambda: self.cube,
+            "snapshot_agg": lambda: self.cells,
+            "dashboard_accounts": lambda: risk.top_accounts(self.accounts, DASHBOARD_ACCOUNTS),
+            "cohort_latest_revenue": lambda: cohorts.cohort_latest_revenue(self.cohorts),
+            "dimension_domains": lambda: cubes.dimension_domains(f()),
+            "monthly_fact_rows": lambda: cubes.monthly_fact_encoded(self.facts),
+            "data_quality_checks": lambda: self.quality_checks,
+            "data_contract_checks": lambda: self.contract_checks,
+            "final_validation_checks": lambda: self.graded,
+            "release_readiness_matrix": lambda: release.release_matrix(self.graded),
         }
 
+    def exports(self, names: list[str] | None = None) -> dict[str, DataFrame]:
+        """The marts that are written, all or some, by name."""
+        return {n: mart() for n, mart in self._exports.items() if names is None or n in names}
+
+    def load(self, folder: str, name: str, form: str = "parquet") -> DataFrame:
+        """A mart as ``write`` left it, with its own types; a later stage can start from it."""
+        return sources.load_mart(self.customers.sparkSession, f"{folder}/{name}", self.exports([name])[name].schema, form)
+
     def write(self, folder: str, form: str = "parquet", names: list[str] | None = None) -> None:
-        for name, mart in self.exports().items():
-            if names is None or name in names:
-                sources.write(mart, f"{folder}/{name}", form)
+        for name, mart in self.exports(names).items():
+            sources.write(mart, f"{folder}/{name}", form)

@@ -471,6 +471,9 @@ _BEST = "CASE WHEN blockers > 0 OR fails > 0 THEN 'publish-blocked' WHEN tech AN
 _SCOPE = "segment = 'BUILDING' AND region = 'ASIA'"
 _RANGE = "BETWEEN DATE '1999-01-01' AND DATE '2001-03-01'"
 _SELECTS: dict[str, str] = {
+    "typed_tables": "SELECT CAST(payment_id AS VARCHAR) AS payment_id, CAST(customer_id AS VARCHAR) AS customer_id, payment_date, CASE WHEN payment_status = 'failed' THEN NULL ELSE amount END AS amount, payment_status FROM payments",
+    "dashboard_accounts": "SELECT * FROM acc ORDER BY retention_priority_score DESC, current_mrr DESC, customer_id LIMIT 800",
+    "mart_round_trip": "SELECT customer_id, priority_rank, retention_priority_score, current_mrr, risk_tier, recommended_action FROM rkd",
     "stg_subscriptions_clean": "SELECT * FROM subs WHERE subscription_start_date IS NOT NULL",
     "month_spine": "SELECT month FROM cspine",
     "snapshot_date": "SELECT 'features' AS sources, snapshot_date FROM snap UNION ALL SELECT 'profile', greatest(snapshot_date, (SELECT max(signup_date) FROM customers)) FROM snap UNION ALL SELECT 'trend', snapshot_date FROM subsnap",

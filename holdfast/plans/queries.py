@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+import weakref
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import rnd
 from ..functions.ranks import percent_rank_avg
 from ..operators import cohorts, contracts, cubes, drivers, features, profile, quality, release, risk, trend
 from ..params import DIMS
-from ..sources.tables import clean_subscriptions
+from ..sources.tables import SCHEMAS, clean_subscriptions, typed
 from .marts import Marts
 
 SCOPE = {"segment": "BUILDING", "region": "ASIA"}
@@ -19,7 +22,7 @@ FROM, TO = "1999-01-01", "2001-03-01"
 
 
 def _usage(m: Marts, *cols: str) -> DataFrame:
-    rows = features.usage_windows(m.usage, m.snapshot)
+    rows = features.usage_windows(m.recent_usage, m.snapshot)
     return rows.select("customer_id", *[rnd(c, 6).alias(c) if t == "double" else F.col(c) for c, t in rows.dtypes if c in cols])
 
 
@@ -37,6 +40,22 @@ def _text(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("subscription_start_date", "subscription_end_date")})
 
 
+def _typed(m: Marts) -> DataFrame:
+    """Payments with all columns as text, some blank, cast to their declared types."""
+    blank = F.when(F.col("payment_status") == "failed", F.lit(" "))
+    text = m.payments.select(*[F.coalesce(blank, F.col(c).cast("string")).alias(c) if c == "amount" else F.col(c).cast("string").alias(c) for c in m.payments.columns])
+    return typed(text, T.StructType.fromDDL(SCHEMAS["payments"]))
+
+
+def _round_trip(m: Marts) -> DataFrame:
+    """A mart written as CSV and loaded with its own types, in a folder that driver and executors share."""
+    spark = m.customers.sparkSession
+    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{place.rstrip('/')}/marts-{uuid.uuid4().hex}"
+    m.write(folder, "csv", ["customer_risk_priority_ranked"])
+    return m.load(folder, "customer_risk_priority_ranked", "csv").select("customer_id", "priority_rank", "retention_priority_score", "current_mrr", "risk_tier", "recommended_action")
+
+
 def _signals(m: Marts) -> DataFrame:
     rows = risk.risk_signals(m.features)
     return rows.select("customer_id", *[rnd(c, 6).alias(c) for c in rows.columns if c.endswith("_signal") and not c.startswith("contract")])
@@ -51,6 +70,7 @@ def _snapshots(m: Marts) -> DataFrame:
 #: Queries of a single chain of marts.
 PLAIN: dict[str, Callable[[Marts], DataFrame]] = {
     "stg_subscriptions_clean": lambda m: clean_subscriptions(_text(m.subscriptions)),
+    "typed_tables": _typed,
     "month_spine": lambda m: trend.month_spine(m.subscriptions, m.snapshot),
     "snapshot_date": _snapshots,
     "usage_window_30d": lambda m: _usage(m, "recent_sessions_30d", "support_tickets_30d", "feature_adoption_score_recent", "recent_30_avg_sessions"),
@@ -133,6 +153,8 @@ SHARED: dict[str, Callable[[Marts], DataFrame]] = {
     "monthly_fact_encoded": lambda m: cubes.monthly_fact_encoded(m.facts),
     "snapshot_filtered": lambda m: cubes.scoped(m.cells, SCOPE, "low"),
     "scored_filtered": lambda m: cubes.scoped(m.accounts, SCOPE, "medium"),
+    "dashboard_accounts": lambda m: m.exports(["dashboard_accounts"])["dashboard_accounts"],
+    "mart_round_trip": _round_trip,
     "priority_table_sorted": lambda m: cubes.sorted_accounts(m.accounts, "churn_risk_score").select("customer_id", "churn_risk_score", "current_mrr"),
     "tier_distribution": lambda m: cubes.tier_distribution(m.accounts),
     "table_profile": lambda m: profile.table_profile(m.raw),
@@ -179,7 +201,13 @@ SHARED: dict[str, Callable[[Marts], DataFrame]] = {
 
 
 def _query(f: Callable[[Marts], DataFrame], shared: bool) -> Callable[[SparkSession, str], DataFrame]:
-    return lambda spark, folder: f(Marts.of_star(spark, folder, shared))
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        marts = Marts.of_star(spark, folder, shared)
+        rows = f(marts)
+        weakref.finalize(rows, marts.release).atexit = False  # what was kept for it goes with it
+        return rows
+
+    return run
 
 
 QUERIES = {k: _query(f, False) for k, f in PLAIN.items()} | {k: _query(f, True) for k, f in SHARED.items()}

@@ -77,8 +77,9 @@ class Star:
             F.col("o_totalprice").alias("monthly_revenue"),
         )
 
-    def usage(self) -> DataFrame:
-        lines = self._read("lineitem").withColumn("usage_date", F.col("l_shipdate").cast("date"))
+    def usage(self, lines: DataFrame | None = None) -> DataFrame:
+        lines = self._read("lineitem") if lines is None else lines
+        lines = lines.withColumn("usage_date", F.col("l_shipdate").cast("date"))
         owner = self._read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id"))
         return (
             lines.join(owner, "l_orderkey")
@@ -95,6 +96,13 @@ class Star:
             )
         )
 
+    def recent_usage(self, snapshot: DataFrame, days: int = 90) -> DataFrame:
+        """Usage of the last days before a snapshot; the filter is on the stored column, and so reaches the scan."""
+        first = snapshot.select(F.date_sub("snapshot_date", days - 1).cast("timestamp_ntz")).scalar()
+        lines = self._read("lineitem")
+        kind = lines.schema["l_shipdate"].dataType.simpleString()
+        return self.usage(lines.where(F.col("l_shipdate") >= first.cast(kind)))
+
     def payments(self) -> DataFrame:
         return self._orders().select(
             F.col("o_orderkey").alias("payment_id"),

@@ -26,6 +26,15 @@ def load(spark: SparkSession, folder: str, name: str, form: str = "parquet") ->
     return typed(raw, schema)
 
 
+def load_mart(spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet") -> DataFrame:
+    """A written mart with its declared types; text formats are read as text and cast."""
+    if form == "csv":
+        return typed(spark.read.csv(path, header=True), schema)
+    if form == "json":
+        return typed(spark.read.schema(T.StructType([T.StructField(f.name, T.StringType()) for f in schema])).json(path), schema)
+    return typed(spark.read.format(form).load(path), schema)
+
+
 def typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
     """Declared columns cast; blank text and NaN are null."""
     cols = []
