@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a task works on; bounds the Python workers' memory.
 CHUNK_BYTES = 1 << 20
+#: Rows of texts that come to a worker at once.
+BATCH_ROWS = 1000
 
 #: Odd multiplier of the polynomial hashes (mod 2**64) and its inverse.
 _BASE = 0x9E3779B97F4A7C15
@@ -39,8 +41,16 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts are long rows: batches of ``BATCH_ROWS`` at most keep workers and executors small."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def text_only(docs: DataFrame, *keep: str) -> DataFrame:
     """The key columns and the text, null text as empty; other columns are not read."""
+    small_batches(docs.sparkSession)
     return docs.select(*keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 

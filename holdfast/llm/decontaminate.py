@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import LOWER, RangeHash, chunks, mix, powers, text_only, utf8, words
+from ._arrow import LOWER, RangeHash, chunks, mix, powers, small_batches, text_only, utf8, words
 
 MIN_MATCH, COVERAGE = 5, 0.6
 #: Words of items that are broadcast at once.
@@ -263,6 +263,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, min_match: int = MIN_MATCH
     Each row is judged by itself, repeated ones alike; an empty table stays empty.
     """
     where = docs.columns.index("text")
+    small_batches(docs.sparkSession)
     for items in item_blocks(benchmark, min_match, coverage, block_words):
         shared = docs.sparkSession.sparkContext.broadcast(items)
 

@@ -36,6 +36,8 @@ HOT, SKEW = 1 << 14, 2
 SIEVE = 1 << 20
 #: Nodes of a shingle that each of its nodes is first held against.
 TRIED = 16
+#: Pairs of a set that are counted out in the first step.
+KEPT = 2
 #: Nodes of a shingle that meet in one task.
 DENSE = 256
 
@@ -87,6 +89,18 @@ def sketches(key: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd.astype(bool), axis=1, bitorder="little").view(np.int64)
 
 
+def _new(ids: np.ndarray, known: set[int]) -> np.ndarray:
+    """Which sets a task hasn't met before, as far as it remembers."""
+    if len(known) > 500_000:
+        known.clear()
+    out = np.zeros(len(ids), bool)
+    for r, i in enumerate(ids.tolist()):
+        if i not in known:
+            known.add(i)
+            out[r] = True
+    return out
+
+
 def _occurrences(docs: DataFrame, n: int) -> np.ndarray:
     """Shingles of all documents by bucket; the driver takes one row a bucket."""
 
@@ -120,13 +134,7 @@ def _postings(docs: DataFrame, n: int, similarity: tuple[int, int], hot: int) ->
         for batch in chunks(batches):
             key, row, size = shingles(batch.column(0), n)
             ids = set_ids(key, size)
-            if len(known) > 1_000_000:
-                known.clear()
-            new = np.zeros(len(ids), bool)
-            for r, i in enumerate(ids.tolist()):
-                if i not in known:
-                    known.add(i)
-                    new[r] = True
+            new = _new(ids, known)
             some = new[row]
             key, row = key[some], row[some]
             size = np.where(new, size, 0)
@@ -158,10 +166,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, n: int, similarity: tuple[int,
     shared = docs.sparkSession.sparkContext.broadcast(sieve)
 
     def scan(batches):
+        known: set[int] = set()
         for batch in chunks(batches):
             key, row, size = shingles(batch.column(0), n)
             ids = set_ids(key, size)
-            some = shared.value[ids & (SIEVE - 1)]
+            some = shared.value[ids & (SIEVE - 1)] & _new(ids, known)
             offsets = np.concatenate([[0], np.cumsum(size[some])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[some]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(key[some[row]].view(np.int64)))], names=["set", "keys"]
@@ -184,6 +193,12 @@ def _may(similarity: tuple[int, int], x: str, y: str) -> Column:
     return (F.least(n, m) * q >= F.greatest(n, m) * p) & (follow * (p + q) >= (n + m) * p)
 
 
+def _close(similarity: tuple[int, int], both: Column) -> Column:
+    """Whether the sketches of ``x`` and ``y`` leave a pair of so many shingles: of these at most (q - p) / (q + p) are in one set only."""
+    p, q = similarity
+    return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH), F.lit(0)) * (p + q) <= both * (q - p)
+
+
 def _tried(rows: DataFrame, *by: str) -> DataFrame:
     """Rows of distinct sets, numbered in their shingle (and salt), with those before them."""
     w = Window.partitionBy(*by).orderBy("set")
@@ -201,16 +216,24 @@ class Join:
         shared = posted.where("a <> b or salt > 0").drop("a", "b").dropDuplicates(["shingle", "salt", "set"])
         self.met = _tried(shared, "shingle", "salt").checkpoint()
 
-    def first(self) -> DataFrame:
-        """Similar pairs of a set and some of the sets of its prefix's shingles; of a salted shingle, also of its salts' first ones."""
+    def first(self, sketched: DataFrame) -> DataFrame:
+        """Similar pairs of a set and some of the sets of its prefix's shingles; of a salted shingle, also of its salts' first ones.
+
+        Of those that the sketches (``set, s0, ...``) leave, ``KEPT`` for each set are counted out: links
+        are wanted here, and what isn't linked by them is left to ``rest``.
+        """
         firsts = _tried(self.met.where(F.col("salt") > 0).where(F.col("number") <= TRIED).drop("before", "number"), "shingle")
         met = reduce(DataFrame.unionByName, (t.select("set", "at", F.explode("before").alias("lead")) for t in (self.met, firsts)))
-        pairs = met.where(_may(self.similarity, "", "lead.")).select(*_pair("set", "lead.set")).distinct().checkpoint()
+        size = lambda c: F.shiftright(c, 32)
+        pairs = met.where(_may(self.similarity, "", "lead.")).select("set", F.col("lead.set").alias("lead"), (size("at") + size("lead.at")).alias("both")).distinct()
+        mine = sketched.select("set", *SKETCH)
+        pairs = pairs.join(mine, "set").alias("x").join(mine.withColumnRenamed("set", "lead").alias("y"), "lead").where(_close(self.similarity, F.col("both")))
+        place = F.row_number().over(Window.partitionBy("set").orderBy("lead"))
+        pairs = pairs.select("set", "lead", place.alias("place")).where(F.col("place") <= KEPT).select(*_pair("set", "lead")).distinct().checkpoint()
         return _verified(self.docs, pairs, self.shingle, self.similarity)
 
     def rest(self, labels: DataFrame) -> DataFrame:
         """Similar pairs of sets of different components (``set, component`` and the sketch)."""
-        p, q = self.similarity
         rows = self.met.select("shingle", "set", "at").join(labels, "set")
         parts = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
         rows = rows.join(parts.select("shingle", F.ceil(F.col("many") / self.dense).cast("int").alias("salts")), "shingle").checkpoint()
@@ -223,11 +246,7 @@ class Join:
             & (F.col("x.set") < F.col("y.set"))
             & (F.col("x.component") != F.col("y.component"))
             & _may(self.similarity, "x.", "y.")
-            # of n and m shingles at most (n + m) * (q - p) / (q + p) are in one set only
-            & (
-                sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH), F.lit(0)) * (p + q)
-                <= (F.shiftright("x.at", 32) + F.shiftright("y.at", 32)) * (q - p)
-            ),
+            & _close(self.similarity, F.shiftright("x.at", 32) + F.shiftright("y.at", 32)),
         )
         pairs = met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct().checkpoint()
         return _verified(self.docs, pairs, self.shingle, self.similarity)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._arrow import chunks
+from ._arrow import chunks, small_batches
 
 #: Pages that mark their own article which training takes, by their hash (about so many, or all if there are fewer).
 TRAIN_PAGES = 2000
@@ -486,6 +486,7 @@ def main_text(pages: DataFrame, model: Model | None = None) -> DataFrame:
     page of bare text that text. Other columns are not used; an empty table gives no rows. A
     map over partitions, with no shuffle but the training counts'.
     """
+    small_batches(pages.sparkSession)
     model = model or train(pages)
 
     def scan(batches):

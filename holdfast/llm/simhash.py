@@ -228,7 +228,7 @@ def near_copies(docs: DataFrame, shingle: int = jaccard.SHINGLE, distance: int =
         return pairs.join(next(ends), "a").join(next(ends), "b").select(F.col("a_lead").alias("a"), F.col("b_lead").alias("b"))
 
     join = jaccard.Join(docs, shingle, similarity)
-    edges = links(prints, distance).unionByName(named(join.first()))
+    edges = links(prints, distance).unionByName(named(join.first(sets)))
     edges = edges.unionByName(sets.join(prints, "fp").where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")))
     found = components(edges)
     labels = sets.join(found.withColumnRenamed("node", "lead"), "lead", "left").select("set", F.coalesce("component", "lead").alias("component"), *jaccard.SKETCH).checkpoint()
