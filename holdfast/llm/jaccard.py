@@ -35,7 +35,7 @@ HOT, SKEW = 1 << 14, 2
 #: Bits of the sieve that picks the sets to be checked; it comes to the driver as bitmaps, 128 KB at most.
 SIEVE = 1 << 20
 #: Nodes of a shingle that each of its nodes is first held against.
-TRIED = 16
+TRIED = 4
 #: Pairs of a set that are counted out in the first step.
 KEPT = 2
 #: Nodes of a shingle that meet in one task.
