@@ -98,10 +98,9 @@ class Star:
 
     def recent_usage(self, snapshot: DataFrame, days: int = 90) -> DataFrame:
         """Usage of the last days before a snapshot; the filter is on the stored column, and so reaches the scan."""
-        first = snapshot.select(F.date_sub("snapshot_date", days - 1).cast("timestamp_ntz")).scalar()
         lines = self._read("lineitem")
-        kind = lines.schema["l_shipdate"].dataType.simpleString()
-        return self.usage(lines.where(F.col("l_shipdate") >= first.cast(kind)))
+        first = snapshot.select(F.date_sub("snapshot_date", days - 1).cast(lines.schema["l_shipdate"].dataType)).scalar()
+        return self.usage(lines.where(F.col("l_shipdate") >= first))
 
     def payments(self) -> DataFrame:
         return self._orders().select(
