@@ -199,6 +199,18 @@ def _close(similarity: tuple[int, int], both: Column) -> Column:
     return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH), F.lit(0)) * (p + q) <= both * (q - p)
 
 
+def _enough(similarity: tuple[int, int]) -> Column:
+    """Whether the ``shared`` shingles of both prefixes, all of them, leave a pair of ``n`` and ``m`` shingles.
+
+    What the sets share beyond them stands behind the prefix in the set whose prefix ends first,
+    and behind the last shared one in both (``follow`` counts that one).
+    """
+    p, q = similarity
+    behind = F.greatest(*[F.ceil(F.col(c) * p / q) - 1 for c in "nm"])
+    most = F.col("shared") + F.least(behind, F.col("follow") - 1)
+    return most * (p + q) >= (F.col("n") + F.col("m")) * p
+
+
 def _tried(rows: DataFrame, *by: str) -> DataFrame:
     """Rows of distinct sets, numbered in their shingle (and salt), with those before them."""
     w = Window.partitionBy(*by).orderBy("set")
@@ -233,20 +245,31 @@ class Join:
         return _verified(self.docs, pairs, self.shingle, self.similarity)
 
     def rest(self, labels: DataFrame) -> DataFrame:
-        """Similar pairs of sets of different components (``set, component`` and the sketch)."""
-        rows = self.met.select("shingle", "set", "at").join(labels, "set")
+        """Similar pairs of sets of different components (``set, component`` and the sketch).
+
+        Here a pair meets at every shingle that both prefixes share, so their number bounds the
+        overlap as well (see ``_enough``); few pairs are left to be counted out.
+        """
+        rows = self.met.select("shingle", "set", "at").join(labels.select("set", "component"), "set")
         parts = rows.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("many")).where("lo <> hi")
         rows = rows.join(parts.select("shingle", F.ceil(F.col("many") / self.dense).cast("int").alias("salts")), "shingle").checkpoint()
-        x = rows.withColumn("salt", F.pmod(F.xxhash64("set"), F.col("salts")).cast("int")).alias("x")
-        y = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
-        met = x.join(
-            y,
+        rows = rows.join(labels.select("set", *SKETCH), "set")
+        n, m = F.shiftright("x.at", 32), F.shiftright("y.at", 32)
+        p, q = self.similarity
+        may = (
             (F.col("x.shingle") == F.col("y.shingle"))
-            & (F.col("x.salt") == F.col("y.salt"))
             & (F.col("x.set") < F.col("y.set"))
             & (F.col("x.component") != F.col("y.component"))
-            & _may(self.similarity, "x.", "y.")
-            & _close(self.similarity, F.shiftright("x.at", 32) + F.shiftright("y.at", 32)),
+            & (F.least(n, m) * q >= F.greatest(n, m) * p)
+            & _close(self.similarity, n + m)
         )
-        pairs = met.select(F.col("x.set").alias("a"), F.col("y.set").alias("b")).distinct().checkpoint()
+        plain, hot = rows.where("salts = 1"), rows.where("salts > 1")
+        x = hot.withColumn("salt", F.pmod(F.xxhash64("set"), F.col("salts")).cast("int")).alias("x")
+        y = hot.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).alias("y")
+        ends = [F.col("x.set").alias("a"), F.col("y.set").alias("b"), n.alias("n"), m.alias("m")]
+        ends.append(F.least(n - F.col("x.at").bitwiseAND(F.lit(0xFFFFFFFF)), m - F.col("y.at").bitwiseAND(F.lit(0xFFFFFFFF))).alias("follow"))
+        met = plain.alias("x").join(plain.alias("y"), may).select(*ends)
+        met = met.unionByName(x.join(y, may & (F.col("x.salt") == F.col("y.salt"))).select(*ends))
+        shared = met.groupBy("a", "b", "n", "m").agg(F.count("*").alias("shared"), F.min("follow").alias("follow"))
+        pairs = shared.where(_enough(self.similarity)).select("a", "b").checkpoint()
         return _verified(self.docs, pairs, self.shingle, self.similarity)
