@@ -6,7 +6,7 @@ into one global order, rare ones first, and three filters prune pairs without lo
 
 prefix      similar sets share a shingle within the first ``n - ceil(n * p / q) + 1`` of each;
 length      the smaller one has ``p / q`` of the larger one's shingles at least;
-positional  what can still follow the first shared shingle, in either, makes up the overlap.
+positional  the shingles that both prefixes share and what can still follow the last of them make up the overlap.
 
 What is left is checked by counting. Components are wanted, not pairs: each node is
 first held against ``TRIED`` nodes for each of its shingles, those before it in the order of
@@ -185,20 +185,18 @@ def _pair(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
 
-def _may(similarity: tuple[int, int], x: str, y: str) -> Column:
-    """Whether the length and positional filters leave a pair that shares a shingle of both prefixes."""
-    p, q = similarity
-    n, m = F.shiftright(f"{x}at", 32), F.shiftright(f"{y}at", 32)
-    follow = F.least(n - F.col(f"{x}at").bitwiseAND(F.lit(0xFFFFFFFF)), m - F.col(f"{y}at").bitwiseAND(F.lit(0xFFFFFFFF)))
-    return (F.least(n, m) * q >= F.greatest(n, m) * p) & (follow * (p + q) >= (n + m) * p)
-
-
 def _close(similarity: tuple[int, int], both: Column) -> Column:
     """Whether the sketches of ``x`` and ``y`` leave a pair of so many shingles: of these at most (q - p) / (q + p) are in one set only."""
     p, q = similarity
     return sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in SKETCH), F.lit(0)) * (p + q) <= both * (q - p)
 
 
+def _behind(similarity: tuple[int, int]) -> Column:
+    """The larger number of shingles behind the prefix, of sets of ``n`` and ``m``."""
+    p, q = similarity
+    return F.greatest(*[F.ceil(F.col(c) * p / q) - 1 for c in "nm"])
+
+
 def _enough(similarity: tuple[int, int]) -> Column:
     """Whether the ``shared`` shingles of both prefixes, all of them, leave a pair of ``n`` and ``m`` shingles.
 
@@ -206,8 +204,7 @@ def _enough(similarity: tuple[int, int]) -> Column:
     and behind the last shared one in both (``follow`` counts that one).
     """
     p, q = similarity
-    behind = F.greatest(*[F.ceil(F.col(c) * p / q) - 1 for c in "nm"])
-    most = F.col("shared") + F.least(behind, F.col("follow") - 1)
+    most = F.col("shared") + F.least(_behind(similarity), F.col("follow") - 1)
     return most * (p + q) >= (F.col("n") + F.col("m")) * p
 
 
@@ -231,16 +228,19 @@ class Join:
     def first(self, sketched: DataFrame) -> DataFrame:
         """Similar pairs of a set and some of the sets of its prefix's shingles; of a salted shingle, also of its salts' first ones.
 
-        Of those that the sketches (``set, s0, ...``) leave, ``KEPT`` for each set are counted out: links
-        are wanted here, and what isn't linked by them is left to ``rest``.
+        Of those that the sketches (``set, s0, ...``) leave and that meet at half the needed number of
+        shingles, the ``KEPT`` that meet most often are counted out for each set: links are wanted
+        here, and what isn't linked by them is left to ``rest``.
         """
         firsts = _tried(self.met.where(F.col("salt") > 0).where(F.col("number") <= TRIED).drop("before", "number"), "shingle")
         met = reduce(DataFrame.unionByName, (t.select("set", "at", F.explode("before").alias("lead")) for t in (self.met, firsts)))
-        size = lambda c: F.shiftright(c, 32)
-        pairs = met.where(_may(self.similarity, "", "lead.")).select("set", F.col("lead.set").alias("lead"), (size("at") + size("lead.at")).alias("both")).distinct()
+        n, m = F.shiftright("at", 32), F.shiftright("lead.at", 32)
+        p, q = self.similarity
+        met = met.where(F.least(n, m) * q >= F.greatest(n, m) * p).groupBy("set", F.col("lead.set").alias("lead"), n.alias("n"), m.alias("m")).agg(F.count("*").alias("shared"))
+        met = met.where(F.col("shared") * 2 * (p + q) >= (F.col("n") + F.col("m")) * p - _behind(self.similarity) * (p + q))
         mine = sketched.select("set", *SKETCH)
-        pairs = pairs.join(mine, "set").alias("x").join(mine.withColumnRenamed("set", "lead").alias("y"), "lead").where(_close(self.similarity, F.col("both")))
-        place = F.row_number().over(Window.partitionBy("set").orderBy("lead"))
+        pairs = met.join(mine, "set").alias("x").join(mine.withColumnRenamed("set", "lead").alias("y"), "lead").where(_close(self.similarity, F.col("n") + F.col("m")))
+        place = F.row_number().over(Window.partitionBy("set").orderBy(F.desc("shared"), "lead"))
         pairs = pairs.select("set", "lead", place.alias("place")).where(F.col("place") <= KEPT).select(*_pair("set", "lead")).distinct().checkpoint()
         return _verified(self.docs, pairs, self.shingle, self.similarity)
 
