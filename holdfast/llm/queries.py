@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, line_dedup, main_text, pii, quality, sentence_pieces, simhash, topk
+from . import decontaminate, langid, licenses, line_dedup, main_text, pii, quality, sentence_pieces, simhash, token_align, topk
 from ._arrow import read_table
 
 
@@ -56,6 +56,10 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.aligned_documents(read_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +70,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_main_text, op3_decontaminate, op4_language, op5_licenses, op6_quality, op7_topk, op8_line_dedup, op9_near_duplicates,
-        op10_sentence_pieces, pipeline,
+        op10_sentence_pieces, op13_token_align, pipeline,
     )
 }
 
