@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, line_dedup, main_text, pii, quality, sentence_pieces, simhash, token_align, topk
+from . import decontaminate, langid, licenses, line_dedup, main_text, pii, quality, sentence_pieces, simhash, spelling, token_align, topk, warc
 from ._arrow import read_table
 
 
@@ -56,6 +56,15 @@ def op10_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(read_table(spark, sf_dir, "documents"))
+
+
 def op13_token_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_align.aligned_documents(read_table(spark, sf_dir, "documents"))
 
@@ -70,8 +79,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_pii, op2_main_text, op3_decontaminate, op4_language, op5_licenses, op6_quality, op7_topk, op8_line_dedup, op9_near_duplicates,
-        op10_sentence_pieces, op13_token_align, pipeline,
+        op10_sentence_pieces, op11_warc, op12_spelling, op13_token_align, pipeline,
     )
 }
 
-ORACLES = {"op5_licenses": licenses.oracle(), "op7_topk": topk.ORACLE, "op8_line_dedup": line_dedup.oracle()}
+ORACLES = {"op5_licenses": licenses.oracle(), "op7_topk": topk.ORACLE, "op8_line_dedup": line_dedup.oracle(), "op11_warc": warc.oracle()}
