@@ -1,47 +1,46 @@
-"""Ranks over whole tables without sorting them in one task."""
+"""Ranks and quantiles over whole tables without sorting them in one task."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that are drawn to cut an order into ranges, and how many cuts are looked through at once.
+DRAWN, STEP = 1023, 32
 
-def _before(counts: DataFrame, value: str, n: str) -> DataFrame:
-    """Rows below each distinct value: ``value, below, n``.
 
-    Values fall into buckets that grow with their size, at most 64 a power of two. The
-    running sum over buckets is over at most some 60,000 rows; the one over a bucket's
-    distinct values is a task for each bucket.
-    """
-    v = F.col(value)
-    bucket = F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * 64)
-    rows = counts.withColumn("_bucket", bucket)
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy("_bucket").agg(F.sum(n).alias("_n")).select("_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(totals, "_bucket").select(value, (F.col("_base") + F.coalesce(F.sum(n).over(inside), F.lit(0))).alias("below"), n)
+def _bucket(v: Column) -> Column:
+    """Buckets that grow with their values' size, 64 a power of two: some 60,000 at most."""
+    return F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * 64)
+
+
+def _listed(df: DataFrame, columns: list[str], *keep: str) -> DataFrame:
+    """``name, v`` of each column's values beside the kept columns, nulls left out."""
+    entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in columns])
+    return df.select(*keep, F.explode(entries).alias("e")).select(*keep, "e.name", "e.v").where("v is not null")
 
 
 def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], *by: str) -> DataFrame:
     """Exact, interpolated quantiles: for each name the one of (column, share), one row, or one for each value of ``by``.
 
-    Values are counted first; a histogram of buckets names those with the wanted places, and
-    only their distinct values are put in order, a task for each bucket.
+    By radix selection: a histogram of buckets, counted in the tasks first, names the few
+    with the wanted places, and only these buckets' values are shuffled and put in order.
     """
-    spark, keys, v = df.sparkSession, [*by, "name"], F.col("v")
-    listed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in sorted({c for c, _ in wanted.values()})])
-    rows = df.select(*by, F.explode(listed).alias("e")).select(*by, "e.name", "e.v").where("v is not null")
-    counts = rows.groupBy(*keys, "v").agg(F.count("*").alias("n")).withColumn("bucket", F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * 64))
+    keys, v = [*by, "name"], F.col("v")
+    rows = _listed(df, sorted({c for c, _ in wanted.values()}), *by).withColumn("bucket", _bucket(v))
     every = Window.partitionBy(*keys)
     upto = every.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("m"))
-    totals = totals.withColumns({"base": F.coalesce(F.sum("m").over(upto), F.lit(0)), "everyone": F.sum("m").over(every)})
-    asked = spark.createDataFrame([(out, c, p) for out, (c, p) in wanted.items()], "out string, name string, p double")
-    places = totals.join(F.broadcast(asked), "name").withColumn("place", F.col("p") * (F.col("everyone") - 1))
-    places = places.select(*keys, "bucket", "base", "m", "out", "place", F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("k"))
-    places = places.where("base <= k and k < base + m").distinct().drop("m")
+    totals = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("m"))
+    totals = totals.select(*keys, "bucket", "m", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("base"), F.sum("m").over(every).alias("everyone"))
+    asked = F.array(*[F.struct(F.lit(out).alias("out"), F.lit(c).alias("of"), F.lit(float(p)).alias("p")) for out, (c, p) in wanted.items()])
+    place = F.col("p") * (F.col("everyone") - 1)
+    places = totals.select(*keys, "bucket", "base", "m", "everyone", F.inline(asked)).where("of = name")
+    places = places.select(*keys, "bucket", "base", "m", "out", place.alias("place"), F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("k"))
+    # two rows at most for each quantile and value of ``by``
+    places = F.broadcast(places.where("base <= k and k < base + m").drop("m"))
     inside = Window.partitionBy(*keys, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    near = counts.join(places.select(*keys, "bucket").distinct(), [*keys, "bucket"], "left_semi").withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    near = rows.join(places.select(*keys, "bucket"), [*keys, "bucket"], "left_semi").groupBy(*keys, "bucket", "v").agg(F.count("*").alias("n"))
+    near = near.select(*keys, "bucket", "v", "n", F.coalesce(F.sum("n").over(inside), F.lit(0)).alias("below"))
     met = near.join(places, [*keys, "bucket"]).where("base + below <= k and k < base + below + n")
     low, high = (F.max(F.when(F.col("k") == f("place"), v)) for f in (F.floor, F.ceil))
     place = F.max("place")
@@ -50,29 +49,57 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], *by: str) ->
     return found.groupBy(*by).agg(*[F.max(F.when(F.col("out") == out, F.col("q"))).alias(out) for out in wanted])
 
 
-def percent_rank_avg(df: DataFrame, key: str, *values: str) -> DataFrame:
+def _cuts(df: DataFrame, columns: list[Column], drawn: int, by: list[Column]) -> DataFrame:
+    """One row: for each column the sorted distinct values of ``drawn`` rows, those of the smallest hashes, so that they are the same each time."""
+    some = df.select(F.xxhash64(*by).alias("h"), *[c.alias(f"c{k}") for k, c in enumerate(columns)])
+    some = some.orderBy("h", *[f"c{k}" for k in range(len(columns))]).limit(drawn)
+    return some.agg(*[F.array_sort(F.collect_set(f"c{k}")).alias(f"cuts{k}") for k in range(len(columns))])
+
+
+def _below(cuts: Column, v: Column) -> tuple[Column, Column]:
+    """How many of the sorted cuts are smaller than ``v``, and whether it is one of them."""
+    coarse = F.filter(cuts, lambda c, i: (i + 1) % STEP == 0)
+    step = F.size(F.filter(coarse, lambda c: c < v)) * STEP
+    fine = F.slice(cuts, step + 1, STEP)
+    return step + F.size(F.filter(fine, lambda c: c < v)), F.exists(fine, lambda c: c == v)
+
+
+def percent_rank_avg(df: DataFrame, key: str, *values: str, drawn: int = DRAWN) -> DataFrame:
     """``key, name, rank``: for each of the columns, the mean rank of ties over the number of rows with a value.
 
-    All columns are ranked together, in one pass over the rows.
+    All columns are ranked together, and their rows are exchanged once. Drawn values cut
+    each column into ranges, whose rows are ranked by themselves, on top of the rows below.
+    Rows with a drawn value are all tied: their number alone gives their rank, so they are
+    dealt out by key. A value that many rows share is drawn almost surely, so no range has
+    many more rows than others.
+    """
+    spread = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"cuts{k}").alias("cuts")) for k, c in enumerate(values)])
+    cuts = _cuts(df, [F.col(c).cast("double") for c in values], drawn, [F.col(key)]).select(F.inline(spread))
+    below, tied = _below(F.col("cuts"), F.col("v"))
+    rows = _listed(df, list(values), key).join(F.broadcast(cuts), "name").select(key, "name", "v", below.alias("range"), tied.alias("tied"))
+    parts = ["name", "range", "tied"]
+    every = Window.partitionBy("name")
+    upto = every.orderBy("range", "tied").rowsBetween(Window.unboundedPreceding, -1)  # of the ranges' counts
+    counts = rows.groupBy(*parts).agg(F.count("*").alias("m"))
+    counts = counts.select(*parts, "m", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("base"), F.sum("m").over(every).alias("everyone"))
+    inside = Window.partitionBy(*parts, "dealt").orderBy("v")
+    own = F.when(F.col("tied"), (F.col("m") + 1) / 2).otherwise((F.rank().over(inside) + F.count("*").over(inside)) / 2)
+    rows = rows.withColumn("dealt", F.when(F.col("tied"), F.pmod(F.xxhash64(key), F.lit(1024))).otherwise(0)).join(F.broadcast(counts), parts)
+    return rows.select(key, "name", ((F.col("base") + own) / F.col("everyone")).alias("rank"))
+
+
+def ordinal(df: DataFrame, first: str, *then: str | Column, out: str = "rank", drawn: int = DRAWN) -> DataFrame:
+    """``df`` with its place (from 1) by falling ``first``, then by rising ``then``.
+
+    Drawn rows cut the whole order, not ``first`` alone, into ranges; a range's rows are
+    numbered by themselves, on top of the rows of the ranges before.
     """
-    listed = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("v")) for c in values])
-    rows = df.select(key, F.explode(listed).alias("e")).select(key, "e.name", "e.v").where("v is not null")
-    v = F.col("v")
-    bucket = F.floor(F.signum(v) * F.log2(F.lit(1.0) + F.abs(v)) * 64)
-    counts = rows.groupBy("name", "v").agg(F.count("*").alias("n")).withColumn("bucket", bucket)
-    order = Window.partitionBy("name").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    totals = counts.groupBy("name", "bucket").agg(F.sum("n").alias("m"))
-    totals = totals.select("name", "bucket", F.coalesce(F.sum("m").over(order), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy("name")).alias("everyone"))
-    inside = Window.partitionBy("name", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))
-    ranks = counts.join(totals, ["name", "bucket"]).select("name", "v", ((below + (F.col("n") + 1) / 2) / F.col("everyone")).alias("rank"))
-    return rows.join(ranks, ["name", "v"]).select(key, "name", "rank")
-
-
-def ordinal(df: DataFrame, first: str, *then, out: str = "rank") -> DataFrame:
-    """``df`` with its place (from 1) by falling ``first``, then by ``then``."""
-    counts = df.groupBy(first).agg(F.count("*").alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_all"))
-    above = _before(counts, first, "_n").crossJoin(F.broadcast(total)).select(first, (F.col("_all") - F.col("below") - F.col("_n")).alias("_above"))
-    place = F.row_number().over(Window.partitionBy(first).orderBy(*then))
-    return df.join(above, first).withColumn(out, F.col("_above") + place).drop("_above")
+    order = [F.col(first).isNull(), -F.col(first), *(F.col(c) if isinstance(c, str) else c for c in then)]
+    place = F.struct(*[c.alias(f"k{k}") for k, c in enumerate(order)])
+    rows = df.withColumn("_place", place).crossJoin(F.broadcast(_cuts(df, [place], drawn, order)))
+    rows = rows.withColumn("_range", _below(F.col("cuts0"), F.col("_place"))[0]).drop("cuts0")
+    upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of the ranges' counts
+    counts = rows.groupBy("_range").agg(F.count("*").alias("_m")).select("_range", F.coalesce(F.sum("_m").over(upto), F.lit(0)).alias("_base"))
+    number = F.row_number().over(Window.partitionBy("_range").orderBy("_place"))
+    rows = rows.join(F.broadcast(counts), "_range").withColumn(out, F.col("_base") + number)
+    return rows.drop("_place", "_range", "_base")

@@ -11,6 +11,8 @@ from .risk import exposed_mrr
 
 _RISK = ("churn_risk_score", "revenue_risk_score", "retention_priority_score", "risk_tier", "main_risk_driver", "recommended_action")
 
+ACCOUNT_COLUMNS = ["customer_id", *DIMS, "current_mrr", "at_risk_flag", "usage_trend", "support_tickets_90d", "nps_score_recent", "payment_failure_flag", *_RISK]
+
 
 def snapshot_enriched(features: DataFrame, scores: DataFrame) -> DataFrame:
     """All customers with their scores; who has none is churned, or low where not churned."""
@@ -42,8 +44,7 @@ def snapshot_cells(snapshot: DataFrame) -> DataFrame:
 
 def scored_accounts(snapshot: DataFrame) -> DataFrame:
     two = {"current_mrr", "usage_trend", "nps_score_recent", *_RISK[:3]}
-    names = ["customer_id", *DIMS, "current_mrr", "at_risk_flag", "usage_trend", "support_tickets_90d", "nps_score_recent", "payment_failure_flag", *_RISK]
-    return snapshot.where("churn_flag = 0").select(*[rnd(c, 2).alias(c) if c in two else F.col(c) for c in names])
+    return snapshot.where("churn_flag = 0").select(*[rnd(c, 2).alias(c) if c in two else F.col(c) for c in ACCOUNT_COLUMNS])
 
 
 def risk_kpi_cube(accounts: DataFrame) -> DataFrame:

@@ -301,10 +301,9 @@ def usage_trend_distribution(features: DataFrame) -> DataFrame:
 
 
 def support_tickets_by_churn(features: DataFrame) -> DataFrame:
-    return features.groupBy("churn_flag").agg(
-        rnd(F.avg("support_tickets_90d"), 6).alias("avg_support_tickets_90d"),
-        rnd(F.percentile("support_tickets_90d", F.lit(0.75)), 6).alias("p75_support_tickets_90d"),
-    )
+    means = features.groupBy("churn_flag").agg(rnd(F.avg("support_tickets_90d"), 6).alias("avg_support_tickets_90d"))
+    q = quantiles(features, {"q": ("support_tickets_90d", 0.75)}, "churn_flag")
+    return means.join(F.broadcast(q), "churn_flag", "left").select("churn_flag", "avg_support_tickets_90d", rnd("q", 6).alias("p75_support_tickets_90d"))
 
 
 def diagnostic_means(snapshot_cells: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def risk_scores(features: DataFrame) -> DataFrame:
 
 def ranked(scores: DataFrame) -> DataFrame:
     """Scores with their place by priority, then revenue, then id."""
-    return ordinal(scores, "retention_priority_score", F.desc("current_mrr"), "customer_id", out="priority_rank")
+    return ordinal(scores, "retention_priority_score", F.col("current_mrr").isNull(), -F.col("current_mrr"), "customer_id", out="priority_rank")
 
 
 def top_accounts(scores: DataFrame, n: int) -> DataFrame:

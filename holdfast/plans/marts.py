@@ -14,34 +14,27 @@ from ..sources import tables as sources
 from ..sources.binding import Star
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    """All rows of equal columns; halves are joined first, so that no part is analysed over and over."""
-    if len(parts) == 1:
-        return parts[0]
-    return _union(parts[: len(parts) // 2]).union(_union(parts[len(parts) // 2 :]))
-
-
 class Marts:
     """Marts over one set of raw tables.
 
     With ``shared`` the marts that others read are kept (in memory and on disk) once they
     are computed, so that a report over many of them plans and runs each once; without it
-    every mart is its own plan. ``release`` gives the kept ones back.
+    every mart is its own plan. With ``cut`` the marts that many others are made from are
+    written as checkpoints when they are first asked for, so that what reads them is planned
+    without what they were made of. ``release`` gives the kept ones back.
     """
 
-    def __init__(self, customers: DataFrame, subscriptions: DataFrame, usage: DataFrame, payments: DataFrame, shared: bool = False, many: Callable[[], DataFrame] | None = None, recent: Callable[[DataFrame], DataFrame] | None = None):
-        self.customers, self.subscriptions, self.usage, self.payments, self.shared = customers, subscriptions, usage, payments, shared
+    def __init__(self, customers: DataFrame, subscriptions: DataFrame, usage: DataFrame, payments: DataFrame, shared: bool = False, many: Callable[[], DataFrame] | None = None, recent: Callable[[DataFrame], DataFrame] | None = None, cut: bool = False):
+        self.customers, self.subscriptions, self.usage, self.payments, self.shared, self.cut = customers, subscriptions, usage, payments, shared, cut
         self._many, self._recent = many, recent
         self._kept: list[DataFrame] = []
 
     @classmethod
-    def of_star(cls, spark: SparkSession, folder: str, shared: bool = False) -> Marts:
+    def of_star(cls, spark: SparkSession, folder: str, shared: bool = False, cut: bool = False) -> Marts:
         s = Star(spark, folder)
-        customers, subscriptions = s.customers(), s.subscriptions()
-        if shared:
-            customers, subscriptions = (df.persist(StorageLevel.MEMORY_AND_DISK) for df in (customers, subscriptions))
-        out = cls(customers, subscriptions, s.usage(), s.payments(), shared, s.subscriptions_multi, s.recent_usage)
-        out._kept += [s.last_day, *([customers, subscriptions] if shared else [])]
+        out = cls(s.customers(), s.subscriptions(), s.usage(), s.payments(), shared, s.subscriptions_multi, s.recent_usage, cut)
+        out.customers, out.subscriptions = out._base(out.customers), out._base(out.subscriptions)
+        out._kept.append(s.last_day)
         return out
 
     @classmethod
@@ -54,6 +47,13 @@ class Marts:
         self._kept.append(df.persist(StorageLevel.MEMORY_AND_DISK))
         return self._kept[-1]
 
+    def _base(self, df: DataFrame) -> DataFrame:
+        """A table or mart that many others are made from."""
+        if not self.cut:
+            return self._keep(df)
+        sources.shared_folder(df.sparkSession)
+        return df.checkpoint()
+
     def release(self) -> None:
         while self._kept:
             self._kept.pop().unpersist()
@@ -93,11 +93,11 @@ class Marts:
 
     @cached_property
     def features(self) -> DataFrame:
-        return self._keep(features.customer_features(self.customers, self.subscriptions, self.recent_usage, self.payments, self.snapshot))
+        return self._base(features.customer_features(self.customers, self.subscriptions, self.recent_usage, self.payments, self.snapshot))
 
     @cached_property
     def cohorts(self) -> DataFrame:
-        return self._keep(cohorts.cohort_retention(self.subscriptions, self.snapshot))
+        return self._base(cohorts.cohort_retention(self.subscriptions, self.snapshot))
 
     @cached_property
     def segments(self) -> DataFrame:
@@ -105,11 +105,11 @@ class Marts:
 
     @cached_property
     def trend(self) -> DataFrame:
-        return self._keep(trend.monthly_trend(self.subscriptions, self.subscription_snapshot))
+        return self._base(trend.monthly_trend(self.subscriptions, self.subscription_snapshot))
 
     @cached_property
     def facts(self) -> DataFrame:
-        return self._keep(trend.dimensional_trend(self.customers, self.subscriptions, self.subscription_snapshot))
+        return self._base(trend.dimensional_trend(self.customers, self.subscriptions, self.subscription_snapshot))
 
     @cached_property
     def overall(self) -> DataFrame:
@@ -139,7 +139,7 @@ class Marts:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return self._keep(risk.risk_scores(self.features))
+        return self._base(risk.risk_scores(self.features))
 
     @cached_property
     def ranked(self) -> DataFrame:
@@ -176,50 +176,48 @@ class Marts:
         )
 
     @cached_property
-    def validations(self) -> dict[str, Callable[[], DataFrame]]:
-        """Each cross-mart check by its key; none is planned before it is called."""
+    def views(self) -> dict[str, Callable[[], DataFrame]]:
+        """What the checks' figures are over, by name; none is planned before it is called."""
         v, s = validate, self.subscriptions
+        keys = {"customers": "customer_id", "subscriptions": "subscription_id", "product_usage": "usage_id", "payments": "payment_id"}
         return {
-            "row_column_sanity": lambda: v.row_column_sanity(self.raw),
-            "duplicate_handling": lambda: v.duplicate_handling(self.raw),
-            "null_handling": lambda: v.null_handling(s),
-            "status_consistency": lambda: v.status_consistency(s, self.payments),
-            "impossible_dates": lambda: v.impossible_dates(self.customers, s),
-            "impossible_revenue": lambda: v.impossible_revenue(s),
-            "overlap_customers": lambda: v.overlap_customers(self.many),
-            "usage_outside_period": lambda: v.usage_outside_period(self.usage, self.many),
-            "payment_consistency": lambda: v.payment_consistency(self.payments, s),
-            "churn_flag_logic": lambda: v.churn_flag_logic(self.features, s),
-            "at_risk_flag_logic": lambda: v.at_risk_flag_logic(self.features, s),
-            "customer_churn_tieout": lambda: v.customer_churn_tieout(self.features, self.segments),
-            "revenue_churn_tieout": lambda: v.revenue_churn_tieout(self.features, drivers.churn_by(self.features, "segment")),
-            "revenue_at_risk_tieout": lambda: v.revenue_at_risk_tieout(self.features, self.segments),
-            "retention_rate": lambda: v.retention_rate(self.cohorts),
-            "trend_metrics": lambda: v.trend_metrics(self.trend),
-            "cohort_logic": lambda: v.cohort_logic(self.cohorts),
-            "join_inflation": lambda: v.join_inflation({"customers": self.customers, "subscriptions": s, "features": self.features, "risk_scores": self.scores}),
-            "incomplete_periods": lambda: v.incomplete_periods(self.trend),
-            "denominators": lambda: v.denominators(self.by_dimension),
-            "survivorship": lambda: v.survivorship(self.features, self.scores),
-            "overclaiming": lambda: v.overclaiming(self.relations),
-            "conclusions_supported": lambda: v.conclusions_supported(self.findings, self.by_dimension, self.relations),
-            "tier_summary_tieout": lambda: v.tier_summary_tieout(self.scores, risk.tier_summary(self.scores)),
-            "priority_monotone": lambda: v.priority_monotone(self.ranked),
-            "tier_score_monotone": lambda: v.tier_score_monotone(self.scores),
-            "action_rules": lambda: v.action_rules(self.scores),
-            "financial_tieout": lambda: v.financial_tieout(self.features, self.segment_risk),
-            "score_drift": lambda: v.score_drift(self.scores),
-            "kpi_cube_vs_trend": lambda: v.kpi_cube_vs_trend(trend.trend_filtered(self.facts), self.trend),
-            "cube_has_all_scope": lambda: v.cube_has_all_scope(self.cube, self.accounts),
+            **{n: (lambda df=df: df) for n, df in self.raw.items()},
+            **{f"{n} repeats": (lambda df=df, n=n: profile.repeats(df, keys[n])) for n, df in self.raw.items()},
+            "subscriptions' customers": lambda: s,
+            "subscriptions with signup": lambda: v.with_signup(s, self.customers),
+            "overlapping": lambda: v.overlapping(self.many),
+            "usage outside": lambda: v.outside(self.usage, self.many),
+            "payments with span": lambda: v.with_span(self.payments, s),
+            "features": lambda: self.features,
+            "features with status": lambda: v.with_status(self.features, s),
+            "segments": lambda: self.segments,
+            "churn by segment": lambda: drivers.churn_by(self.features, "segment"),
+            "risk again": lambda: v.risk_again(self.features, self.segments),
+            "cohorts": lambda: self.cohorts,
+            "cohort faults": lambda: v.cohort_faults(self.cohorts),
+            "trend": lambda: self.trend,
+            "thin months": lambda: v.thin_months(self.trend),
+            "by dimension": lambda: self.by_dimension,
+            "relations": lambda: self.relations,
+            "said of tops": lambda: v.said_of_tops(self.findings, self.by_dimension, self.relations),
+            "scores": lambda: self.scores,
+            "tiers again": lambda: v.tiers_again(self.scores, risk.tier_summary(self.scores)),
+            "rank neighbours": lambda: v.rank_neighbours(self.ranked),
+            "segment risk": lambda: self.segment_risk,
+            "refolded": lambda: v.refolded_beside(trend.trend_filtered(self.facts), self.trend),
+            "cube": lambda: self.cube,
         }
 
+    def checked(self, *keys: str, views: dict[str, Callable[[], DataFrame]] | None = None) -> DataFrame:
+        """The cross-mart checks of these keys, or all, evaluated together; ``views`` replaces some of the marts' own."""
+        checks = validate.all_checks({n: len(df.columns) for n, df in self.raw.items()}, cubes.ACCOUNT_COLUMNS)
+        return validate.rows({k: checks[k] for k in keys or checks}, self.views | (views or {}))
+
     @cached_property
     def graded(self) -> DataFrame:
         """All cross-mart checks with severity and gate. The subscriptions' own overlap counts here, not that of ``many``."""
-        checks = {**self.validations}
-        checks["overlap_customers"] = lambda: validate.overlap_customers(self.subscriptions)
-        checks["usage_outside_period"] = lambda: validate.usage_outside_period(self.usage, self.subscriptions)
-        return self._keep(release.with_severity(_union([check() for check in checks.values()])))
+        own = {"overlapping": lambda: validate.overlapping(self.subscriptions), "usage outside": lambda: validate.outside(self.usage, self.subscriptions)}
+        return self._keep(release.with_severity(self.checked(views=own)))
 
     @cached_property
     def _exports(self) -> dict[str, Callable[[], DataFrame]]:
