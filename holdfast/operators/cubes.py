@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import flag, money, rnd, share
@@ -47,42 +47,62 @@ def scored_accounts(snapshot: DataFrame) -> DataFrame:
     return snapshot.where("churn_flag = 0").select(*[rnd(c, 2).alias(c) if c in two else F.col(c) for c in ACCOUNT_COLUMNS])
 
 
-def risk_kpi_cube(accounts: DataFrame) -> DataFrame:
-    """Every combination of the dimensions and the tier, or all of any of them."""
+def _finest(accounts: DataFrame) -> DataFrame:
+    """Exact sums by all dimensions and the tier, which the cube expands in place of accounts."""
     keys = [*DIMS, "risk_tier"]
     high = F.col("risk_tier").isin("high", "critical")
     rows = accounts.dropna(subset=keys).withColumns({"mrr": F.col("current_mrr"), "exposed": exposed_mrr(), "high": flag(high), "critical": flag(F.col("risk_tier") == "critical")})
-    # exact sums of the finest cells first, so that the cube expands cells and not accounts
     cents = lambda c: F.coalesce(F.sum(F.col(c).cast("decimal(28,4)")), F.lit(0).cast("decimal(28,4)"))
-    fine = rows.groupBy(*keys).agg(
+    return rows.groupBy(*keys).agg(
         F.count("*").alias("n"), cents("mrr").alias("mrr"), cents("exposed").alias("exposed"), F.sum("high").alias("high"), F.sum("critical").alias("critical"),
         cents("retention_priority_score").alias("priority"),
     )
+
+
+def _measures() -> list[Column]:
     total = lambda c: rnd(F.sum(c).cast("double"), 2)
-    cells = fine.cube(*keys).agg(
-        *[F.grouping(k).alias(f"all_{k}") for k in keys],
+    return [
         F.sum("n").alias("scored_customers"),
         total("mrr").alias("total_current_mrr"),
         total("exposed").alias("revenue_at_risk"),
         F.sum("high").alias("high_risk_customers"),
         F.sum("critical").alias("critical_customers"),
         total("priority").alias("priority_sum"),
-    )
+    ]
+
+
+def _average() -> Column:
+    return rnd(F.col("priority_sum") / F.col("scored_customers"), 2).alias("avg_priority_score")
+
+
+def risk_kpi_cube(accounts: DataFrame) -> DataFrame:
+    """Every combination of the dimensions and the tier, or all of any of them."""
+    keys = [*DIMS, "risk_tier"]
+    cells = _finest(accounts).cube(*keys).agg(*[F.grouping(k).alias(f"all_{k}") for k in keys], *_measures())
     name = lambda k: F.when(F.col(f"all_{k}") == 1, ALL).otherwise(F.col(k))
     return cells.select(
         *[name(k).alias(k) for k in DIMS],
         name("risk_tier").alias("risk_tier_filter"),
-        "scored_customers", "total_current_mrr", "revenue_at_risk", "high_risk_customers", "critical_customers", "priority_sum",
-        rnd(F.col("priority_sum") / F.col("scored_customers"), 2).alias("avg_priority_score"),
+        "scored_customers", "total_current_mrr", "revenue_at_risk", "high_risk_customers", "critical_customers", "priority_sum", _average(),
     )
 
 
+def kpi_cell(accounts: DataFrame, filters: dict[str, str] | None = None, risk_tier: str = ALL) -> DataFrame:
+    """``kpi_lookup`` from the accounts: of all the cube's grouping sets only the scope's own, as a filter on them."""
+    cell = _finest(scoped(accounts, filters, risk_tier)).agg(*_measures()).withColumn("avg_priority_score", _average())
+    return _or_zeros(cell)
+
+
 def kpi_lookup(cube: DataFrame, filters: dict[str, str] | None = None, risk_tier: str = ALL) -> DataFrame:
-    """The cell of a scope; one row of zeros if there is none."""
+    """The cell of a scope in a cube that is at hand; one row of zeros if there is none."""
     wanted = {d: (filters or {}).get(d, ALL) for d in DIMS} | {"risk_tier_filter": risk_tier}
     rows = cube
     for k, v in wanted.items():
         rows = rows.where(F.col(k) == (ALL if v == "all" else v))
+    return _or_zeros(rows)
+
+
+def _or_zeros(rows: DataFrame) -> DataFrame:
     n, m = ("scored_customers", "high_risk_customers", "critical_customers"), ("total_current_mrr", "revenue_at_risk", "avg_priority_score")
     return rows.agg(*[F.coalesce(F.max(c), F.lit(0)).cast("bigint").alias(c) for c in n], *[F.coalesce(F.max(c), F.lit(0.0)).alias(c) for c in m])
 

@@ -52,6 +52,11 @@ def thresholds(features: DataFrame) -> DataFrame:
     return quantiles(features, wanted)
 
 
+def _limited(features: DataFrame, limits: DataFrame | None) -> DataFrame:
+    """Features beside their thresholds, which may be at hand."""
+    return beside(features, thresholds(features) if limits is None else limits)
+
+
 def behaviours() -> list[tuple[str, Column]]:
     """Names and conditions of the behavioural flags, over features beside their thresholds."""
     return [
@@ -68,9 +73,9 @@ def _flags(rows: DataFrame, *keep: str) -> DataFrame:
     return rows.select(*keep, F.explode(listed).alias("f")).select(*keep, "f.name", "f.holds")
 
 
-def behavioral_relationships(features: DataFrame) -> DataFrame:
+def behavioral_relationships(features: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """Churn inside and outside each flag's group, in one pass."""
-    rows = _flags(beside(features, thresholds(features)), "churn_flag").groupBy("name").agg(
+    rows = _flags(_limited(features, limits), "churn_flag").groupBy("name").agg(
         F.count_if("holds").alias("n_in"),
         F.count_if(~F.col("holds")).alias("n_out"),
         F.avg(F.when(F.col("holds"), F.col("churn_flag"))).alias("r_in"),
@@ -87,7 +92,7 @@ def behavioral_relationships(features: DataFrame) -> DataFrame:
     )
 
 
-def churn_driver_ranking(features: DataFrame) -> DataFrame:
+def churn_driver_ranking(features: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """Flags and dimension values whose churn is above the base, by the revenue that the excess costs."""
     base = features.agg(F.avg("churn_flag").cast("double").alias("base"), F.count("*").alias("everyone"))
     entries = F.array_compact(
@@ -96,7 +101,7 @@ def churn_driver_ranking(features: DataFrame) -> DataFrame:
             *[F.when(F.col(d).isNotNull(), F.concat(F.lit(f"{d}="), F.col(d).cast("string"))) for d in DIMS],
         )
     )
-    rows = beside(features, thresholds(features)).select("churn_flag", "avg_monthly_revenue", F.explode(entries).alias("driver"))
+    rows = _limited(features, limits).select("churn_flag", "avg_monthly_revenue", F.explode(entries).alias("driver"))
     rows = rows.groupBy("driver").agg(F.count("*").alias("n"), F.avg("churn_flag").alias("rate"), F.avg("avg_monthly_revenue").alias("value"))
     return beside(rows, base).where("rate > base").select(
         "driver",
@@ -115,9 +120,9 @@ def _hidden() -> Column:
     return ~_churned() & ~_at_risk() & ((F.col("payment_failure_flag") == 1) | quiet)
 
 
-def hidden_risk(features: DataFrame) -> DataFrame:
+def hidden_risk(features: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """Customers whose status shows no risk but whose behaviour does."""
-    return beside(features, thresholds(features)).where(_hidden()).select("customer_id", "segment", "current_mrr")
+    return _limited(features, limits).where(_hidden()).select("customer_id", "segment", "current_mrr")
 
 
 def _value_threshold(features: DataFrame) -> DataFrame:
@@ -129,8 +134,8 @@ def high_value_at_risk(features: DataFrame) -> DataFrame:
     return rows.select("customer_id", "segment", "region", "acquisition_channel", "plan_type", "current_mrr")
 
 
-def revenue_at_risk_summary(features: DataFrame) -> DataFrame:
-    rows = beside(beside(features, thresholds(features)), _value_threshold(features))
+def revenue_at_risk_summary(features: DataFrame, limits: DataFrame | None = None) -> DataFrame:
+    rows = beside(_limited(features, limits), _value_threshold(features))
     high = _at_risk() & (F.col("current_mrr") >= F.col("high_value_threshold"))
     mrr = F.col("current_mrr")
     return rows.agg(
@@ -191,7 +196,7 @@ PLAYS = {
 }
 
 
-def intervention_priorities(features: DataFrame, top: int = 2) -> DataFrame:
+def intervention_priorities(features: DataFrame, top: int = 2, limits: DataFrame | None = None) -> DataFrame:
     """Each play's recoverable customers and revenue, times the churn of customers like them."""
     decline, failed = F.col("usage_trend") < 0, F.col("payment_failure_flag") == 1
     low_nps, near = F.col("nps_score_recent") <= F.col("q25_nps"), F.col("renewal_near_flag") == 1
@@ -210,7 +215,7 @@ def intervention_priorities(features: DataFrame, top: int = 2) -> DataFrame:
             for n, (can, like) in rules.items()
         ]
     )
-    rows = beside(features, thresholds(features)).select("segment", "current_mrr", "churn_flag", F.explode(listed).alias("p"))
+    rows = _limited(features, limits).select("segment", "current_mrr", "churn_flag", F.explode(listed).alias("p"))
     rows = rows.select("segment", "current_mrr", "churn_flag", "p.*")
     plays = rows.groupBy("opportunity").agg(
         F.sum("can").alias("recoverable_customers"),

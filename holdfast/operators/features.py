@@ -70,15 +70,25 @@ def payment_windows(payments: DataFrame, subscriptions: DataFrame, snapshot: Dat
 
     A customer without a paid payment has no row, so failures don't count either, unless ``count_unpaid``.
     """
-    age, paid = F.datediff("snapshot_date", "payment_date"), F.col("payment_status") == "paid"
-    recent, prior, per_month = age < 90, (age >= 90) & (age < 180), F.col("monthly_equivalent_amount")
-    rows = beside(monthly_equivalents(payments, subscriptions), snapshot).groupBy("customer_id").agg(
+    age, paid, amount = F.datediff("snapshot_date", "payment_date"), F.col("payment_status") == "paid", F.col("amount")
+    recent, prior = age < 90, (age >= 90) & (age < 180)
+    # sums and counts by customer first, so that payments meet no join; the billing cycle divides sums of amounts alike
+    own = beside(payments, snapshot).groupBy("customer_id").agg(
         count_if(paid).alias("n_paid"),
-        money(F.when(paid, F.col("amount"))).alias("lifetime_revenue"),
-        F.avg(F.when(paid, per_month)).alias("avg_monthly_revenue_calc"),
-        count_if(recent & (F.col("payment_status") == "failed")).alias("failed_payments_90d"),
-        F.coalesce(F.avg(F.when(recent & paid, per_month)), F.lit(0.0)).alias("recent_paid"),
-        F.coalesce(F.avg(F.when(prior & paid, per_month)), F.lit(0.0)).alias("prior_paid"),
+        F.sum(F.when(paid, amount).cast("decimal(28,4)")).alias("revenue"),
+        count_if(recent & (F.col("payment_status") == "failed")).alias("failed"),
+        *[c for name, when in (("all", paid), ("recent", recent & paid), ("prior", prior & paid)) for c in (F.sum(F.when(when, amount)).alias(f"{name}_sum"), count_if(when & amount.isNotNull()).alias(f"{name}_n"))],
+    )
+    cycles = subscriptions.select("customer_id", cycle_months().alias("cycle_months"))
+    rows = own.join(cycles, "customer_id", "left").withColumn("cycle_months", F.coalesce("cycle_months", F.lit(1)))
+    per_month = lambda name: F.try_divide(F.sum(F.col(f"{name}_sum") / F.col("cycle_months")), F.sum(f"{name}_n"))
+    rows = rows.groupBy("customer_id").agg(
+        F.sum("n_paid").alias("n_paid"),
+        F.coalesce(F.sum("revenue"), F.lit(0).cast("decimal(38,4)")).cast("double").alias("lifetime_revenue"),
+        per_month("all").alias("avg_monthly_revenue_calc"),
+        F.sum("failed").alias("failed_payments_90d"),
+        F.coalesce(per_month("recent"), F.lit(0.0)).alias("recent_paid"),
+        F.coalesce(per_month("prior"), F.lit(0.0)).alias("prior_paid"),
     )
     rows = rows if count_unpaid else rows.where("n_paid > 0")
     less = (F.col("prior_paid") > 0) & (F.col("recent_paid") < F.col("prior_paid") * CONTRACTION_SHARE)

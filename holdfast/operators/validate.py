@@ -51,7 +51,7 @@ def rows(checks: dict[str, Check], views: dict[str, Callable[[], DataFrame]]) ->
     for key, check in checks.items():
         for view, figures in check.over.items():
             by_view.setdefault(view, []).extend(c.alias(f"{key}__{figure}") for figure, c in figures.items())
-    one = reduce(DataFrame.crossJoin, [views[view]().agg(*cols) for view, cols in by_view.items()])
+    one = _beside_each_other([views[view]().agg(*cols) for view, cols in by_view.items()])
     if more := {f"{key}__{figure}": made(of(key)) for key, check in checks.items() for figure, made in check.then.items()}:
         one = one.withColumns(more)
     kinds = dict(one.dtypes)
@@ -66,6 +66,13 @@ def rows(checks: dict[str, Check], views: dict[str, Callable[[], DataFrame]]) ->
     return one.select(F.inline(F.array(*[row(k, c) for k, c in checks.items()])))
 
 
+def _beside_each_other(ones: list[DataFrame]) -> DataFrame:
+    """One row of all one-row tables; by halves, so that no part is analysed over and over."""
+    if len(ones) == 1:
+        return ones[0]
+    return _beside_each_other(ones[: len(ones) // 2]).crossJoin(_beside_each_other(ones[len(ones) // 2 :]))
+
+
 def _zero(*figures: str) -> Callable[[Of], Column]:
     return lambda f: reduce(lambda a, b: a & b, [f(c) == 0 for c in figures])
 

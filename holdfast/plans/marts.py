@@ -48,7 +48,7 @@ class Marts:
         return self._kept[-1]
 
     def _base(self, df: DataFrame) -> DataFrame:
-        """A table or mart that many others are made from."""
+        """A table or mart that others are made from."""
         if not self.cut:
             return self._keep(df)
         sources.shared_folder(df.sparkSession)
@@ -113,19 +113,36 @@ class Marts:
 
     @cached_property
     def overall(self) -> DataFrame:
-        return self._keep(trend.overall_health(self.features, self.subscriptions, self.trend))
+        return self._base(trend.overall_health(self.features, self.subscriptions, self.trend))
 
     @cached_property
     def by_dimension(self) -> DataFrame:
         return self._keep(drivers.churn_by_dimensions(self.features))
 
+    @cached_property
+    def limits(self) -> DataFrame:
+        """The quantiles that behaviour is held against, one row."""
+        return self._base(drivers.thresholds(self.features))
+
+    @cached_property
+    def health(self) -> DataFrame:
+        return self._base(cohorts.cohort_health(self.cohorts))
+
+    @cached_property
+    def tiers(self) -> DataFrame:
+        return self._base(drivers.value_tier_churn_mix(self.features))
+
+    @cached_property
+    def exposed(self) -> DataFrame:
+        return self._base(drivers.revenue_at_risk_summary(self.features, self.limits))
+
     @cached_property
     def relations(self) -> DataFrame:
-        return self._keep(drivers.behavioral_relationships(self.features))
+        return self._base(drivers.behavioral_relationships(self.features, self.limits))
 
     @cached_property
     def plays(self) -> DataFrame:
-        return self._keep(drivers.intervention_priorities(self.features))
+        return self._base(drivers.intervention_priorities(self.features, limits=self.limits))
 
     @cached_property
     def segment_risk(self) -> DataFrame:
@@ -133,9 +150,7 @@ class Marts:
 
     @cached_property
     def findings(self) -> DataFrame:
-        f = self.features
-        health, exposed, tiers = cohorts.cohort_health(self.cohorts), drivers.revenue_at_risk_summary(f), drivers.value_tier_churn_mix(f)
-        return self._keep(drivers.structured_findings(self.overall, health, self.by_dimension, self.relations, exposed, self.segment_risk, tiers, self.plays))
+        return self._base(drivers.structured_findings(self.overall, self.health, self.by_dimension, self.relations, self.exposed, self.segment_risk, self.tiers, self.plays))
 
     @cached_property
     def scores(self) -> DataFrame:
@@ -231,7 +246,7 @@ class Marts:
             "monthly_dimensional_trend": lambda: self.facts,
             **{f"churn_by_{d}": (lambda d=d: drivers.churn_by(f(), d)) for d in DIMS},
             "behavioral_churn_relationships": lambda: self.relations,
-            "churn_driver_ranking": lambda: drivers.churn_driver_ranking(f()),
+            "churn_driver_ranking": lambda: drivers.churn_driver_ranking(f(), self.limits),
             "segment_revenue_risk_contribution": lambda: self.segment_risk,
             "intervention_priorities": lambda: self.plays,
             "main_analysis_structured_findings": lambda: self.findings,

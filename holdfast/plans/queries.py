@@ -14,7 +14,7 @@ from ..functions.columns import rnd
 from ..functions.ranks import percent_rank_avg
 from ..operators import cohorts, contracts, cubes, drivers, features, profile, quality, release, risk, trend
 from ..params import DIMS
-from ..sources.tables import SCHEMAS, clean_subscriptions, typed
+from ..sources.tables import SCHEMAS, clean_subscriptions, remove, shared_folder, typed
 from .marts import Marts
 
 SCOPE = {"segment": "BUILDING", "region": "ASIA"}
@@ -50,10 +50,13 @@ def _typed(m: Marts) -> DataFrame:
 def _round_trip(m: Marts) -> DataFrame:
     """A mart written as CSV and loaded with its own types, in a folder that driver and executors share."""
     spark = m.customers.sparkSession
-    place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{place.rstrip('/')}/marts-{uuid.uuid4().hex}"
-    m.write(folder, "csv", ["customer_risk_priority_ranked"])
-    return m.load(folder, "customer_risk_priority_ranked", "csv").select("customer_id", "priority_rank", "retention_priority_score", "current_mrr", "risk_tier", "recommended_action")
+    folder = f"{shared_folder(spark)}/marts-{uuid.uuid4().hex}"
+    try:
+        m.write(folder, "csv", ["customer_risk_priority_ranked"])
+        back = m.load(folder, "customer_risk_priority_ranked", "csv")
+        return back.select("customer_id", "priority_rank", "retention_priority_score", "current_mrr", "risk_tier", "recommended_action").checkpoint()
+    finally:
+        remove(spark, folder)
 
 
 def _signals(m: Marts) -> DataFrame:
@@ -147,7 +150,7 @@ SHARED: dict[str, Callable[[Marts], DataFrame]] = {
     "snapshot_agg": lambda m: m.cells,
     "scored_accounts": lambda m: m.accounts,
     "risk_kpi_cube": lambda m: m.cube,
-    "risk_kpi_lookup": lambda m: cubes.kpi_lookup(m.cube, SCOPE),
+    "risk_kpi_lookup": lambda m: cubes.kpi_cell(m.accounts, SCOPE),
     "dimension_domains": lambda m: cubes.dimension_domains(m.features),
     "monthly_fact_encoded": lambda m: cubes.monthly_fact_encoded(m.facts),
     "snapshot_filtered": lambda m: cubes.scoped(m.cells, SCOPE, "low"),

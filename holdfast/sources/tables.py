@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,9 +79,49 @@ def clean_subscriptions(raw: DataFrame) -> DataFrame:
     ).where("subscription_start_date is not null")
 
 
-def write(mart: DataFrame, path: str, form: str = "parquet", mode: str = "overwrite") -> None:
-    """One folder a mart; NaN goes out as null in text formats."""
+def _store(spark: SparkSession, path: str):
+    """A path, and the file system that it is on."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it is."""
+    where, store = _store(spark, path)
+    store.delete(where, True)
+
+
+def write(mart: DataFrame, path: str, form: str = "parquet") -> None:
+    """One folder a mart; NaN goes out as null in text formats.
+
+    Nothing is overwritten in place: rows go to a folder of their own beside ``path``, which
+    takes its name once they are all there. If writing fails, what was there before stays
+    whole; the mart may be read from ``path`` itself.
+    """
+    spark, path = mart.sparkSession, path.rstrip("/")
     if form in ("csv", "json"):
         mart = mart.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in mart.dtypes])
-    writer = mart.write.mode(mode).format(form)
-    (writer.option("header", True) if form == "csv" else writer).save(path)
+    staged, before = (f"{path}.{state}-{uuid.uuid4().hex}" for state in ("staged", "before"))
+    try:
+        writer = mart.write.format(form)
+        (writer.option("header", True) if form == "csv" else writer).save(staged)
+        where, store = _store(spark, path)
+        there = store.exists(where)
+        if there:
+            _renamed(spark, path, before)
+        try:
+            _renamed(spark, staged, path)
+        except Exception:
+            if there:
+                _renamed(spark, before, path)
+            raise
+        if there:
+            remove(spark, before)
+    finally:
+        remove(spark, staged)
+
+
+def _renamed(spark: SparkSession, path: str, to: str) -> None:
+    where, store = _store(spark, path)
+    if not store.rename(where, _store(spark, to)[0]):
+        raise OSError(f"{path} can't be renamed to {to}")

@@ -1,12 +1,14 @@
 """Operators on small hand-written rows: month edges, windows, ties, null keys, dirty input and the gate."""
 
 import datetime as dt
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.functions.ranks import ordinal, percent_rank_avg
-from holdfast.operators import cohorts, contracts, drivers, features, quality, release, risk, trend, validate
+from holdfast.functions.ranks import ordinal, percent_rank_avg, quantiles
+from holdfast.operators import cohorts, contracts, cubes, drivers, features, profile, quality, release, risk, trend, validate
 from holdfast.sources import tables
 
 SUBS = "subscription_id long, customer_id long, subscription_start_date date, subscription_end_date date, monthly_revenue double, contract_type string, billing_cycle string, status string"
@@ -171,3 +173,77 @@ def test_csv_round_trip(spark, tmp_path):
     assert tables.clean_subscriptions(rows).count() == 1
     tables.write(rows, str(tmp_path / "out"), "json")
     assert spark.read.json(str(tmp_path / "out")).where(F.col("status") == "churned").count() == 1
+
+
+def test_a_write_that_fails_leaves_the_old_mart_whole(spark, tmp_path):
+    place = str(tmp_path / "mart")
+    tables.write(spark.range(5).toDF("x"), place)
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        tables.write(broken, place)
+    assert spark.read.parquet(place).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["mart"]
+    tables.write(spark.read.parquet(place).where("x < 3"), place)  # from itself
+    assert sorted(r.x for r in spark.read.parquet(place).collect()) == [0, 1, 2] and [p.name for p in tmp_path.iterdir()] == ["mart"]
+
+
+def test_rows_repeat_only_if_all_columns_and_nulls_are_alike(spark):
+    rows = spark.createDataFrame([("a", None, 1.0), ("a", None, 1.0), (None, "a", 1.0), ("", "a", 1.0), ("a", "", None), ("aa", None, 1.0)], "x string, y string, z double")
+    assert profile.repeated_rows(rows).first().repeats == profile.repeats(rows, "x", "y", "z").first().repeats == 1
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_payments_meet_the_billing_cycle_as_sums(spark):
+    pays = spark.createDataFrame([(1, 1, d("2024-06-01"), 30.0, "paid"), (2, 1, d("2024-06-02"), 60.0, "paid")], "payment_id long, customer_id long, payment_date date, amount double, payment_status string")
+    two = spark.createDataFrame([(1, "Monthly"), (1, "Quarterly")], "customer_id long, billing_cycle string")
+    rows = features.payment_windows(pays, two, day(spark, "2024-06-30"))
+    said = plan(rows)
+    assert "Join LeftOuter" in said and said.index("Join LeftOuter") < said.rindex("Aggregate [customer_id")  # aggregated below the join
+    (row,) = rows.collect()
+    # a payment counts once for each subscription, as if it were joined to both
+    assert row.lifetime_revenue == 180.0 and row.avg_monthly_revenue_calc == (30 + 60 + 10 + 20) / 4
+
+
+def test_a_cell_is_not_a_cube(spark):
+    names = ["segment", "region", "acquisition_channel", "plan_type", "risk_tier"]
+    rows = spark.createDataFrame(
+        [(k, *(f"{n}{k % 2}" for n in names[:4]), "high" if k % 3 else "critical", 10.0 * k, 1, 50.0, float(k)) for k in range(12)],
+        "customer_id long, segment string, region string, acquisition_channel string, plan_type string, risk_tier string, current_mrr double, at_risk_flag int, churn_risk_score double, retention_priority_score double",
+    ).withColumn("churn_flag", F.lit(0))
+    cube = cubes.risk_kpi_cube(rows)
+    for scope, tier in (({}, cubes.ALL), ({"segment": "segment1"}, "high"), ({"region": "region0", "plan_type": "all"}, cubes.ALL), ({"segment": "none"}, cubes.ALL)):
+        cell = cubes.kpi_cell(rows, scope, tier)
+        assert "Expand" not in plan(cell) and cell.collect() == cubes.kpi_lookup(cube, scope, tier).collect()
+
+
+def test_ranks_across_many_cuts_and_ties(spark):
+    r = random.Random(4)
+    rows = [(k, r.choice([0.0, 0.0, 1.5, -2.0, r.uniform(-5, 5), float(r.randint(0, 30))]), None if k % 11 == 0 else float(r.randint(0, 3))) for k in range(400)]
+    df = spark.createDataFrame(rows, "k long, v double, w double").repartition(3)
+    for drawn in (0, 5, 40, 1023):
+        got = {(x.k, x.name): x["rank"] for x in percent_rank_avg(df, "k", "v", "w", drawn=drawn).collect()}
+        for name, at in (("v", 1), ("w", 2)):
+            values = [x[at] for x in rows if x[at] is not None]
+            want = {x[0]: (sum(y < x[at] for y in values) + (sum(y == x[at] for y in values) + 1) / 2) / len(values) for x in rows if x[at] is not None}
+            assert {k: v for (k, n), v in got.items() if n == name} == pytest.approx(want)
+        places = {x.k: x.place for x in ordinal(df, "v", F.col("w").isNull(), -F.col("w"), "k", out="place", drawn=drawn).collect()}
+        order = sorted(rows, key=lambda x: (-x[1], x[2] is None, -(x[2] or 0), x[0]))
+        assert places == {x[0]: n + 1 for n, x in enumerate(order)}
+    said = ordinal(df, "v", "k").select("rank")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(v" not in said
+
+
+def test_quantiles_put_few_buckets_in_order(spark):
+    r = random.Random(9)
+    rows = [(k % 2, r.choice([0.0, 3.0, r.gauss(0, 50)])) for k in range(501)] + [(0, None)]
+    df = spark.createDataFrame(rows, "g int, v double").repartition(3)
+    for p in (0.0, 0.25, 0.4, 0.75, 0.995, 1.0):
+        for by in ((), ("g",)):
+            for row in quantiles(df, {"q": ("v", p)}, *by).collect():
+                values = sorted(v for g, v in rows if v is not None and (not by or g == row.g))
+                at = p * (len(values) - 1)
+                low, high = values[math.floor(at)], values[math.ceil(at)]
+                assert row.q == pytest.approx(low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
+    assert "percentile" not in plan(quantiles(df, {"q": ("v", 0.5)}))
