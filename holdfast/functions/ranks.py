@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Rows that are drawn to cut an order into ranges, and how many cuts are looked through at once.
-DRAWN, STEP = 1023, 32
+DRAWN, STEP = 255, 16
 
 
 def _bucket(v: Column) -> Column:
@@ -50,17 +50,17 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], *by: str) ->
 
 
 def _cuts(df: DataFrame, columns: list[Column], drawn: int, by: list[Column]) -> DataFrame:
-    """One row: for each column the sorted distinct values of ``drawn`` rows, those of the smallest hashes, so that they are the same each time."""
+    """One row: for each column the sorted distinct values (``fine``) of ``drawn`` rows, those of the smallest hashes, so that they are the same each time, and every ``STEP``-th of them (``coarse``)."""
     some = df.select(F.xxhash64(*by).alias("h"), *[c.alias(f"c{k}") for k, c in enumerate(columns)])
     some = some.orderBy("h", *[f"c{k}" for k in range(len(columns))]).limit(drawn)
-    return some.agg(*[F.array_sort(F.collect_set(f"c{k}")).alias(f"cuts{k}") for k in range(len(columns))])
+    cuts = some.agg(*[F.array_sort(F.collect_set(f"c{k}")).alias(f"c{k}") for k in range(len(columns))])
+    return cuts.select(*[F.struct(F.col(c).alias("fine"), F.filter(c, lambda _, i: (i + 1) % STEP == 0).alias("coarse")).alias(f"cuts{k}") for k, c in enumerate(cuts.columns)])
 
 
 def _below(cuts: Column, v: Column) -> tuple[Column, Column]:
     """How many of the sorted cuts are smaller than ``v``, and whether it is one of them."""
-    coarse = F.filter(cuts, lambda c, i: (i + 1) % STEP == 0)
-    step = F.size(F.filter(coarse, lambda c: c < v)) * STEP
-    fine = F.slice(cuts, step + 1, STEP)
+    step = F.size(F.filter(cuts["coarse"], lambda c: c < v)) * STEP
+    fine = F.slice(cuts["fine"], step + 1, STEP)
     return step + F.size(F.filter(fine, lambda c: c < v)), F.exists(fine, lambda c: c == v)
 
 
