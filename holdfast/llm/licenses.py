@@ -9,14 +9,18 @@ prefix      a matching block shares a word with the first ``n - need + 1`` words
 length      the words around a shared one that a block can hold are at least ``need``;
 positional  what can still follow the first shared word, in either, makes up ``need``.
 
-What is left is checked by counting in a sliding window, which must hold the words that
-name the license (``NAMES``); of matches that overlap, only the fullest one counts. Templates are few and fixed, so their index is
-broadcast; the documents are mapped without a shuffle.
+What is left is checked by counting in a sliding window; that a window holds the threshold
+is the join's result (``contained``). The labels are chosen from it: the window must hold the
+words that name the license (``NAMES``), and of matches that overlap only the fullest one
+counts. Templates are few and fixed, so their index is broadcast; the documents are mapped
+without a shuffle.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +59,25 @@ NAMES = {
     "gpl-3": "gnu 3", "bsd": "redistribution", "mpl-2": "mozilla 2", "proprietary": "all rights reserved",
 }
 
-_SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
+_SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, contained string"
+
+
+class Taken:
+    """Ranges of words, both ends in them, joined where they meet."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def meets(self, a: int, b: int) -> bool:
+        k = bisect_right(self.starts, b) - 1
+        return k >= 0 and self.ends[k] >= a
+
+    def add(self, a: int, b: int) -> None:
+        i, j = bisect_left(self.ends, a), bisect_right(self.starts, b)
+        if i < j:
+            a, b = min(a, self.starts[i]), max(b, self.ends[j - 1])
+        self.starts[i:j], self.ends[i:j] = [a], [b]
 
 
 def frequencies(docs: DataFrame, wanted: list[str]) -> dict[str, int]:
@@ -103,13 +125,13 @@ class Index:
         lo, hi = hits[np.append(0, cut + 1)], hits[np.append(cut, len(hits) - 1)]
         return list(zip(np.maximum(first, lo - wide + 1).tolist(), np.minimum(end, hi + wide).tolist(), strict=True))
 
-    def match(self, block: list[bytes], hits: list[int]) -> list[tuple[int, int, int, int]]:
-        """(shared words, template, first word, last word) of the fullest matches; ``hits`` are the places of words of the lists."""
+    def match(self, block: list[bytes], hits: list[int]) -> tuple[list[tuple[int, int, int, int]], set[int]]:
+        """(shared words, template, first word, last word) of the fullest matches, and all templates contained; ``hits`` are the places of words of the lists."""
         places: dict[int, list[int]] = {}
         for i in hits:
             for t, _ in self.lists.get(self.rank.get(block[i], -1), ()):
                 places.setdefault(t, []).append(i)
-        out = []
+        out, contained = [], set()
         for t, at in places.items():
             wide, end = self.width[t], -1
             for n, i in enumerate(at):
@@ -117,18 +139,21 @@ class Index:
                     end = min(len(block), i + wide)
                     continue
                 if n:
-                    out += self._windows(block, t, start, end)
+                    out += self._windows(block, t, start, end, contained)
                 start, end = max(0, i - wide + 1), min(len(block), i + wide)
-            out += self._windows(block, t, start, end)
+            out += self._windows(block, t, start, end, contained)
         fullest = lambda f: (f[0], f[0] / len(self.sets[f[1]]))
         kept: list[tuple[int, int, int, int]] = []
-        for f in sorted(out, key=fullest, reverse=True):
-            if not any(f[2] <= g[3] and g[2] <= f[3] and fullest(f) < fullest(g) for g in kept):
-                kept.append(f)
-        return kept
+        fuller = Taken()
+        for _, some in groupby(sorted(out, key=fullest, reverse=True), fullest):
+            own = [f for f in some if not fuller.meets(f[2], f[3])]
+            for f in own:
+                fuller.add(f[2], f[3])
+            kept += own
+        return kept, contained
 
-    def _windows(self, block: list[bytes], t: int, start: int, end: int) -> list[tuple[int, int, int, int]]:
-        """Matches of one template among some words, the fullest and shortest of those that overlap."""
+    def _windows(self, block: list[bytes], t: int, start: int, end: int, contained: set[int]) -> list[tuple[int, int, int, int]]:
+        """Matches of one template among some words, the fullest and shortest of those that overlap; ``contained`` gets it if some window holds the threshold."""
         own, need, get = set(self.sets[t]), self.need[t], self.rank.get
         here = [(i, w) for i in range(start, end) if (w := get(block[i])) in own]
         mine = sorted({w for _, w in here})
@@ -147,12 +172,15 @@ class Index:
                 if not many[v]:
                     del many[v]
                 left += 1
-            if len(many) >= need and self.named[t] <= many.keys():
-                found.append((len(many), t, here[left][0], k))
+            if len(many) >= need:
+                contained.add(t)
+                if self.named[t] <= many.keys():
+                    found.append((len(many), t, here[left][0], k))
         found.sort(key=lambda f: (-f[0], f[3] - f[2]))
-        out: list[tuple[int, int, int, int]] = []
+        out, taken = [], Taken()
         for f in found:
-            if not any(f[2] <= g[3] and g[2] <= f[3] for g in out):
+            if not taken.meets(f[2], f[3]):
+                taken.add(f[2], f[3])
                 out.append(f)
         return out
 
@@ -160,9 +188,10 @@ class Index:
 def license_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """License labels of every document's whole text.
 
-    One row per input row. Null and empty texts have no words and no labels; ``score``
-    is the largest containment of a matching template, 1 with a base phrase, else 0.
-    Other columns are not used.
+    One row per input row; an empty table stays empty. Null and empty texts have no words
+    and no labels; ``score`` is the largest containment of a matching template, 1 with a
+    base phrase, else 0. ``contained`` has the labels of all templates that some block
+    contains to the threshold, whether or not they are chosen. Other columns are not used.
     """
     index = Index(templates, frequencies(docs, sorted({w for _, t in templates for w in t.split()})), threshold)
     phrases = [([w.encode() for w in p.split()], label) for p, label in PHRASES]
@@ -193,6 +222,7 @@ def license_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
                         last[r] = max(last[r], w)
                         base.setdefault(int(r), set()).add(label)
             found: dict[int, set[str]] = {}
+            contained: dict[int, set[str]] = {}
             score = np.zeros(n)
             at = np.minimum(np.searchsorted(ix.probe, h), len(ix.probe) - 1)
             hits = np.flatnonzero(ix.probe[at] == h)
@@ -202,7 +232,10 @@ def license_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
                     mine = hits[np.searchsorted(hits, i) : np.searchsorted(hits, j)]
                     for a, b in ix.regions(mine, i, j):
                         said = [data[start[k] : end[k]].tobytes() for k in range(a, b)]
-                        for both, t, _, _ in ix.match(said, (mine[(mine >= a) & (mine < b)] - a).tolist()):
+                        matches, every = ix.match(said, (mine[np.searchsorted(mine, a) : np.searchsorted(mine, b)] - a).tolist())
+                        if every:
+                            contained.setdefault(int(r), set()).update(ix.labels[t] for t in every)
+                        for both, t, _, _ in matches:
                             found.setdefault(int(r), set()).add(ix.labels[t])
                             score[r] = max(score[r], both / len(ix.sets[t]))
             for r in base:
@@ -218,8 +251,9 @@ def license_labels(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
                     pa.array([",".join(sorted(base.get(r, ()))) for r in range(n)], pa.string()),
                     pa.array([",".join(sorted(base.get(r, set()) | found.get(r, set()))) for r in range(n)], pa.string()),
                     pa.array(score),
+                    pa.array([",".join(sorted(contained.get(r, ()))) for r in range(n)], pa.string()),
                 ],
-                names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
+                names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "contained"],
             )
 
     return text_only(docs, "doc_id").mapInArrow(scan, _SCHEMA)
@@ -251,8 +285,8 @@ found AS (
   WHERE len(list_intersect(ts, bs)) >= ceil({threshold} * len(ts) - 1e-9)),
 labelled AS (SELECT r, label FROM found UNION SELECT r, label FROM places),
 every AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM labelled GROUP BY r),
-best AS (SELECT r, max(share) AS share FROM found GROUP BY r)
+best AS (SELECT r, max(share) AS share, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM found GROUP BY r)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(base.n, 0) AS n_base, CAST(base.a AS BIGINT) AS first_word, CAST(base.b AS BIGINT) AS last_word,
   coalesce(base.labels, '') AS base_labels, coalesce(every.labels, '') AS labels,
-  CAST(CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(best.share, 0.0) END AS DOUBLE) AS score
+  CAST(CASE WHEN base.n > 0 THEN 1.0 ELSE coalesce(best.share, 0.0) END AS DOUBLE) AS score, coalesce(best.labels, '') AS contained
 FROM w LEFT JOIN base USING (r) LEFT JOIN every USING (r) LEFT JOIN best USING (r)"""

@@ -786,3 +786,34 @@ def test_words_and_hashes():
     assert np.diff(before).tolist() == [2, 0, 1, 2, 1]
     assert (_arrow.RangeHash(data)(start, end) == _arrow.hash_bytes([b"ab", b"cd", b"ef", b"gh", b"ij", b"kl"])).all()
     assert hashlib.sha256(b"").hexdigest() == hashlib.sha256("".encode()).hexdigest()
+
+
+def test_license_matches_are_all_kept_beside_the_chosen_ones(spark):
+    rows = [(1, "this work is licensed under a creative commons attribution noncommercial 4 0 international license"), (2, "all rights reserved"), (3, "nothing here")]
+    got = {r.doc_id: (r.labels, r.contained) for r in licenses.license_labels(docs(spark, rows)).collect()}
+    assert got == {1: ("cc-by-nc", "cc-by,cc-by-nc,cc-by-sa"), 2: ("proprietary", "proprietary"), 3: ("", "")}
+    assert licenses.license_labels(docs(spark, rows).where(F.lit(False))).count() == 0
+
+
+def test_license_statements_without_end_take_linear_time():
+    index = licenses.Index(licenses.TEMPLATES, {}, licenses.THRESHOLD)
+    took = []
+    for n in (20_000, 200_000):
+        block = [w.encode() for w in ("released under the mit license and this work is licensed under cc by nc 4 0 x all rights reserved ".split() * (n // 20))]
+        began = time.process_time()
+        kept, _ = index.match(block, [i for i, w in enumerate(block) if index.rank.get(w) in index.lists])
+        took.append(time.process_time() - began)
+        assert len(kept) == 3 * (n // 20)
+    assert took[1] < 25 * max(took[0], 0.05)
+
+
+def test_taken_ranges_are_as_all_compared():
+    r = random.Random(8)
+    for _ in range(200):
+        taken, every = licenses.Taken(), []
+        for _ in range(20):
+            a = r.randint(0, 40)
+            b = a + r.randint(0, 6)
+            assert taken.meets(a, b) == any(a <= d and c <= b for c, d in every)
+            taken.add(a, b)
+            every.append((a, b))
