@@ -59,7 +59,10 @@ _SPELLED = {
 _TENS = {"twenty": "2", "thirty": "3", "forty": "4", "fourty": "4", "fifty": "5", "sixty": "6", "seventy": "7", "eighty": "8", "ninety": "9"}
 _TIMES = {"double": 2, "triple": 3}
 _UNIT = "one|two|three|four|five|six|seven|eight|nine"
-_COMPOUND = rf"(?:{'|'.join(_TENS)})(?:[ -]?(?:{_UNIT})(?![^\W_]))?|(?:{'|'.join(_TIMES)}) (?:zero|oh|{_UNIT}|[0-9])"
+_TWO = rf"(?:{'|'.join(_TENS)})(?:[ -]?(?:{_UNIT})(?![^\W_]))?"
+_TEENS = "|".join(w for w, d in _SPELLED.items() if len(d) > 1)
+_HUNDREDS = rf"(?:{_UNIT})[ -]hundred(?:[ -](?:and[ -])?(?:{_TWO}|(?:{_TEENS}|{_UNIT})(?![^\W_])))?"
+_COMPOUND = rf"{_HUNDREDS}|{_TWO}|(?:{'|'.join(_TIMES)}) (?:zero|oh|{_UNIT}|[0-9])"
 _WORDS = _COMPOUND + "|" + "|".join(sorted(_SPELLED, key=lambda w: (-len(w), w)))
 _DIGIT = f"(?:{_WORDS}|[0-9])"
 _DOT_WORD = "dot|point|punkt|punto"
@@ -71,30 +74,40 @@ _RUN = re.compile(
 )
 _RUN_TOKEN = re.compile(rf"(?i)plus|más|mas|({_DOT})|{_WORDS}|[0-9]+|[ ,.+-]")
 _SPELLED_WORD = re.compile(f"(?i){_WORDS}")
-_PART = re.compile(rf"({_DOT_WORD}|[\[({{<]\.)|(\.)|([0-9])|({'|'.join(_TENS)}|{'|'.join(_TIMES)}|{'|'.join(w for w, d in _SPELLED.items() if len(d) > 1)})|{'|'.join(w for w, d in _SPELLED.items() if len(d) == 1)}")
+_PART = re.compile(rf"({_DOT_WORD}|[\[({{<]\.)|(\.)|([0-9])|({'|'.join(_TENS)}|{'|'.join(_TIMES)}|{_TEENS}|hundred)|{'|'.join(w for w, d in _SPELLED.items() if len(d) == 1)}")
 _DOTTED = re.compile(f"(?i){_DOT}")
 _OPEN, _CLOSE = r"[\[({<]\s?", r"\s?[\])}>]"
-_MARK_AT = rf"\s?{_OPEN}(?:at|@|arroba){_CLOSE}\s?|\s@\s|\s(?:AT|at)(?: the rate(?: of)?)?\s"
-_MARK_DOT = rf"\s?{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s?|\s(?:DOT|dot)\s|\s\.\s"
+_MARK_AT = rf"\s?{_OPEN}(?:at|@|arroba|arobase){_CLOSE}\s?|\s@\s|\s(?:AT|at)(?: the rate(?: of)?)?\s|\s(?:arroba|arobase)\s"
+_MARK_DOT = rf"\s?{_OPEN}(?:dot|punkt|point|punto|\.){_CLOSE}\s?|\s(?:DOT|dot|punto|point|punkt)\s|\s\.\s"
+_LOCAL, _LABEL = r"[A-Za-z0-9_%+-]++", r"[A-Za-z0-9-]++"
+_ADDRESS = rf"(?<![A-Za-z0-9._%+-]){_LOCAL}(?:(?:{_MARK_DOT}|\.){_LOCAL})*+(?:{_MARK_AT}|@){_LABEL}(?:(?:{_MARK_DOT}|\.){_LABEL})+"
 #: An address written out with marks; plain dots may stand between labels too, but one mark at least is needed.
-_WRITTEN = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]++(?:(?:{_MARK_DOT}|\.)[A-Za-z0-9_%+-]++){{0,4}}(?:{_MARK_AT}|@)[A-Za-z0-9-]++(?:(?:{_MARK_DOT}|\.)[A-Za-z0-9-]++){{1,4}}"
-)
+_WITHIN = re.compile(_ADDRESS)
+#: The same, not from within a chain of labels: where the whole chain is no local part, its rest is none either, so long chains take no long time.
+_WRITTEN = re.compile(rf"(?<!\sdot\s)(?<!\sDOT\s)(?<!\s\.\s)(?<!dot[\])}}>])(?<!dot[\])}}>]\s){_ADDRESS}")
 _MARK = re.compile(rf"({_MARK_AT})|({_MARK_DOT})")
 #: The same with underscores or hyphens around the words.
-_GLUED = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9.]{1,40}(?:([_-])(?!at\1)[a-z0-9.]{1,40}){0,4}([_-])at\2[a-z0-9]{1,40}(?:\2(?!dot\2)[a-z0-9]{1,40}){0,3}(?:\2dot\2[a-z0-9]{1,40}){1,3}(?![a-z0-9_-])")
+_GLUED = re.compile(r"(?i)(?<![a-z0-9._%+-])[a-z0-9.]++(?:([_-])(?!at\1)[a-z0-9.]++)*([_-])at\2[a-z0-9]++(?:\2(?!dot\2)[a-z0-9]++)*(?:\2dot\2[a-z0-9]++)+(?![a-z0-9_-])")
 _GLUE = re.compile(r"(?i)([_-])(?:(at)|dot)\1")
 #: A mark that prose doesn't have; an address without one needs a worded dot before a known top level.
-_STRONG = re.compile(r"(?i)[\[({<]\s?(?:at|@|arroba|dot|punkt|point|punto|\.)\s?[\])}>]|\s@\s|\sat the rate")
+_STRONG = re.compile(r"(?i)[\[({<]\s?(?:at|@|arroba|arobase|dot|punkt|point|punto|\.)\s?[\])}>]|\s@\s|\sat the rate|\s(?:arroba|arobase)\s")
+#: Dots that only prose has behind a plain " at ".
+_ABROAD = re.compile(r"\s(?:punto|point|punkt)\s")
+_PLAIN_AT = re.compile(r"\s(?:AT|at)\s")
+#: Letters set apart, with an @ among them.
+_APART = re.compile(r"(?<!\S)[A-Za-z0-9](?: [A-Za-z0-9._%+@-](?!\S))++")
+_WHOLE = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _WORDED_DOT = re.compile(r"(?i)\sdot\s")
-_BRACKETED = re.compile(r"[\[({<]\s?(?:at|@|arroba|dot|punkt|point|punto|\.)")
-# Common top levels, and words that stand before " at " in prose.
+_BRACKETED = re.compile(r"[\[({<]\s?(?:at|@|arroba|arobase|dot|punkt|point|punto|\.)")
+# Common top levels, words that stand before " at " in prose, and words after which a single word is a noun or verb and no name.
 _TOPS = frozenset(
     "com net org edu gov mil int info biz name pro mobi io co me us uk de fr es it nl eu ch at ru cn jp in br au ca pl se no dk fi be cz pt gr ie mx ar cl nz za kr tr il hk sg ai tv dev app online site xyz shop tech blog example test".split()
 )
 _NO_LOCAL = frozenset(
     "a an the i you he she it we they me him her us them that this there here who what and or but not is are was were be been am met meet see saw look looked looking stay stayed arrive arrived stop stopped start started begin began end ended open opens close closed live lived work worked sit sat stand stood point pointed laugh laughed aim good bad best up down out in on off all only even just now then not".split()
 )
+_BEFORE_NOUN = frozenset("a an the my our your his her its their this that these those some any no every each another i you he she we they it who which".split())
+_LAST_WORD = re.compile(r"([A-Za-z]+)\s+\Z")
 _NAME_TOP = re.compile(r"\.[A-Za-z]{2,24}\Z")
 
 
@@ -180,6 +193,10 @@ def _number(word: str) -> str | None:
     """Digits that a spelled number stands for."""
     if word in _SPELLED:
         return _SPELLED[word]
+    hundreds, many, rest = word.partition("hundred")
+    if many:
+        rest = rest.strip(" -").removeprefix("and").strip(" -")
+        return _SPELLED[hundreds.strip(" -")] + ((_number(rest) or "").zfill(2) if rest else "00")
     for tens, digit in _TENS.items():
         if word.startswith(tens):
             return digit + (_SPELLED[word[len(tens) :].strip(" -")] if len(word) > len(tens) else "0")
@@ -188,7 +205,7 @@ def _number(word: str) -> str | None:
 
 
 #: How digit words, dots and what repeats a digit begin.
-_HEADS = frozenset(w[:3] for w in (*_SPELLED, *_TENS, *_TIMES, *_DOT_WORD.split("|"), "plus", "más", "mas"))
+_HEADS = frozenset(w[:3] for w in (*_SPELLED, *_TENS, *_TIMES, *_DOT_WORD.split("|"), "hundred", "plus", "más", "mas"))
 _parts: dict[str, tuple[int, int, bool] | None] = {}
 
 
@@ -254,14 +271,17 @@ def _written(now: str) -> Iterator[tuple[int, int, str]]:
     while m:
         marks = [(m.start() + x.start(), m.start() + x.end(), "@" if x[1] else ".") for x in _MARK.finditer(m[0])]
         said = _MARK.sub(lambda x: "@" if x[1] else ".", m[0])
-        fits = said.count("@") == 1 and _NAME_TOP.search(said)
+        fits = said.count("@") == 1 and _NAME_TOP.search(said) and not (_ABROAD.search(m[0]) and _PLAIN_AT.search(m[0]))
         if fits and not any(_STRONG.search(now, a, b) for a, b, _ in marks):
-            fits = _WORDED_DOT.search(m[0]) and said.rsplit(".", 1)[1].lower() in _TOPS and said.split("@")[0].lower() not in _NO_LOCAL
+            local = said.split("@")[0].lower()
+            before = _LAST_WORD.search(now, max(0, m.start() - 12), m.start())
+            prose = local in _NO_LOCAL or local.isalpha() and before and before[1].lower() in _BEFORE_NOUN
+            fits = _WORDED_DOT.search(m[0]) and said.rsplit(".", 1)[1].lower() in _TOPS and not prose
         if fits:
             yield from marks
             m = _WRITTEN.search(now, m.end())
         else:  # an address may start within what only looks like one
-            m = _WRITTEN.search(now, marks[0][1] if marks else m.end())
+            m = _WITHIN.search(now, marks[0][1] if marks else m.end())
     for m in _GLUED.finditer(now):
         marks = [(m.start() + x.start(), m.start() + x.end(), "@" if x[2] else ".") for x in _GLUE.finditer(m[0])]
         if sum(new == "@" for *_, new in marks) == 1 and now[marks[-1][1] : m.end()].lower() in _TOPS:
@@ -279,8 +299,13 @@ def normalise(text: str) -> Trace | None:
     if _may_spell(low):
         for run in _RUN.finditer(now):
             edits += _spelled(run)
-    if "dot" in low or " @ " in low or "at the rate" in low or _BRACKETED.search(low):
-        edits += _written(now)
+    if " @ " in low:
+        for m in _APART.finditer(now):
+            if _WHOLE.fullmatch(m[0].replace(" ", "")):
+                edits += [(k, k + 1, "") for k in range(m.start() + 1, m.end(), 2)]
+    apart = {k for k, _, _ in edits}
+    if "dot" in low or " @ " in low or "at the rate" in low or "arroba" in low or "arobase" in low or _BRACKETED.search(low):
+        edits += [e for e in _written(now) if not apart.intersection(range(e[0], e[1]))]
     if edits:
         edits.sort()
         kept, last = [], 0

@@ -817,3 +817,35 @@ def test_taken_ranges_are_as_all_compared():
             assert taken.meets(a, b) == any(a <= d and c <= b for c, d in every)
             taken.add(a, b)
             every.append((a, b))
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "said"),
+    [
+        ("at one hundred ninety two dot one sixty eight dot one dot one.", "ip", "one hundred ninety two dot one sixty eight dot one dot one"),
+        ("ip two hundred and ten dot zero dot one dot twelve", "ip", "two hundred and ten dot zero dot one dot twelve"),
+        ("mail j o h n @ e x a m p l e . c o m now", "email", "j o h n @ e x a m p l e . c o m"),
+        ("juan arroba ejemplo punto com", "email", "juan arroba ejemplo punto com"),
+        ("écrire à luc arobase exemple point fr", "email", "luc arobase exemple point fr"),
+        ("a_at_" + "b" * 50 + "_dot_com", "email", "a_at_" + "b" * 50 + "_dot_com"),
+        ("x" * 60 + "_at_example_dot_com", "email", "x" * 60 + "_at_example_dot_com"),
+        ("a_at_b_dot_c_dot_d_dot_e_dot_com", "email", "a_at_b_dot_c_dot_d_dot_e_dot_com"),
+        ("user at a dot b dot c dot d dot e dot com", "email", "user at a dot b dot c dot d dot e dot com"),
+        ("anna dot b dot c dot d dot e dot f at host dot org", "email", "anna dot b dot c dot d dot e dot f at host dot org"),
+    ],
+)
+def test_pii_has_no_caps_and_reads_hundreds_and_other_marks(text, kind, said):
+    _, every = pii.find(text)
+    assert every == [(pii.KINDS.index(kind), text.index(said), text.index(said) + len(said))]
+
+
+@pytest.mark.parametrize("text", ["Our office at amazon dot com headquarters", "The meeting at booking dot com", "They shop at target dot com", "It peaked at that point in time", "one hundred people met at noon."])
+def test_pii_leaves_prose_alone(text):
+    assert pii.find(text) == ([], [])
+
+
+def test_pii_chains_without_end_take_little_time():
+    began = time.process_time()
+    for text in ("a dot " * 100_000, "a_b_" * 50_000 + " dot", "x [dot] " * 60_000, "a . " * 60_000 + "dot", "a@b dot c " * 20_000):
+        pii.find(text)
+    assert time.process_time() - began < 20
