@@ -77,11 +77,16 @@ _STEMS = ("comment", "advert", "cookie", "sidebar", "footer", "navbar", "navig",
 _CONTENT = frozenset("article articlebody content contents maincontent main post postbody entry story storybody body text prose copy blogpost news".split())
 #: Parts of a name that say what a page or post is about or has, not what the element is.
 _ABOUT = re.compile(r"(?i)^(?:tag|category|cat|type|status|format|has|no|with|without|hide|show|is|js|template|single|postid|page)[-_]")
+#: Parts of a name that say what an element stands beside.
+_BESIDES = re.compile(r"(?i)[-_](?:with|without|has|no|fixed|sticky)[-_]\w+")
+#: Names of what readers wrote or what leads elsewhere, which holds articles of its own; and those that can't be meant otherwise.
+_TALK = re.compile(r"(?i)comment|repl(?:y|ies)|respon[sd]|discuss|disqus|review|guestbook|feedback|related|recommend|teaser|trending|popular|sidebar|promo|sponsor|advert")
+_SURE = re.compile(r"(?i)comment|repl(?:y|ies)|respon[sd]|disqus|cookie|consent|gdpr|notice|notif|alert|advert|\bads?\b|sponsor|promo|newsletter|subscri|nav|menu|footer|sidebar|related|recommend|popup|overlay|toast|legal|copyright|share|social|log-?in|sign-?(?:in|up)|header|widget|banner|paywall")
 _SIDES = re.compile(r"(?i)^(?:col|column|box|pane|panel|region|content|layout)?[-_]?(?:left|right)[-_]?(?:col|column|rail|bar|box|pane|panel|side)?$")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: How boilerplate that has no name of its own begins.
 _CUE = re.compile(
-    r"(?i)(?:(?:\d+ )?(?:comments?|replies|responses)\b|leave a (?:reply|comment)|related\b|you (?:may|might) also|more (?:stories|from|on this)|most (?:read|popular)|read (?:more|next)|recommended|trending|share (?:this|on)|follow us|sign (?:up|in)|log ?in|subscribe|advertisement|sponsored|©|\(c\)|copyright|all rights reserved|(?:we|this (?:web)?site) uses? cookies|by (?:continuing|using)|accept (?:all|cookies)|skip to|privacy policy|terms (?:of|and))"
+    r"(?i)(?:(?:\d+ )?(?:comments?|replies|responses)\b|leave a (?:reply|comment)|related\b|you (?:may|might) also|more (?:stories|from|on this)|most (?:read|popular)|read (?:more|next)|recommended|trending|share (?:this|on)|follow us|sign (?:up|in)|log ?in|subscribe|advertisement|sponsored|about the author|©|\(c\)|copyright|all rights reserved|(?:we|this (?:web)?site) uses? cookies|by (?:continuing|using)|accept (?:all|cookies)|skip to|privacy policy|terms (?:of|and))"
 )
 
 
@@ -95,7 +100,9 @@ def hint_of(tag: str, attrs: str) -> str:
         for name in value.split():
             if _ABOUT.match(name):
                 continue
-            words = [w.lower() for w in _WORD.findall(name)]
+            words = [w.lower() for w in _WORD.findall(_BESIDES.sub("", name))]
+            if not words:
+                continue
             if any(w in _BOILER or w.startswith(_STEMS) for w in words) or _SIDES.match(name):
                 if tag == "main" or tag == "article" and not any(w.startswith(("comment", "repl", "respon", "teaser", "related", "promo", "advert", "sponsor", "widget")) or w == "ad" for w in words):
                     continue
@@ -108,10 +115,11 @@ def hint_of(tag: str, attrs: str) -> str:
 
 
 class Node:
-    __slots__ = ("tag", "part", "hint", "parent", "chars", "linked", "cue", "label")
+    __slots__ = ("tag", "part", "hint", "parent", "chars", "linked", "cue", "label", "names")
 
     def __init__(self, tag: str, hint: str, parent: int, label: int | None):
         self.tag, self.part, self.hint, self.parent, self.chars, self.linked, self.cue, self.label = tag, _PARTS.get(tag, "other"), hint, parent, 0, 0, 0, label
+        self.names = ""
 
 
 def _tokens(page: str):
@@ -243,18 +251,59 @@ def parse(page: str, marks: bool = False) -> tuple[list[Node], list[tuple[int, s
             pop(len(stack) - 1)
         hint = "boiler" if tag in _OFF else hint_of(tag, attrs) if attrs else "-"
         nodes.append(Node(tag, hint, stack[-1], int(mark[1]) if mark else None))
+        if hint == "boiler":
+            nodes[-1].names = attrs
         stack.append(len(nodes) - 1)
         opened[tag] += 1
     if last < len(page):
         run.append(page[last:])
     pop(1)
     flush()
+    _weigh(nodes)
     if not any(nodes[k].tag not in ("html", "body") for k, _ in blocks):
         for n in nodes:
             n.part = "lone" if n.part == "body" else n.part  # a page of bare text
     return nodes, blocks
 
 
+def _weigh(nodes: list[Node]) -> None:
+    """What the prose of the whole page says about its elements' names, and elements that only hold another.
+
+    A part named like boilerplate isn't any if it holds the article, the main part or a part
+    named like content with most of the page's prose; nor is one whose name may be meant
+    otherwise, or a form, if it has several paragraphs and there is no prose elsewhere. A heading that begins like
+    boilerplate names the part that it opens. Elements without a name, text or second child
+    around another such element are passed over, so that depth costs nothing.
+    """
+    first: set[int] = set()
+    for n in nodes:
+        if n.chars and n.parent > 0 and n.parent not in first:
+            first.add(n.parent)
+            up = nodes[n.parent]
+            if n.part == "h" and n.cue and up.part == "div" and up.hint == "-" and not up.chars and up.tag != "body":
+                up.hint, up.names = "boiler", "related"
+    named = [n.tag not in _OFF and (n.hint == "boiler" or n.part == "form") and n.part not in ("nav", "foot", "aside") for n in nodes]
+    if any(named):
+        prose = [n.chars if n.chars > 30 and n.linked < n.chars * 0.3 else 0 for n in nodes]
+        held, many, core, off, outside = list(prose), [x > 0 for x in prose], [0] * len(nodes), [False] * len(nodes), 0
+        for k in range(len(nodes) - 1, 0, -1):
+            up, n = nodes[k].parent, nodes[k]
+            held[up] += held[k]
+            many[up] += many[k]
+            core[up] = max(core[up], core[k], held[k] if n.tag in ("article", "main") or n.hint == "content" else 0)
+        for k, n in enumerate(nodes):
+            off[k] = n.hint == "boiler" or n.part in ("nav", "foot", "aside", "form") or n.parent >= 0 and off[n.parent]
+            outside += 0 if off[k] else prose[k]
+        for k, n in enumerate(nodes):
+            if named[k] and (2 * core[k] > held[0] and not _TALK.search(n.names) or not outside and many[k] > 1 and 2 * held[k] > held[0] and not _SURE.search(n.names)):
+                n.hint, n.part = "-", "div" if n.part == "form" else n.part
+    children = Counter(n.parent for n in nodes)
+    for n in nodes:
+        while n.part == "div" and n.parent > 0 and (up := nodes[n.parent]).part == "div" and up.hint == "-" and not up.chars and children[n.parent] == 1:
+            n.label = up.label if n.label is None else n.label
+            up.part, n.parent = "void", up.parent
+
+
 def seen(nodes: list[Node]) -> list[tuple[str, str]]:
     """Of every node: its surroundings (the nearest hint above or at it, with its own part), and its own text's length, links and beginning."""
     near, out = [], []
@@ -290,6 +339,8 @@ def labelled(nodes: list[Node]) -> list[int] | None:
 
 def count(nodes: list[Node], labels: list[int], into: Counter) -> None:
     for n, y, (place, text) in zip(nodes, labels, seen(nodes), strict=True):
+        if n.part == "void":
+            continue
         into[f"text|{place}|{text}", y] += 1
         into[f"step|{n.part},{n.hint}|{labels[n.parent]}" if n.parent >= 0 else f"root|{n.part}|", y] += 1
 
@@ -426,7 +477,7 @@ def _page(k: int) -> str:
     (begin, end), body = _HOLDERS[k % len(_HOLDERS)], _BODIES[k % len(_BODIES)]
     beside = [_BESIDE[(5 * k + j * 7) % len(_BESIDE)].replace(">", " data-y='0'>", 1) for j in range(5)]
     cut = body.index(_P) + len(_P) if _P in body else len(begin) and body.index("<div>")
-    inside = beside[2] if k % 2 else ""
+    inside = beside[2] if k % 2 and not beside[2].startswith("<p") else ""  # a bare paragraph of an article is the article's
     return f"<body data-y='2'>{beside[0]}{beside[1]}{begin}{body[:cut]}{inside}{body[cut:]}{beside[4] if k % 3 == 0 else ''}{end}{beside[3]}</body>"
 
 

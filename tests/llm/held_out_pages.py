@@ -53,3 +53,21 @@ PAGES = [
     (f"<article><header><h1>Flood</h1></header><p>{A}<p>{B}<h2>What next</h2><p>{C}<p>{D}<footer><p>Filed under rivers</p></footer></article>", LINES),
     (f"<article>{BODY}<svg><rect data-y=\"1\"/></svg><p data-y=\"0\">{C}</p></article><div class='chart'><rect data-y='1'></rect></div>", [*LINES, C]),
 ]
+
+_THREE, _LINES = f"<p>{A}</p><p>{C}</p><p>{D}</p>", [A, C, D]
+# names with a word of boilerplate in them, forms around a page, deep trees, and nameless parts that a heading gives away
+PAGES += [
+    (f"<body>{begin}{_THREE}{end}</body>", _LINES)
+    for begin, end in (
+        ('<div class="content-with-sidebar">', "</div>"), ('<div class="layout-fixed-header"><main>', "</main></div>"), ('<div class="tabs-container"><div class="entry-content">', "</div></div>"),
+        ('<div class="reviews">', "</div>"), ('<div id="discussion-paper">', "</div>"), ('<div class="modal-page"><div class="article-body">', "</div></div>"),
+        ('<form id="aspnetForm"><article>', "</article></form>"), ('<div id="aspnetForm">', "</div>"), ("<article>" + "<div>" * 200, "</div>" * 200 + "</article>"), ('<div id="content">' + "<div>" * 400, "</div>" * 400 + "</div>"),
+    )
+] + [
+    _with("", "", f"<div><h3>3 Comments</h3><p>{LONG_COMMENT}</p><p>{LONG_COMMENT}</p></div>"),
+    _with("", "", f"<div><h4>About the author</h4><p>{TEASER}</p></div>"),
+    (f"<body><nav><ul>{LINKS}</ul></nav><div class='cookie-consent'><p>{LONG_NOTICE}</p></div><footer><p>{TEASER}</p></footer></body>", []),
+    (f"<body><div class='comments'><p>{LONG_COMMENT}</p><p>{LONG_COMMENT}</p></div></body>", []),
+    (f"<body><div class='main'><p>{A}</p></div><section class='comments'><article><p>{LONG_COMMENT}</p></article><article><p>{LONG_COMMENT}</p></article></section></body>", [A]),
+    (f"<body><form class='search-form'><p>{LONG_NOTICE}</p></form></body>", []),
+]

@@ -188,8 +188,16 @@ def test_held_out_pages_with_a_trained_model(spark):
     assert got[None] == ["\n".join(PAGES[1][1])]
 
 
-def test_marginals_are_the_sums_over_all_labellings(hand_model):
-    nodes, _ = main_text.parse("<body><div class='x'><p>one</p><p>two</p></div><nav><p>three</p></nav></body>")
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body><div class='x'><p>one</p><p>two</p></div><nav><p>three</p></nav></body>",
+        "<body><article><h1>A &amp; b</h1><p>one</p></article><div class='ad'><p>two</p></div></body>",
+        "<body><div><div><div>one two</div></div></div><div class='comments'><p>three</p></div></body>",
+    ],
+)
+def test_marginals_and_text_are_the_sums_over_all_labellings(hand_model, page):
+    nodes, blocks = main_text.parse(page)
     weight, total = collections.defaultdict(float), 0.0
     texts = collections.Counter(n.parent for n in nodes if n.chars)
     for labels in itertools.product(range(3), repeat=len(nodes)):
@@ -203,6 +211,7 @@ def test_marginals_are_the_sums_over_all_labellings(hand_model):
             weight[k, y] += math.exp(w)
     for k, p in enumerate(hand_model.marginals(nodes)):
         assert p == pytest.approx([weight[k, y] / total for y in range(3)])
+    assert hand_model.text(page) == "\n".join(said for k, said in blocks if weight[k, main_text.CONTENT] > total / 2)
 
 
 def test_pages_own_marks_are_not_labels():
