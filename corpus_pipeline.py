@@ -55,15 +55,20 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Each stage is written to a folder of its own in the checkpoint directory and read
     again; what the next stage has read goes, and the last one's rows stay there for the caller.
+    If a stage fails, all of it goes.
     """
     ensure_checkpoint_dir(spark)
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     place = f"{folder.rstrip('/')}/corpus-{uuid.uuid4().hex}"
     docs, last = read_table(spark, sf_dir, "documents"), None
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
-        if last:
-            remove(spark, last)
-        last = f"{place}/{k}"
-        docs = spark.read.parquet(last)
+    try:
+        for k, (_, stage) in enumerate(STAGES):
+            stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}")
+            if last:
+                remove(spark, last)
+            last = f"{place}/{k}"
+            docs = spark.read.parquet(last)
+    except BaseException:
+        remove(spark, place)
+        raise
     return docs
