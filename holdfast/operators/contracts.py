@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import exists
+
 
 @dataclass(frozen=True)
 class Contract:
     primary_key: str
     required: tuple[str, ...]
+    #: where the dataset is, for contracts that are read from a file
+    path: str = ""
 
 
 # The contracts of the raw and processed tables.
@@ -76,5 +81,28 @@ def all_contracts(datasets: dict[str, DataFrame], contracts: dict[str, Contract]
     return reduce(DataFrame.unionByName, [contract_checks(n, datasets[n], c) for n, c in contracts.items()])
 
 
+def read_contracts(spark: SparkSession, path: str) -> dict[str, Contract]:
+    """Contracts by dataset from a JSON file: ``{"datasets": {name: {"path", "primary_key", "required_columns"}}}``."""
+    said = json.loads(spark.read.text(path, wholetext=True).first().value).get("datasets", {})
+    return {n: Contract(str(c.get("primary_key", "")), tuple(map(str, c.get("required_columns", ()))), str(c.get("path", ""))) for n, c in said.items()}
+
+
+def check_files(spark: SparkSession, root: str, contracts: dict[str, Contract]) -> DataFrame:
+    """Checks of datasets at their contracts' paths below a root; one that isn't there fails ``dataset_exists`` and has no others.
+
+    Paths that end in ``.csv`` have a header line; ``.json`` has a row a line; others are Parquet.
+    """
+    found = []
+    for name, c in contracts.items():
+        path = f"{root.rstrip('/')}/{c.path}"
+        there = bool(c.path) and exists(spark, path)
+        check = _check("dataset_exists", F.lit(there), F.lit(f"path={c.path}; exists={there}"))
+        found.append(spark.range(1).select(F.lit(name).alias("dataset"), F.inline(F.array(check))))
+        if there:
+            df = spark.read.csv(path, header=True) if path.endswith(".csv") else spark.read.json(path) if path.endswith(".json") else spark.read.parquet(path)
+            found.append(contract_checks(name, df, c))
+    return reduce(DataFrame.unionByName, found)
+
+
 def issues(checks: DataFrame) -> DataFrame:
     return checks.where("status <> 'PASS'")

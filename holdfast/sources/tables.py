@@ -85,6 +85,11 @@ def _store(spark: SparkSession, path: str):
     return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where, store = _store(spark, path)
+    return store.exists(where)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder in whatever store it is."""
     where, store = _store(spark, path)
@@ -105,8 +110,7 @@ def write(mart: DataFrame, path: str, form: str = "parquet") -> None:
     try:
         writer = mart.write.format(form)
         (writer.option("header", True) if form == "csv" else writer).save(staged)
-        where, store = _store(spark, path)
-        there = store.exists(where)
+        there = exists(spark, path)
         if there:
             _renamed(spark, path, before)
         try:

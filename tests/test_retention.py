@@ -247,3 +247,24 @@ def test_quantiles_put_few_buckets_in_order(spark):
                 low, high = values[math.floor(at)], values[math.ceil(at)]
                 assert row.q == pytest.approx(low if low == high else (math.ceil(at) - at) * low + (at - math.floor(at)) * high)
     assert "percentile" not in plan(quantiles(df, {"q": ("v", 0.5)}))
+
+
+def test_contracts_come_from_a_file_and_missing_datasets_are_issues(spark, tmp_path):
+    (tmp_path / "contracts.json").write_text(
+        '{"version": 1, "datasets": {"people": {"path": "raw/people.csv", "primary_key": "id", "required_columns": ["id", "name"]},'
+        ' "gone": {"path": "raw/gone.csv", "primary_key": "id", "required_columns": ["id"]}, "cells": {"path": "cells", "primary_key": "k", "required_columns": ["k", "z"]}}}'
+    )
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "people.csv").write_text("id,name\n1,a\n2,b\n2,c\n,d\n")
+    spark.range(3).toDF("k").write.parquet(str(tmp_path / "cells"))
+    declared = contracts.read_contracts(spark, str(tmp_path / "contracts.json"))
+    assert declared["people"] == contracts.Contract("id", ("id", "name"), "raw/people.csv")
+    checks = contracts.check_files(spark, str(tmp_path), declared)
+    assert checks.columns == ["dataset", "check_name", "status", "severity", "evidence"] and checks.count() == 5 + 1 + 5
+    got = {(r.dataset, r.check_name): r.evidence for r in contracts.issues(checks).collect()}
+    assert got == {
+        ("gone", "dataset_exists"): "path=raw/gone.csv; exists=False",
+        ("people", "primary_key_not_null"): "primary_key=id; null_rows=1",
+        ("people", "primary_key_unique"): "primary_key=id; duplicate_rows=1",
+        ("cells", "required_columns_present"): "missing_columns=['z']",
+    }
