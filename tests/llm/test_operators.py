@@ -546,13 +546,13 @@ def test_top_k_is_exact(spark, scale):
 
 
 def test_top_k_edge_cases(spark):
-    """Repeated ids and rows, ties, empty vectors, more than one block of queries, a third of the rows in one place."""
+    """Repeated ids and rows, ties, empty vectors, more than one share and part, a third of the rows in one place."""
     r = random.Random(5)
     rows = [(k, [r.choice([-1.0, 0.0, 0.5]) for _ in range(4)] if k % 3 else [0.25] * 4) for k in range(90)]
     rows += [(40, [9.0, 0.0, 0.0, 0.0]), (41, [0.5] * 4), (41, [0.5] * 4), (100, []), (None, [1.0] * 4), (120, [float("-inf")] * 4)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({c: F.lit("clash") for c in ("codes", "centre", "kth", "score")})
     got = collections.defaultdict(list)
-    for x in topk.top_k(table, 6, query_bytes=1).collect():
+    for x in topk.top_k(table, 6, share_bytes=200, cell_packs=2).collect():
         got[x.query_id].append((x.rank, x.score, x.vec_id))
     ints = [(k, [math.floor(64 * c) for c in v]) for k, v in rows if k is not None and k != 120]
     for q in (0, 20, 40, 60, 80, 100):
@@ -562,6 +562,41 @@ def test_top_k_edge_cases(spark):
     assert set(got) == {0, 20, 40, 60, 80, 100}
 
 
+def test_top_k_plan_does_not_grow(spark):
+    """Whatever the number of queries: one plan, nothing of theirs broadcast, each cell of shares and parts once."""
+    r = np.random.default_rng(7)
+    x = np.floor(r.normal(size=(6000, 8)) * 64)
+    sizes = []
+    for n in (600, 6000):
+        rows = spark.createDataFrame([(k, (v / 64).tolist()) for k, v in enumerate(x[:n])], "vec_id long, embedding array<double>")
+        got = topk.top_k(rows, 3, every=2, share_bytes=8 << 10, cell_packs=4)
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        sizes.append(len(plan.splitlines()))
+        assert got.count() == 3 * n // 2 and "broadcast" not in plan.lower()
+    assert sizes[0] == sizes[1]
+    found = collections.defaultdict(list)
+    for g in got.collect():
+        found[g.query_id].append((g.rank, g.score, g.vec_id))
+    for q in range(0, 6000, 500):
+        score = x @ x[q]
+        want = sorted(((-int(s), k) for k, s in enumerate(score.tolist()) if k != q))[:3]
+        assert sorted(found[q]) == [(n + 1, -s, k) for n, (s, k) in enumerate(want)]
+
+
+def test_groups_are_pruned():
+    """Groups whose bound no query reaches aren't opened."""
+    r = np.random.default_rng(2)
+    middle = r.normal(size=(10, 16)) * 300
+    x = [np.floor(m + r.normal(size=(300, 16)) * 10).astype(np.int64) for m in middle]
+    groups = [topk.Group(np.arange(300) + 300 * k, v) for k, v in enumerate(x)]
+    best = topk.Best(groups[0].ids[::20], x[0][::20], np.full(15, topk._NONE), 20)
+    best.meet_all(groups)
+    assert best.blocks < 15 * 19 * 4
+    for i in range(15):
+        score = np.vstack(x) @ x[0][20 * i]
+        assert best.rows[i].tolist() == sorted((k for k in range(3000) if k != 20 * i), key=lambda k: (-score[k], k))[:20]
+
+
 def test_blocks_are_pruned():
     """Of vectors in clusters, far less than all blocks are scored, and the result is that of scoring all."""
     r = np.random.default_rng(1)
