@@ -240,16 +240,30 @@ def intervention_priorities(features: DataFrame, top: int = 2, limits: DataFrame
     )
 
 
+_pct = lambda c: F.concat(F.format_number(rnd(F.col(c) * 100, 1), 1), F.lit("%"))
+
+
+def driver_finding(by_dimension: DataFrame, relations: DataFrame) -> DataFrame:
+    """The third of the findings below: the dimensions' top values and the strongest relation."""
+    tops = by_dimension.groupBy("dimension").agg(F.max(F.struct("churn_rate", "value")).alias("t"))
+    top = tops.agg(*[F.max(F.when(F.col("dimension") == d, F.col(f"t.{k}"))).alias(f"{d}_{k}") for d in DIMS for k in ("value", "churn_rate")])
+    strongest = relations.agg(F.max_by("relationship", F.struct("churn_rate_lift", "relationship")).alias("relationship"), F.max("churn_rate_lift").alias("lift"))
+    return top.crossJoin(strongest).select(
+        F.lit("3. Churn Drivers").alias("section"),
+        F.concat(*[x for label, d in (("Highest segment churn: ", "segment"), ("; region: ", "region"), ("; channel: ", "acquisition_channel"), ("; plan: ", "plan_type"))
+                   for x in (F.lit(label), F.col(f"{d}_value"), F.lit(" ("), _pct(f"{d}_churn_rate"), F.lit(")"))],
+                 F.lit("; strongest behavioral lift: "), F.col("relationship"), F.lit(" ("), F.format_number(rnd("lift", 2), 2), F.lit("x).")).alias("result"),
+        F.col("lift").alias("value"),
+    )
+
+
 def structured_findings(
     overall: DataFrame, cohorts: DataFrame, by_dimension: DataFrame, relations: DataFrame, risk: DataFrame, segments: DataFrame, tiers: DataFrame, plays: DataFrame
 ) -> DataFrame:
     """Five findings, each a sentence of a mart's figures, which stand beside it as numbers."""
-    pct = lambda c: F.concat(F.format_number(rnd(F.col(c) * 100, 1), 1), F.lit("%"))
+    pct = _pct
     usd = lambda c: F.concat(F.lit("$"), F.format_number(rnd(c, 0), 0))
     count = lambda c: F.format_number(F.col(c), 0)
-    tops = by_dimension.groupBy("dimension").agg(F.max(F.struct("churn_rate", "value")).alias("t"))
-    top = tops.agg(*[F.max(F.when(F.col("dimension") == d, F.col(f"t.{k}"))).alias(f"{d}_{k}") for d in DIMS for k in ("value", "churn_rate")])
-    strongest = relations.agg(F.max_by("relationship", F.struct("churn_rate_lift", "relationship")).alias("relationship"), F.max("churn_rate_lift").alias("lift"))
     loss = segments.agg(F.max(F.struct("total_revenue_loss_proxy", "segment")).alias("s")).select(F.col("s.segment").alias("segment"), F.col("s.total_revenue_loss_proxy").alias("loss"))
     high = tiers.where(F.col("value_tier").isin("Mid-High", "High")).agg(F.sum("share_of_churned_customers").alias("high_share"))
     best = plays.agg(F.max(F.struct("priority_score", "opportunity", "recoverable_mrr", "benchmark_churn_rate")).alias("p")).select("p.*")
@@ -266,13 +280,7 @@ def structured_findings(
                      F.lit("; trend is "), F.col("cohort_trend_label"), F.lit(".")),
             F.col("avg_6m_retention"),
         ),
-        top.crossJoin(strongest).select(
-            F.lit("3. Churn Drivers"),
-            F.concat(*[x for label, d in (("Highest segment churn: ", "segment"), ("; region: ", "region"), ("; channel: ", "acquisition_channel"), ("; plan: ", "plan_type"))
-                       for x in (F.lit(label), F.col(f"{d}_value"), F.lit(" ("), pct(f"{d}_churn_rate"), F.lit(")"))],
-                     F.lit("; strongest behavioral lift: "), F.col("relationship"), F.lit(" ("), F.format_number(rnd("lift", 2), 2), F.lit("x).")),
-            F.col("lift"),
-        ),
+        driver_finding(by_dimension, relations),
         risk.crossJoin(loss).crossJoin(high).select(
             F.lit("4. Revenue at Risk"),
             F.concat(F.lit("Future revenue at risk "), usd("future_revenue_at_risk"), F.lit("; high-value at-risk MRR "), usd("high_value_at_risk_mrr"),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import count_if
@@ -30,6 +33,36 @@ GATES = {
 }
 
 
+@dataclass(frozen=True)
+class Policy:
+    """How many major warnings a release may have, and whether synthetic data may be committee-grade."""
+
+    major_acceptable: int = 1
+    #: for decision support; None: as for acceptance
+    major_decision_support: int | None = None
+    synthetic_committee_grade: bool = False
+
+
+# The keys of a policy file.
+POLICY_KEYS = {
+    "major_acceptable": "major_warn_threshold_for_analytical_acceptance",
+    "major_decision_support": "major_warn_threshold_for_decision_support",
+    "synthetic_committee_grade": "committee_grade_allowed",
+}
+
+
+def read_policy(spark: SparkSession, path: str) -> Policy:
+    """A policy from a YAML or JSON file, wherever in it the keys stand; missing keys keep their default, other values are an error."""
+    text, said = spark.read.text(path, wholetext=True).first().value, {}
+    for field, key in POLICY_KEYS.items():
+        if found := re.search(rf"^[\s{{,]*[\"']?{key}[\"']?\s*:\s*([^\s,}}#]+)", text, re.MULTILINE):
+            value = found[1].strip("\"'").lower()
+            if not re.fullmatch(r"true|false" if field == "synthetic_committee_grade" else r"\d+", value):
+                raise ValueError(f"{key} can't be {value}")
+            said[field] = value == "true" if field == "synthetic_committee_grade" else int(value)
+    return Policy(**said)
+
+
 def _listed(lists: dict[str, tuple[str, ...]]) -> Column:
     return F.concat_ws("|", "category", "check_name").isin([f"{c}|{n}" for c, names in lists.items() for n in names])
 
@@ -53,8 +86,8 @@ def summary(graded: DataFrame) -> DataFrame:
     return one.withColumn("confidence", label)
 
 
-def release_matrix(graded: DataFrame, synthetic_data: bool = True, major_allowed: int = 1) -> DataFrame:
-    """Six states, each active or not, and the recommended one."""
+def release_matrix(graded: DataFrame, synthetic_data: bool = True, policy: Policy = Policy()) -> DataFrame:
+    """Six states, each active or not under a policy, and the recommended one."""
     fail, warn = F.col("status") == "FAIL", F.col("status") == "WARN"
     one = graded.agg(
         count_if(fail).alias("fails"),
@@ -65,14 +98,16 @@ def release_matrix(graded: DataFrame, synthetic_data: bool = True, major_allowed
         count_if(fail & (F.col("gate_level") == "analytical_validity")).alias("analytical"),
     )
     synthetic = F.lit(synthetic_data)
+    supported = policy.major_acceptable if policy.major_decision_support is None else policy.major_decision_support
     one = one.withColumn("tech", (F.col("technical") == 0) & (F.col("blockers") == 0))
-    one = one.withColumn("fine", F.col("tech") & (F.col("analytical") == 0) & (F.col("majors") <= major_allowed))
+    sound = F.col("tech") & (F.col("analytical") == 0)
+    one = one.withColumn("fine", sound & (F.col("majors") <= policy.major_acceptable))
     states = {
         "technically valid": F.col("tech"),
         "analytically acceptable": F.col("fine"),
-        "decision-support only": F.col("fine") & ((F.col("warns") > 0) | synthetic),
+        "decision-support only": sound & (F.col("majors") <= supported) & ((F.col("warns") > 0) | synthetic),
         "screening-grade only": F.col("tech") & ~F.col("fine"),
-        "not committee-grade": synthetic | (F.col("warns") > 0),
+        "not committee-grade": F.lit(synthetic_data and not policy.synthetic_committee_grade) | (F.col("warns") > 0),
         "publish-blocked": (F.col("blockers") > 0) | (F.col("fails") > 0),
     }
     best = F.lit("not committee-grade")

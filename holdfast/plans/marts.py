@@ -39,7 +39,9 @@ class Marts:
 
     @classmethod
     def of_raw(cls, spark: SparkSession, folder: str, form: str = "parquet", shared: bool = True) -> Marts:
-        return cls(*[sources.load(spark, folder, n, form) for n in ("customers", "subscriptions", "product_usage", "payments")], shared)
+        """Raw tables of a folder; usage that is laid out by month (``sources.write_usage``) is read from the months that its windows reach."""
+        recent = (lambda snapshot: sources.recent_usage(spark, folder, snapshot)) if sources.exists(spark, f"{folder}/{sources.USAGE_BY_MONTH}") else None
+        return cls(*[sources.load(spark, folder, n, form) for n in ("customers", "subscriptions", "product_usage", "payments")], shared, recent=recent)
 
     def _keep(self, df: DataFrame) -> DataFrame:
         if not self.shared:
@@ -214,7 +216,7 @@ class Marts:
             "thin months": lambda: v.thin_months(self.trend),
             "by dimension": lambda: self.by_dimension,
             "relations": lambda: self.relations,
-            "said of tops": lambda: v.said_of_tops(self.findings, self.by_dimension, self.relations),
+            "said of tops": lambda: v.said_of_tops(drivers.driver_finding(self.by_dimension, self.relations), self.by_dimension, self.relations),
             "scores": lambda: self.scores,
             "tiers again": lambda: v.tiers_again(self.scores, risk.tier_summary(self.scores)),
             "rank neighbours": lambda: v.rank_neighbours(self.ranked),
@@ -276,3 +278,8 @@ class Marts:
     def write(self, folder: str, form: str = "parquet", names: list[str] | None = None) -> None:
         for name, mart in self.exports(names).items():
             sources.write(mart, f"{folder}/{name}", form)
+
+    def write_tables(self, prefix: str, buckets: int, names: list[str] | None = None) -> None:
+        """Marts with a row a customer as tables ``<prefix><name>``, bucketed so that they join by customer without an exchange."""
+        for name in names or ("customer_retention_features", "customer_risk_scores"):
+            sources.write_table(self._exports[name](), f"{prefix}{name}", "customer_id", buckets)

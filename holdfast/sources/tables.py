@@ -18,6 +18,10 @@ SCHEMAS = {
 }
 
 
+#: Usage as ``write_usage`` lays it out, beside the raw tables, and the column that its folders are named by.
+USAGE_BY_MONTH, MONTH = "product_usage_by_month", "usage_month"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share, ``spark.checkpoint.dir``; only in local mode one is made where it is unset."""
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -41,6 +45,20 @@ def load(spark: SparkSession, folder: str, name: str, form: str = "parquet") ->
     return typed(raw, schema)
 
 
+def write_usage(usage: DataFrame, folder: str) -> None:
+    """Usage in a folder a month of ``usage_date``, rows without a day in one of their own; large months are split over several files."""
+    rows = typed(usage, T.StructType.fromDDL(SCHEMAS["product_usage"])).withColumn(MONTH, F.trunc("usage_date", "month")).hint("rebalance", MONTH)
+    write(rows, f"{folder.rstrip('/')}/{USAGE_BY_MONTH}", by=(MONTH,))
+
+
+def recent_usage(spark: SparkSession, folder: str, snapshot: DataFrame, days: int = 90) -> DataFrame:
+    """Usage of the last days before a snapshot; folders of earlier months are passed over once the snapshot's day is known."""
+    usage = spark.read.schema(f"{SCHEMAS['product_usage']}, {MONTH} date").parquet(f"{folder.rstrip('/')}/{USAGE_BY_MONTH}")
+    first = F.date_sub("snapshot_date", days - 1)
+    near = F.col(MONTH) >= snapshot.select(F.trunc(first, "month")).scalar()
+    return usage.where(near & (F.col("usage_date") >= snapshot.select(first).scalar())).drop(MONTH)
+
+
 def load_mart(spark: SparkSession, path: str, schema: T.StructType, form: str = "parquet") -> DataFrame:
     """A written mart with its declared types; text formats are read as text and cast."""
     if form == "csv":
@@ -96,8 +114,8 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(where, True)
 
 
-def write(mart: DataFrame, path: str, form: str = "parquet") -> None:
-    """One folder a mart; NaN goes out as null in text formats.
+def write(mart: DataFrame, path: str, form: str = "parquet", by: tuple[str, ...] = ()) -> None:
+    """One folder a mart, with one below for each value of the columns ``by``; NaN goes out as null in text formats.
 
     Nothing is overwritten in place: rows go to a folder of their own beside ``path``, which
     takes its name once they are all there. If writing fails, what was there before stays
@@ -108,7 +126,7 @@ def write(mart: DataFrame, path: str, form: str = "parquet") -> None:
         mart = mart.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in mart.dtypes])
     staged, before = (f"{path}.{state}-{uuid.uuid4().hex}" for state in ("staged", "before"))
     try:
-        writer = mart.write.format(form)
+        writer = mart.write.format(form).partitionBy(*by) if by else mart.write.format(form)
         (writer.option("header", True) if form == "csv" else writer).save(staged)
         there = exists(spark, path)
         if there:
@@ -125,6 +143,30 @@ def write(mart: DataFrame, path: str, form: str = "parquet") -> None:
         remove(spark, staged)
 
 
+def write_table(mart: DataFrame, table: str, key: str, buckets: int) -> None:
+    """A table bucketed and sorted by a key; tables of equal buckets join and group by it without an exchange.
+
+    As with ``write``, rows go to a table of their own first, which then takes the name.
+    """
+    spark, tag = mart.sparkSession, uuid.uuid4().hex
+    staged, before = f"{table}_staged_{tag}", f"{table}_before_{tag}"
+    try:
+        mart.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).format("parquet").saveAsTable(staged)
+        there = spark.catalog.tableExists(table)
+        if there:
+            spark.sql(f"ALTER TABLE {table} RENAME TO {before}")
+        try:
+            spark.sql(f"ALTER TABLE {staged} RENAME TO {table}")
+        except Exception:
+            if there:
+                spark.sql(f"ALTER TABLE {before} RENAME TO {table}")
+            raise
+        if there:
+            spark.sql(f"DROP TABLE {before}")
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {staged}")
+
+
 def _renamed(spark: SparkSession, path: str, to: str) -> None:
     where, store = _store(spark, path)
     if not store.rename(where, _store(spark, to)[0]):
