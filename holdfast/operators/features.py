@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import lcm
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +70,8 @@ def payment_windows(payments: DataFrame, subscriptions: DataFrame, snapshot: Dat
     """Revenue, failures of the last 90 days and contraction, a row for each customer who has ever paid.
 
     A customer without a paid payment has no row, so failures don't count either, unless ``count_unpaid``.
+    Means are a whole number of ten-thousandths over another, divided once, so that they are the doubles next to
+    the exact means whatever order payments come in, and round as these do.
     """
     age, paid, amount = F.datediff("snapshot_date", "payment_date"), F.col("payment_status") == "paid", F.col("amount")
     recent, prior = age < 90, (age >= 90) & (age < 180)
@@ -77,11 +80,13 @@ def payment_windows(payments: DataFrame, subscriptions: DataFrame, snapshot: Dat
         count_if(paid).alias("n_paid"),
         F.sum(F.when(paid, amount).cast("decimal(28,4)")).alias("revenue"),
         count_if(recent & (F.col("payment_status") == "failed")).alias("failed"),
-        *[c for name, when in (("all", paid), ("recent", recent & paid), ("prior", prior & paid)) for c in (F.sum(F.when(when, amount)).alias(f"{name}_sum"), count_if(when & amount.isNotNull()).alias(f"{name}_n"))],
+        *[c for name, when in (("all", paid), ("recent", recent & paid), ("prior", prior & paid)) for c in (F.sum(F.when(when, amount).cast("decimal(28,4)")).alias(f"{name}_sum"), count_if(when & amount.isNotNull()).alias(f"{name}_n"))],
     )
     cycles = subscriptions.select("customer_id", cycle_months().alias("cycle_months"))
     rows = own.join(cycles, "customer_id", "left").withColumn("cycle_months", F.coalesce("cycle_months", F.lit(1)))
-    per_month = lambda name: F.try_divide(F.sum(F.col(f"{name}_sum") / F.col("cycle_months")), F.sum(f"{name}_n"))
+    year = lcm(*CYCLE_MONTHS.values())
+    whole = lambda name: F.sum(F.col(f"{name}_sum") * F.expr(f"{year} div cycle_months").cast("int") * 10_000).cast("double")
+    per_month = lambda name: F.try_divide(whole(name), F.sum(f"{name}_n") * year * 10_000)
     rows = rows.groupBy("customer_id").agg(
         F.sum("n_paid").alias("n_paid"),
         F.coalesce(F.sum("revenue"), F.lit(0).cast("decimal(38,4)")).cast("double").alias("lifetime_revenue"),

@@ -91,6 +91,16 @@ def test_payments(spark):
     assert {r.customer_id: r.failed_payments_90d for r in features.payment_windows(pays, s, day(spark, "2024-06-30"), True).collect()}[2] == 1
 
 
+def test_mean_payments_round_as_their_exact_mean(spark):
+    # added as doubles, the cents are lost beside the large amounts, all or some of them as the order has it
+    amounts = [float(v) for v in "3E14 0.01 0.01 0.01 -3E14".split()]
+    rows = [(k, 1, d("2024-06-01"), v, "paid") for k, v in enumerate(amounts)]
+    pays = spark.createDataFrame(rows, "payment_id long, customer_id long, payment_date date, amount double, payment_status string")
+    s = subs(spark, [(1, "2024-01-01", None, 1, "Quarterly", "active")])
+    for some in (pays, pays.orderBy(F.desc("payment_id")), pays.repartition(3, "payment_id")):
+        assert features.payment_windows(some, s, day(spark, "2024-06-30")).first().avg_monthly_revenue_calc == 0.002
+
+
 def test_percent_rank_shares_ties(spark):
     rows = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 1.0), (4, -3.0), (5, 1e9)], "k long, v double")
     got = {r.k: r["rank"] for r in percent_rank_avg(rows, "k", "v").collect()}
