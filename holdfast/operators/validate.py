@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import count_if, money, rnd
+from ..functions.columns import count_if, money, rnd, share
 from ..params import ALL, BASELINE_PRIORITY, BASELINE_SHARES, DIMS, MAX_PRIORITY_DRIFT, MAX_TIER_DRIFT, MIN_TREND_BASE, PAYMENT_STATUSES, SHAPES, STATUSES, TIERS
 from .contracts import CONTRACTS
 from .profile import repeats
@@ -163,9 +163,14 @@ def rank_neighbours(ranked: DataFrame, block: int = 1 << 20) -> DataFrame:
 
 
 def refolded_beside(refolded: DataFrame, trend: DataFrame) -> DataFrame:
-    """The dimensional facts summed up by month beside the official trend."""
-    rates = ("customer_churn_rate", "revenue_churn_rate")
-    return refolded.select("month", *[F.col(c).alias(f"{c}_a") for c in rates]).join(trend.select("month", *[F.coalesce(c, F.lit(0.0)).alias(f"{c}_b") for c in rates]), "month")
+    """The dimensional facts summed up by month beside the official trend; their rates are not rounded, so that no difference is rounded twice."""
+    zero = F.lit(0.0)
+    again = {
+        "customer_churn_rate": share(F.col("churned_customers"), F.col("active_customers_start")),
+        "revenue_churn_rate": share(F.col("churned_mrr"), F.col("active_mrr_start")),
+    }
+    ours = refolded.select("month", *[F.coalesce(r, zero).alias(f"{c}_a") for c, r in again.items()])
+    return ours.join(trend.select("month", *[F.coalesce(c, zero).alias(f"{c}_b") for c in again]), "month")
 
 
 # --- checks

@@ -101,6 +101,15 @@ def test_mean_payments_round_as_their_exact_mean(spark):
         assert features.payment_windows(some, s, day(spark, "2024-06-30")).first().avg_monthly_revenue_calc == 0.002
 
 
+def test_differences_from_the_trend_are_rounded_once(spark):
+    # 0.00200049699... is 0.0020004970 to eight places and 0.002000 to six: apart by 0.0000004970, not by 0.0000005
+    facts = spark.createDataFrame([(d("2024-01-01"), 40_240_000, 1.0, 80_500, 0.0)], "month date, active_customers_start long, active_mrr_start double, churned_customers long, churned_mrr double")
+    official = spark.createDataFrame([(d("2024-01-01"), 80_500 / 40_240_000 - 4.97e-7, 0.0)], "month date, customer_churn_rate double, revenue_churn_rate double")
+    refolded = trend.trend_filtered(facts)
+    (row,) = validate.rows({"k": validate._dashboard([])["kpi_cube_vs_trend"]}, {"refolded": lambda: validate.refolded_beside(refolded, official)}).collect()
+    assert row.status == "PASS" and "max_customer_diff=0.000000;" in row.evidence
+
+
 def test_percent_rank_shares_ties(spark):
     rows = spark.createDataFrame([(1, 5.0), (2, 5.0), (3, 1.0), (4, -3.0), (5, 1e9)], "k long, v double")
     got = {r.k: r["rank"] for r in percent_rank_avg(rows, "k", "v").collect()}
