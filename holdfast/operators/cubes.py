@@ -16,7 +16,7 @@ ACCOUNT_COLUMNS = ["customer_id", *DIMS, "current_mrr", "at_risk_flag", "usage_t
 
 def snapshot_enriched(features: DataFrame, scores: DataFrame) -> DataFrame:
     """All customers with their scores; who has none is churned, or low where not churned."""
-    rows = features.join(scores.select("customer_id", *_RISK), "customer_id", "left")
+    rows = features.join(scores.select("customer_id", *_RISK).hint("merge"), "customer_id", "left")
     return rows.withColumns(
         {
             "risk_tier": F.coalesce("risk_tier", F.when(F.col("churn_flag") == 1, "churned").otherwise("low")),

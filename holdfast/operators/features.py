@@ -83,7 +83,7 @@ def payment_windows(payments: DataFrame, subscriptions: DataFrame, snapshot: Dat
         *[c for name, when in (("all", paid), ("recent", recent & paid), ("prior", prior & paid)) for c in (F.sum(F.when(when, amount).cast("decimal(28,4)")).alias(f"{name}_sum"), count_if(when & amount.isNotNull()).alias(f"{name}_n"))],
     )
     cycles = subscriptions.select("customer_id", cycle_months().alias("cycle_months"))
-    rows = own.join(cycles, "customer_id", "left").withColumn("cycle_months", F.coalesce("cycle_months", F.lit(1)))
+    rows = own.join(cycles.hint("merge"), "customer_id", "left").withColumn("cycle_months", F.coalesce("cycle_months", F.lit(1)))
     year = lcm(*CYCLE_MONTHS.values())
     whole = lambda name: F.sum(F.col(f"{name}_sum") * F.expr(f"{year} div cycle_months").cast("int") * 10_000).cast("double")
     per_month = lambda name: F.try_divide(whole(name), F.sum(f"{name}_n") * year * 10_000)
@@ -115,8 +115,8 @@ def customer_features(customers: DataFrame, subscriptions: DataFrame, usage: Dat
     churned = F.col("status") == "churned"
     renewal = F.datediff(next_renewal(start, today, cycle_months()), today)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rows = beside(customers.join(subscriptions, "customer_id"), snapshot)
-    rows = rows.join(usage_windows(usage, snapshot), "customer_id", "left").join(payment_windows(payments, subscriptions, snapshot), "customer_id", "left")
+    rows = beside(customers.join(subscriptions.hint("merge"), "customer_id"), snapshot)
+    rows = rows.join(usage_windows(usage, snapshot).hint("merge"), "customer_id", "left").join(payment_windows(payments, subscriptions, snapshot).hint("merge"), "customer_id", "left")
     return rows.select(
         "customer_id",
         "segment",

@@ -47,7 +47,7 @@ def revenue_scores(rows: DataFrame) -> DataFrame:
     """From the mean percent ranks of three amounts, ties sharing theirs."""
     weight = F.create_map(*[F.lit(x) for kv in RANK_WEIGHTS.items() for x in kv])[F.col("name")]
     ranks = percent_rank_avg(rows, "customer_id", *RANK_WEIGHTS).groupBy("customer_id").agg(F.sum(F.col("rank") * weight).alias("_ranks"))
-    return rows.join(ranks, "customer_id").withColumn("revenue_risk_score", rnd(F.col("_ranks") * 100.0, 2)).drop("_ranks")
+    return rows.join(ranks.hint("merge"), "customer_id").withColumn("revenue_risk_score", rnd(F.col("_ranks") * 100.0, 2)).drop("_ranks")
 
 
 def priority(churn: Column, revenue: Column) -> Column:

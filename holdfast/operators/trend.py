@@ -87,7 +87,7 @@ def dimensional_trend(features: DataFrame, subscriptions: DataFrame, snapshot: D
     Each combination's changes run up over its own months; customers without all dimensions stay out.
     """
     dims = list(DIMS)
-    subs = subscriptions.join(features.select("customer_id", *dims).dropna(subset=dims), "customer_id")
+    subs = subscriptions.join(features.select("customer_id", *dims).dropna(subset=dims).hint("merge"), "customer_id")
     changes = month_changes(subs, *dims)
     first = changes.groupBy(*dims).agg(F.min("month").alias("first"))
     grid = beside(first, snapshot).select(

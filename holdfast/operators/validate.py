@@ -86,7 +86,7 @@ def _counted(category: str, name: str, otherwise: str, view: str, figures: dict[
 
 
 def with_signup(subscriptions: DataFrame, customers: DataFrame) -> DataFrame:
-    return subscriptions.join(customers.select("customer_id", "signup_date"), "customer_id", "left")
+    return subscriptions.join(customers.select("customer_id", "signup_date").hint("merge"), "customer_id", "left")
 
 
 def overlapping(subscriptions: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def outside(usage: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """Usage that none of the customer's subscriptions contains."""
     u, s = usage.where("usage_date is not null").alias("u"), subscriptions.alias("s")
     inside = (F.col("u.usage_date") >= F.col("s.subscription_start_date")) & (F.col("s.subscription_end_date").isNull() | (F.col("u.usage_date") <= F.col("s.subscription_end_date")))
-    return u.join(s, (F.col("u.customer_id") == F.col("s.customer_id")) & inside, "left_anti")
+    return u.join(s.hint("merge"), (F.col("u.customer_id") == F.col("s.customer_id")) & inside, "left_anti")
 
 
 def with_span(payments: DataFrame, subscriptions: DataFrame) -> DataFrame:
@@ -109,11 +109,11 @@ def with_span(payments: DataFrame, subscriptions: DataFrame) -> DataFrame:
     spans = subscriptions.groupBy("customer_id").agg(
         F.min("subscription_start_date").alias("a"), F.max("subscription_end_date").alias("b"), F.max(F.col("subscription_end_date").isNull()).alias("open")
     )
-    return payments.join(spans, "customer_id", "left")
+    return payments.join(spans.hint("merge"), "customer_id", "left")
 
 
 def with_status(features: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    return features.select("customer_id", "churn_flag", "at_risk_flag").join(subscriptions.select("customer_id", "status"), "customer_id", "left")
+    return features.select("customer_id", "churn_flag", "at_risk_flag").join(subscriptions.select("customer_id", "status").hint("merge"), "customer_id", "left")
 
 
 def risk_again(features: DataFrame, segments: DataFrame) -> DataFrame:

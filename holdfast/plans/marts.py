@@ -21,7 +21,7 @@ class Marts:
     are computed, so that a report over many of them plans and runs each once; without it
     every mart is its own plan. With ``cut`` the marts that many others are made from are
     written as checkpoints when they are first asked for, so that what reads them is planned
-    without what they were made of. ``release`` gives the kept ones back.
+    without what they were made of, and its tasks don't carry it. ``release`` gives the kept ones back.
     """
 
     def __init__(self, customers: DataFrame, subscriptions: DataFrame, usage: DataFrame, payments: DataFrame, shared: bool = False, many: Callable[[], DataFrame] | None = None, recent: Callable[[DataFrame], DataFrame] | None = None, cut: bool = False):
@@ -54,7 +54,8 @@ class Marts:
         if not self.cut:
             return self._keep(df)
         sources.shared_folder(df.sparkSession)
-        return df.checkpoint()
+        # as many parts as its rows are worth: each shuffle that reads it opens a file for each part and each of its own
+        return df.hint("rebalance").checkpoint()
 
     def release(self) -> None:
         while self._kept:

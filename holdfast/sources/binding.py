@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 
 class Star:
-    """Lazy views of customers, subscriptions, product usage and payments over one folder of tables."""
+    """Lazy views of customers, subscriptions, product usage and payments over one folder of tables.
+
+    Tables that grow meet by merging. Their files are small beside their rows, so that Spark would take
+    a few of their columns for small enough to send to the driver and to all executors.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
@@ -36,7 +40,7 @@ class Star:
         return (
             self._read("customer")
             .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-            .join(first, F.col("c_custkey") == F.col("o_custkey"), "left")
+            .join(first.hint("merge"), F.col("c_custkey") == F.col("o_custkey"), "left")
             .select(
                 F.col("c_custkey").alias("customer_id"),
                 F.col("f.day").alias("signup_date"),
@@ -69,7 +73,7 @@ class Star:
     def subscriptions_multi(self) -> DataFrame:
         """One subscription an order, so that overlaps and gaps occur."""
         last = self._read("lineitem").groupBy("l_orderkey").agg(F.max(F.col("l_shipdate").cast("date")).alias("subscription_end_date"))
-        return self._orders().join(last, F.col("o_orderkey") == F.col("l_orderkey")).select(
+        return self._orders().join(last.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey")).select(
             F.col("o_orderkey").alias("subscription_id"),
             F.col("o_custkey").alias("customer_id"),
             F.col("day").alias("subscription_start_date"),
@@ -82,7 +86,7 @@ class Star:
         lines = lines.withColumn("usage_date", F.col("l_shipdate").cast("date"))
         owner = self._read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id"))
         return (
-            lines.join(owner, "l_orderkey")
+            lines.join(owner.hint("merge"), "l_orderkey")
             .crossJoin(F.broadcast(self.last_day))
             .where("usage_date <= last_day")
             .select(

@@ -9,6 +9,7 @@ from holdfast.operators import validate
 from holdfast.operators.cubes import ACCOUNT_COLUMNS
 from holdfast.plans.marts import Marts
 from holdfast.plans.queries import QUERIES
+from holdfast.sources.binding import Star
 
 from .conftest import DATA
 
@@ -58,3 +59,26 @@ def test_rank_neighbours_meet_across_blocks(spark, block):
 def test_summary_is_read_off_the_graded_rows(spark):
     (row,) = QUERIES["validation_summary"](spark, f"{DATA}/sf0.001").collect()
     assert row.checks == 31 and row.passed + row.warned + row.failed == 31
+
+
+def test_tables_that_grow_are_merged_and_not_broadcast(spark):
+    for rows in (Star(spark, f"{DATA}/sf0.001").usage(), Star(spark, f"{DATA}/sf0.001").subscriptions_multi()):
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize("name", ["risk_tier", "scored_filtered", "contract_row_count_nonzero", "val_priority_monotone"])
+def test_scored_queries_carry_no_plan_of_the_features(spark, name):
+    rows = QUERIES[name](spark, f"{DATA}/sf0.001")
+    plan = rows._jdf.queryExecution().analyzed().toString()
+    assert "LogicalRDD" in plan and "c_mktsegment" not in plan and rows.count() > 0
+
+
+def test_checkpoints_have_as_many_parts_as_their_rows_are_worth(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "50")
+    try:
+        m = Marts.of_star(spark, f"{DATA}/sf0.001", shared=True, cut=True)
+        assert m.features.rdd.getNumPartitions() < 10
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
