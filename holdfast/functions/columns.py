@@ -41,5 +41,10 @@ def month_number(c: Column | str) -> Column:
 
 
 def beside(df: DataFrame, one: DataFrame) -> DataFrame:
-    """Every row of ``df`` with the columns of a one-row table."""
-    return df.crossJoin(F.broadcast(one))
+    """Every row of ``df`` with the columns of a one-row table.
+
+    They come as a scalar value, not by a nested loop join: where there is such a join Spark leaves
+    a shuffle in parts of 1 MB at most, each of which opens a file for each part of the next.
+    """
+    value = one.select(F.struct(*one.columns).alias("one")).scalar()
+    return df.select("*", *[value[c].alias(c) for c in one.columns])

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that are drawn to cut an order into ranges, and how many cuts are looked through at once.
-DRAWN, STEP = 255, 16
+from .columns import beside
+
+#: Rows that are drawn to cut an order into ranges.
+DRAWN = 255
 
 
 def _bucket(v: Column) -> Column:
@@ -50,18 +52,21 @@ def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]], *by: str) ->
 
 
 def _cuts(df: DataFrame, columns: list[Column], drawn: int, by: list[Column]) -> DataFrame:
-    """One row: for each column the sorted distinct values (``fine``) of ``drawn`` rows, those of the smallest hashes, so that they are the same each time, and every ``STEP``-th of them (``coarse``)."""
+    """One row: for each column the sorted distinct values of ``drawn`` rows, those of the smallest hashes, so that they are the same each time."""
     some = df.select(F.xxhash64(*by).alias("h"), *[c.alias(f"c{k}") for k, c in enumerate(columns)])
     some = some.orderBy("h", *[f"c{k}" for k in range(len(columns))]).limit(drawn)
-    cuts = some.agg(*[F.array_sort(F.collect_set(f"c{k}")).alias(f"c{k}") for k in range(len(columns))])
-    return cuts.select(*[F.struct(F.col(c).alias("fine"), F.filter(c, lambda _, i: (i + 1) % STEP == 0).alias("coarse")).alias(f"cuts{k}") for k, c in enumerate(cuts.columns)])
+    return some.agg(*[F.array_sort(F.collect_set(f"c{k}")).alias(f"cuts{k}") for k in range(len(columns))])
+
 
+def _below(df: DataFrame, cuts: str, v: str, out: str, drawn: int) -> DataFrame:
+    """``df`` with the number of its sorted ``cuts``, ``drawn`` at most, that are smaller than ``v``.
 
-def _below(cuts: Column, v: Column) -> tuple[Column, Column]:
-    """How many of the sorted cuts are smaller than ``v``, and whether it is one of them."""
-    step = F.size(F.filter(cuts["coarse"], lambda c: c < v)) * STEP
-    fine = F.slice(cuts["fine"], step + 1, STEP)
-    return step + F.size(F.filter(fine, lambda c: c < v)), F.exists(fine, lambda c: c == v)
+    By halving, each step a column of its own: the steps are compiled, as functions of arrays are not.
+    """
+    rows = df.withColumn(out, F.lit(0))
+    for step in (1 << k for k in reversed(range(drawn.bit_length()))):
+        rows = rows.withColumn(out, F.col(out) + F.when(F.get(cuts, F.col(out) + (step - 1)) < F.col(v), step).otherwise(0))
+    return rows
 
 
 def percent_rank_avg(df: DataFrame, key: str, *values: str, drawn: int = DRAWN) -> DataFrame:
@@ -75,8 +80,8 @@ def percent_rank_avg(df: DataFrame, key: str, *values: str, drawn: int = DRAWN)
     """
     spread = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"cuts{k}").alias("cuts")) for k, c in enumerate(values)])
     cuts = _cuts(df, [F.col(c).cast("double") for c in values], drawn, [F.col(key)]).select(F.inline(spread))
-    below, tied = _below(F.col("cuts"), F.col("v"))
-    rows = _listed(df, list(values), key).join(F.broadcast(cuts), "name").select(key, "name", "v", below.alias("range"), tied.alias("tied"))
+    rows = _below(_listed(df, list(values), key).join(F.broadcast(cuts), "name"), "cuts", "v", "range", drawn)
+    rows = rows.select(key, "name", "v", "range", F.coalesce(F.get("cuts", F.col("range")) == F.col("v"), F.lit(False)).alias("tied"))
     parts = ["name", "range", "tied"]
     every = Window.partitionBy("name")
     upto = every.orderBy("range", "tied").rowsBetween(Window.unboundedPreceding, -1)  # of the ranges' counts
@@ -96,8 +101,8 @@ def ordinal(df: DataFrame, first: str, *then: str | Column, out: str = "rank", d
     """
     order = [F.col(first).isNull(), -F.col(first), *(F.col(c) if isinstance(c, str) else c for c in then)]
     place = F.struct(*[c.alias(f"k{k}") for k, c in enumerate(order)])
-    rows = df.withColumn("_place", place).crossJoin(F.broadcast(_cuts(df, [place], drawn, order)))
-    rows = rows.withColumn("_range", _below(F.col("cuts0"), F.col("_place"))[0]).drop("cuts0")
+    rows = beside(df.withColumn("_place", place), _cuts(df, [place], drawn, order))
+    rows = _below(rows, "cuts0", "_place", "_range", drawn).drop("cuts0")
     upto = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # of the ranges' counts
     counts = rows.groupBy("_range").agg(F.count("*").alias("_m")).select("_range", F.coalesce(F.sum("_m").over(upto), F.lit(0)).alias("_base"))
     number = F.row_number().over(Window.partitionBy("_range").orderBy("_place"))

@@ -12,14 +12,23 @@ from ..functions.columns import beside, count_if, flag, money, month_number, rnd
 from ..params import CONTRACTION_SHARE, CYCLE_MONTHS, RENEWAL_NEAR_DAYS
 
 
-def snapshot_date(*columns: tuple[DataFrame, str]) -> DataFrame:
-    """One row: the latest day of all given columns, nulls left out. Each table is read once."""
+def snapshot_date(*columns: tuple[DataFrame, str], last: tuple[DataFrame, str] | None = None) -> DataFrame:
+    """One row: the latest day of all given columns, nulls left out. Each table is read once.
+
+    ``last`` is the column of the largest table. Only its days after the others' latest can change the
+    result, so that the others are dropped where it is read, before what it is made of meets.
+    """
     tables: dict[int, tuple[DataFrame, list[str]]] = {}
     for df, c in columns:
         tables.setdefault(id(df), (df, []))[1].append(c)
     latest = lambda cs: F.greatest(*[F.max(c) for c in cs]) if len(cs) > 1 else F.max(cs[0])
     days = [df.agg(latest(cs).alias("day")) for df, cs in tables.values()]
-    return reduce(DataFrame.union, days).agg(F.max("day").alias("snapshot_date"))
+    found = reduce(DataFrame.union, days).agg(F.max("day").alias("snapshot_date"))
+    if last is None:
+        return found
+    df, c = last
+    later = df.where(F.coalesce(F.col(c) > found.scalar(), F.lit(True))).agg(F.max(c).alias("day"))
+    return found.union(later).agg(F.max("snapshot_date").alias("snapshot_date"))
 
 
 def cycle_months(c: str = "billing_cycle") -> Column:

@@ -73,7 +73,7 @@ class Marts:
     @cached_property
     def snapshot(self) -> DataFrame:
         s = self.subscriptions
-        days = features.snapshot_date((s, "subscription_start_date"), (s, "subscription_end_date"), (self.usage, "usage_date"), (self.payments, "payment_date"))
+        days = features.snapshot_date((s, "subscription_start_date"), (s, "subscription_end_date"), (self.payments, "payment_date"), last=(self.usage, "usage_date"))
         self._kept.append(days.persist())  # one row
         return days
 
@@ -81,7 +81,7 @@ class Marts:
     def profile_snapshot(self) -> DataFrame:
         s = self.subscriptions
         return features.snapshot_date(
-            (self.customers, "signup_date"), (s, "subscription_start_date"), (s, "subscription_end_date"), (self.usage, "usage_date"), (self.payments, "payment_date")
+            (self.customers, "signup_date"), (s, "subscription_start_date"), (s, "subscription_end_date"), (self.payments, "payment_date"), last=(self.usage, "usage_date")
         )
 
     @cached_property

@@ -7,6 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import beside
+
 
 class Star:
     """Lazy views of customers, subscriptions, product usage and payments over one folder of tables.
@@ -59,7 +61,7 @@ class Star:
         idle = F.datediff("last_day", "b")
         per_month = (F.col("total").cast("double") / (months(F.col("b")) - months(F.col("a")) + 1)).cast("decimal(38,10)")
         k = F.col("o_custkey")
-        return own.crossJoin(F.broadcast(self.last_day)).select(
+        return beside(own, self.last_day).select(
             k.alias("subscription_id"),
             k.alias("customer_id"),
             F.col("a").alias("subscription_start_date"),
@@ -86,8 +88,7 @@ class Star:
         lines = lines.withColumn("usage_date", F.col("l_shipdate").cast("date"))
         owner = self._read("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("customer_id"))
         return (
-            lines.join(owner.hint("merge"), "l_orderkey")
-            .crossJoin(F.broadcast(self.last_day))
+            beside(lines.join(owner.hint("merge"), "l_orderkey"), self.last_day)
             .where("usage_date <= last_day")
             .select(
                 F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("usage_id"),
