@@ -173,7 +173,8 @@ class Marts:
 
     @cached_property
     def accounts(self) -> DataFrame:
-        return self._keep(cubes.scored_accounts(self.enriched))
+        rows = cubes.scored_accounts(self.enriched)
+        return rows if self.cut else self._keep(rows)  # two checkpoints that are merged: a scope's filter reaches them
 
     @cached_property
     def cube(self) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Steps that the queries on features and scores share, as they grow: no nested loops, compiled range search."""
+"""Steps that the queries on features and scores share, as they grow: no nested loops, compiled range search, nothing kept that is read once."""
 
 from bisect import bisect_left
 from datetime import date
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from holdfast.functions.ranks import _below
 from holdfast.operators.features import snapshot_date
 from holdfast.plans.marts import Marts
+from holdfast.plans.queries import QUERIES
 
 from .conftest import DATA
 
@@ -23,6 +24,11 @@ def test_one_row_tables_are_values_and_not_nested_loops(spark):
         assert "NestedLoop" not in _plan(rows) and "CartesianProduct" not in _plan(rows)
 
 
+@pytest.mark.parametrize("name", ["risk_kpi_lookup", "scored_filtered"])
+def test_accounts_that_are_read_once_are_not_kept(spark, name):
+    assert "InMemoryTableScan" not in _plan(QUERIES[name](spark, f"{DATA}/sf0.001"))
+
+
 @pytest.mark.parametrize("others, last, wanted", [([3], [1, None, 5], 5), ([3], [1, 3], 3), ([None], [2, 4], 4), ([3, None], [None], 3), ([], [1], 1), ([2], [], 2), ([None], [], None)])
 def test_latest_day_with_the_largest_table_read_beyond_the_others(spark, others, last, wanted):
     day = lambda k: k and date(2020, 1, k)
