@@ -12,6 +12,22 @@ def rnd(c: Column | str, digits: int) -> Column:
     return F.round(c.cast("decimal(38,10)"), digits).cast("double")
 
 
+def rnd_large(c: Column | str, digits: int) -> Column:
+    """``rnd`` of amounts beyond some 4e8, with ties as the SQL's cast to DECIMAL(38,10) leaves them.
+
+    The cast takes the double nearest to 10^10 times the amount, in which half a unit of large amounts may come
+    a little lower; ``rnd`` takes the amount's decimal digits, and always rounds half a unit up.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    unit, part = 10 ** (10 - digits), 2**32
+    held = F.abs(c) * 1e10
+    high = F.floor(held / part)  # both parts are whole numbers, so that no digit of the product is lost
+    low = F.rint(held - high * float(part)).cast("bigint")
+    whole = high.cast("decimal(19,0)") * F.lit(part).cast("decimal(10,0)") + low.cast("decimal(10,0)")
+    units = F.call_function("div", whole + F.lit(unit // 2).cast("decimal(10,0)"), F.lit(unit).cast("decimal(11,0)"))
+    return F.when(F.abs(c) < 1e15, F.signum(c) * units / 10**digits + F.lit(0.0)).otherwise(rnd(c, digits))
+
+
 def money(c: Column | str) -> Column:
     """Exact sum of a column of cents, as a double; of no rows it is 0."""
     c = F.col(c) if isinstance(c, str) else c
