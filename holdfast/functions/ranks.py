@@ -78,19 +78,24 @@ def percent_rank_avg(df: DataFrame, key: str, *values: str, drawn: int = DRAWN)
     dealt out by key. A value that many rows share is drawn almost surely, so no range has
     many more rows than others.
     """
-    spread = F.array(*[F.struct(F.lit(c).alias("name"), F.col(f"cuts{k}").alias("cuts")) for k, c in enumerate(values)])
+    spread = F.array(*[F.struct(F.lit(k).alias("of"), F.col(f"cuts{k}").alias("cuts")) for k in range(len(values))])
     cuts = _cuts(df, [F.col(c).cast("double") for c in values], drawn, [F.col(key)]).select(F.inline(spread))
-    rows = _below(_listed(df, list(values), key).join(F.broadcast(cuts), "name"), "cuts", "v", "range", drawn)
-    rows = rows.select(key, "name", "v", "range", F.coalesce(F.get("cuts", F.col("range")) == F.col("v"), F.lit(False)).alias("tied"))
-    parts = ["name", "range", "tied"]
-    every = Window.partitionBy("name")
-    upto = every.orderBy("range", "tied").rowsBetween(Window.unboundedPreceding, -1)  # of the ranges' counts
-    counts = rows.groupBy(*parts).agg(F.count("*").alias("m"))
-    counts = counts.select(*parts, "m", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("base"), F.sum("m").over(every).alias("everyone"))
-    inside = Window.partitionBy(*parts, "dealt").orderBy("v")
-    own = F.when(F.col("tied"), (F.col("m") + 1) / 2).otherwise((F.rank().over(inside) + F.count("*").over(inside)) / 2)
-    rows = rows.withColumn("dealt", F.when(F.col("tied"), F.pmod(F.xxhash64(key), F.lit(1024))).otherwise(0)).join(F.broadcast(counts), parts)
-    return rows.select(key, "name", ((F.col("base") + own) / F.col("everyone")).alias("rank"))
+    entries = F.array(*[F.struct(F.lit(k).alias("of"), F.col(c).cast("double").alias("v")) for k, c in enumerate(values)])
+    rows = df.select(key, F.inline(entries)).where("v is not null")
+    rows = _below(rows.join(F.broadcast(cuts), "of"), "cuts", "v", "range", drawn)
+    tied = F.coalesce(F.get("cuts", F.col("range")) == F.col("v"), F.lit(False)).cast("int")
+    # column, range and tie as one number: rows are sorted by it, and counts by a whole number are broadcast as they are, not in pages of up to 64 MB
+    rows = rows.select(key, "v", ((F.col("of") * (drawn + 1) + F.col("range")) * 2 + tied).alias("part"))
+    of, tied = F.floor(F.col("part") / (2 * (drawn + 1))).cast("int"), F.col("part") % 2 == 1
+    every = Window.partitionBy(of)
+    upto = every.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # of the ranges' counts
+    counts = rows.groupBy("part").agg(F.count("*").alias("m"))
+    counts = counts.select("part", "m", F.coalesce(F.sum("m").over(upto), F.lit(0)).alias("base"), F.sum("m").over(every).alias("everyone"))
+    inside = Window.partitionBy("part", "dealt").orderBy("v")
+    own = F.when(tied, (F.col("m") + 1) / 2).otherwise((F.rank().over(inside) + F.count("*").over(inside)) / 2)
+    rows = rows.withColumn("dealt", F.when(tied, F.pmod(F.xxhash64(key), F.lit(1024))).otherwise(0)).join(F.broadcast(counts), "part")
+    name = F.get(F.array(*map(F.lit, values)), of)
+    return rows.select(key, name.alias("name"), ((F.col("base") + own) / F.col("everyone")).alias("rank"))
 
 
 def ordinal(df: DataFrame, first: str, *then: str | Column, out: str = "rank", drawn: int = DRAWN) -> DataFrame:

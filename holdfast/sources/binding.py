@@ -35,13 +35,36 @@ class Star:
         """One row, kept: the last order day."""
         return self._orders().agg(F.max("day").alias("last_day")).persist()
 
+    @cached_property
+    def owners(self) -> DataFrame:
+        """Subscriptions beside their customer's ``first`` order, from one pass over the orders."""
+        months = lambda d: F.year(d) * 12 + F.month(d)
+        own = self._orders().groupBy("o_custkey").agg(
+            F.min(F.struct("day", "o_orderkey", "o_orderpriority")).alias("first"),
+            F.min("day").alias("a"), F.max("day").alias("b"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"),
+        )
+        idle = F.datediff("last_day", "b")
+        per_month = (F.col("total").cast("double") / (months(F.col("b")) - months(F.col("a")) + 1)).cast("decimal(38,10)")
+        k = F.col("o_custkey")
+        return beside(own, self.last_day).select(
+            k.alias("subscription_id"),
+            k.alias("customer_id"),
+            F.col("a").alias("subscription_start_date"),
+            F.when(idle >= 365, F.col("b")).alias("subscription_end_date"),
+            F.round(per_month, 2).cast("double").alias("monthly_revenue"),
+            F.when(k % 2 == 0, "Annual").otherwise("Monthly").alias("contract_type"),
+            F.when(k % 3 == 0, "Monthly").when(k % 3 == 1, "Quarterly").otherwise("Annual").alias("billing_cycle"),
+            F.when(idle >= 365, "churned").when(idle >= 180, "at_risk").otherwise("active").alias("status"),
+            "first",
+        )
+
     def customers(self) -> DataFrame:
-        first = self._orders().groupBy("o_custkey").agg(F.min(F.struct("day", "o_orderkey", "o_orderpriority")).alias("f"))
+        first = self.owners.select(F.col("customer_id").alias("o_custkey"), F.col("first").alias("f"))
         places = self._read("nation").join(self._read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
         plan = F.when(F.col("c_acctbal") < 0, "Basic").when(F.col("c_acctbal") < 3000, "Growth").when(F.col("c_acctbal") < 6500, "Pro").otherwise("Enterprise")
         return (
             self._read("customer")
-            .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+            .join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))  # by hint: of two small tables joined Spark thinks them larger than customers
             .join(first.hint("merge"), F.col("c_custkey") == F.col("o_custkey"), "left")
             .select(
                 F.col("c_custkey").alias("customer_id"),
@@ -54,23 +77,7 @@ class Star:
         )
 
     def subscriptions(self) -> DataFrame:
-        months = lambda d: F.year(d) * 12 + F.month(d)
-        own = self._orders().groupBy("o_custkey").agg(
-            F.min("day").alias("a"), F.max("day").alias("b"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total")
-        )
-        idle = F.datediff("last_day", "b")
-        per_month = (F.col("total").cast("double") / (months(F.col("b")) - months(F.col("a")) + 1)).cast("decimal(38,10)")
-        k = F.col("o_custkey")
-        return beside(own, self.last_day).select(
-            k.alias("subscription_id"),
-            k.alias("customer_id"),
-            F.col("a").alias("subscription_start_date"),
-            F.when(idle >= 365, F.col("b")).alias("subscription_end_date"),
-            F.round(per_month, 2).cast("double").alias("monthly_revenue"),
-            F.when(k % 2 == 0, "Annual").otherwise("Monthly").alias("contract_type"),
-            F.when(k % 3 == 0, "Monthly").when(k % 3 == 1, "Quarterly").otherwise("Annual").alias("billing_cycle"),
-            F.when(idle >= 365, "churned").when(idle >= 180, "at_risk").otherwise("active").alias("status"),
-        )
+        return self.owners.drop("first")
 
     def subscriptions_multi(self) -> DataFrame:
         """One subscription an order, so that overlaps and gaps occur."""

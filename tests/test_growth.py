@@ -1,15 +1,17 @@
 """Steps that the queries on features and scores share, as they grow: no nested loops, compiled range search, nothing kept that is read once."""
 
+import re
 from bisect import bisect_left
 from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
 
-from holdfast.functions.ranks import _below
+from holdfast.functions.ranks import _below, percent_rank_avg
 from holdfast.operators.features import snapshot_date
 from holdfast.plans.marts import Marts
 from holdfast.plans.queries import QUERIES
+from holdfast.sources.binding import Star
 
 from .conftest import DATA
 
@@ -42,3 +44,16 @@ def test_cuts_below_a_value(spark, n):
     cuts = [float(2 * k) for k in range(n)]
     rows = spark.range(-1, 16).select(F.col("id").cast("double").alias("v"), F.lit(cuts).cast("array<double>").alias("cuts") if n else F.expr("array()").cast("array<double>").alias("cuts"))
     assert all(r.out == bisect_left(cuts, r.v) for r in _below(rows, "cuts", "v", "out", 7).collect())
+
+
+def test_customers_are_not_sent_to_the_driver_to_meet_their_nations(spark):
+    rows = Star(spark, f"{DATA}/sf0.001").customers()
+    rows.collect()
+    met = [x for x in _plan(rows).splitlines() if "Join [c_nationkey" in x or "Join [n_nationkey" in x]
+    assert met and all("BroadcastHashJoin [c_nationkey" in x and "BuildRight" in x for x in met)
+
+
+def test_percent_ranks_broadcast_by_whole_numbers(spark):
+    rows = percent_rank_avg(spark.range(50).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b")), "id", "a", "b")
+    sent = re.findall(r"HashedRelationBroadcastMode\(List\((.*?)\),", _plan(rows))
+    assert sent and all("bigint" in x and "string" not in x for x in sent)
