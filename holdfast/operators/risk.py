@@ -95,12 +95,21 @@ COLUMNS = [
 ]
 
 
-def risk_scores(features: DataFrame) -> DataFrame:
-    """All scores, one row for each customer who has not churned."""
+def scored(features: DataFrame) -> DataFrame:
+    """All scores but their context, one row for each customer who has not churned."""
     rows = revenue_scores(churn_scores(risk_signals(features)))
     rows = rows.withColumn("retention_priority_score", priority(F.col("churn_risk_score"), F.col("revenue_risk_score")))
     rows = rows.withColumns({"risk_tier": tier(), "main_risk_driver": main_driver()}).withColumn("recommended_action", action())
-    return rows.withColumn("recommendation_context", context()).select(*COLUMNS)
+    return rows.select(*[c for c in COLUMNS if c != "recommendation_context"])
+
+
+def with_context(scores: DataFrame) -> DataFrame:
+    """The context is a text of the other columns, longer than they are, and made where it is read."""
+    return scores.withColumn("recommendation_context", context()).select(*COLUMNS)
+
+
+def risk_scores(features: DataFrame) -> DataFrame:
+    return with_context(scored(features))
 
 
 def ranked(scores: DataFrame) -> DataFrame:

@@ -14,6 +14,12 @@ from ..sources import tables as sources
 from ..sources.binding import Star
 
 
+def _checkpoint(df: DataFrame) -> DataFrame:
+    """``df`` written down and cut from its plan. Its shuffles have as many parts as their rows are worth, and so has it."""
+    sources.shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 class Marts:
     """Marts over one set of raw tables.
 
@@ -32,8 +38,10 @@ class Marts:
     @classmethod
     def of_star(cls, spark: SparkSession, folder: str, shared: bool = False, cut: bool = False) -> Marts:
         s = Star(spark, folder)
+        if cut:
+            s.owners = _checkpoint(s.owners)
         out = cls(s.customers(), s.subscriptions(), s.usage(), s.payments(), shared, s.subscriptions_multi, s.recent_usage, cut)
-        out.customers, out.subscriptions = out._base(out.customers), out._base(out.subscriptions)
+        out.customers, out.subscriptions = out._base(out.customers), out.subscriptions if cut else out._base(out.subscriptions)
         out._kept.append(s.last_day)
         return out
 
@@ -51,11 +59,7 @@ class Marts:
 
     def _base(self, df: DataFrame) -> DataFrame:
         """A table or mart that others are made from."""
-        if not self.cut:
-            return self._keep(df)
-        sources.shared_folder(df.sparkSession)
-        # as many parts as its rows are worth: each shuffle that reads it opens a file for each part and each of its own
-        return df.hint("rebalance").checkpoint()
+        return _checkpoint(df) if self.cut else self._keep(df)
 
     def release(self) -> None:
         while self._kept:
@@ -157,7 +161,7 @@ class Marts:
 
     @cached_property
     def scores(self) -> DataFrame:
-        return self._base(risk.risk_scores(self.features))
+        return risk.with_context(self._base(risk.scored(self.features)))
 
     @cached_property
     def ranked(self) -> DataFrame:

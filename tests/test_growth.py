@@ -57,3 +57,19 @@ def test_percent_ranks_broadcast_by_whole_numbers(spark):
     rows = percent_rank_avg(spark.range(50).select("id", (F.col("id") % 7).alias("a"), (F.col("id") % 5).alias("b")), "id", "a", "b")
     sent = re.findall(r"HashedRelationBroadcastMode\(List\((.*?)\),", _plan(rows))
     assert sent and all("bigint" in x and "string" not in x for x in sent)
+
+
+def test_customers_and_subscriptions_come_from_one_pass_over_the_orders(spark, monkeypatch):
+    calls, own = [], Star._orders
+    monkeypatch.setattr(Star, "_orders", lambda self: calls.append(1) or own(self))
+    m = Marts.of_star(spark, f"{DATA}/sf0.001", shared=True, cut=True)
+    assert len(calls) == 3  # last day, owners, payments
+    assert "o_orderdate" not in m.subscriptions._jdf.queryExecution().analyzed().toString()
+    m.release()
+
+
+def test_contexts_are_made_where_they_are_read(spark):
+    m = Marts.of_star(spark, f"{DATA}/sf0.001", shared=True, cut=True)
+    (kept,) = [x for x in m.scores._jdf.queryExecution().analyzed().toString().splitlines() if "LogicalRDD" in x]
+    assert "recommended_action" in kept and "recommendation_context" not in kept and "recommendation_context" in m.scores.columns
+    m.release()
