@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -56,6 +56,11 @@ def month_number(c: Column | str) -> Column:
     return F.year(c) * 12 + F.month(c)
 
 
+def one_row(spark: SparkSession, **values: Column) -> DataFrame:
+    """A one-row table of constants. A scalar value of it is a constant of the plan, not a query of its own."""
+    return spark.sql("SELECT 0").select(*[v.alias(c) for c, v in values.items()])
+
+
 def beside(df: DataFrame, one: DataFrame) -> DataFrame:
     """Every row of ``df`` with the columns of a one-row table.
 

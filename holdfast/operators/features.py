@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from math import lcm
 
@@ -75,57 +76,80 @@ def monthly_equivalents(payments: DataFrame, subscriptions: DataFrame) -> DataFr
     return rows.withColumn("monthly_equivalent_amount", F.col("amount") / F.col("cycle_months"))
 
 
-def payment_windows(payments: DataFrame, subscriptions: DataFrame, snapshot: DataFrame, count_unpaid: bool = False) -> DataFrame:
-    """Revenue, failures of the last 90 days and contraction, a row for each customer who has ever paid.
+#: Sums of amounts among ``payment_sums``.
+PAYMENT_AMOUNTS = ("revenue", "all_sum", "recent_sum", "prior_sum")
+
+
+def payment_sums(exact: Callable[[Column], Column] = lambda c: c.cast("decimal(28,4)")) -> dict[str, Column]:
+    """Sums and counts of a customer's payments, taken beside ``snapshot_date``; ``exact`` makes amounts that add up exactly."""
+    age, paid, amount = F.datediff("snapshot_date", "payment_date"), F.col("payment_status") == "paid", F.col("amount")
+    recent, prior = age < 90, (age >= 90) & (age < 180)
+    out = {"n_paid": count_if(paid), "revenue": F.sum(F.when(paid, exact(amount))), "failed": count_if(recent & (F.col("payment_status") == "failed"))}
+    for name, when in (("all", paid), ("recent", recent & paid), ("prior", prior & paid)):
+        out |= {f"{name}_sum": F.sum(F.when(when, exact(amount))), f"{name}_n": count_if(when & amount.isNotNull())}
+    return out
+
+
+def _paid(total: Callable[[Column], Column]) -> list[Column]:
+    """Means and sums of the sums beside ``cycle_months``, several of which ``total`` adds up.
 
-    A customer without a paid payment has no row, so failures don't count either, unless ``count_unpaid``.
     Means are a whole number of ten-thousandths over another, divided once, so that they are the doubles next to
     the exact means whatever order payments come in, and round as these do.
     """
-    age, paid, amount = F.datediff("snapshot_date", "payment_date"), F.col("payment_status") == "paid", F.col("amount")
-    recent, prior = age < 90, (age >= 90) & (age < 180)
-    # sums and counts by customer first, so that payments meet no join; the billing cycle divides sums of amounts alike
-    own = beside(payments, snapshot).groupBy("customer_id").agg(
-        count_if(paid).alias("n_paid"),
-        F.sum(F.when(paid, amount).cast("decimal(28,4)")).alias("revenue"),
-        count_if(recent & (F.col("payment_status") == "failed")).alias("failed"),
-        *[c for name, when in (("all", paid), ("recent", recent & paid), ("prior", prior & paid)) for c in (F.sum(F.when(when, amount).cast("decimal(28,4)")).alias(f"{name}_sum"), count_if(when & amount.isNotNull()).alias(f"{name}_n"))],
-    )
-    cycles = subscriptions.select("customer_id", cycle_months().alias("cycle_months"))
-    rows = own.join(cycles.hint("merge"), "customer_id", "left").withColumn("cycle_months", F.coalesce("cycle_months", F.lit(1)))
     year = lcm(*CYCLE_MONTHS.values())
-    whole = lambda name: F.sum(F.col(f"{name}_sum") * F.expr(f"{year} div cycle_months").cast("int") * 10_000).cast("double")
-    per_month = lambda name: F.try_divide(whole(name), F.sum(f"{name}_n") * year * 10_000)
-    rows = rows.groupBy("customer_id").agg(
-        F.sum("n_paid").alias("n_paid"),
-        F.coalesce(F.sum("revenue"), F.lit(0).cast("decimal(38,4)")).cast("double").alias("lifetime_revenue"),
+    whole = lambda name: total(F.col(f"{name}_sum") * F.expr(f"{year} div cycle_months").cast("int") * 10_000).cast("double")
+    per_month = lambda name: F.try_divide(whole(name), total(F.col(f"{name}_n")) * year * 10_000)
+    return [
+        total(F.col("n_paid")).alias("n_paid"),
+        F.coalesce(total(F.col("revenue")), F.lit(0).cast("decimal(38,4)")).cast("double").alias("lifetime_revenue"),
         per_month("all").alias("avg_monthly_revenue_calc"),
-        F.sum("failed").alias("failed_payments_90d"),
+        total(F.col("failed")).alias("failed_payments_90d"),
         F.coalesce(per_month("recent"), F.lit(0.0)).alias("recent_paid"),
         F.coalesce(per_month("prior"), F.lit(0.0)).alias("prior_paid"),
-    )
-    rows = rows if count_unpaid else rows.where("n_paid > 0")
+    ]
+
+
+def _windows() -> dict[str, Column]:
     less = (F.col("prior_paid") > 0) & (F.col("recent_paid") < F.col("prior_paid") * CONTRACTION_SHARE)
-    return rows.select(
-        "customer_id",
-        "lifetime_revenue",
-        "avg_monthly_revenue_calc",
-        "failed_payments_90d",
-        flag(F.col("failed_payments_90d") > 0).alias("payment_failure_flag"),
-        "recent_paid",
-        "prior_paid",
-        flag(less).alias("contraction_flag"),
-    )
+    own = {c: F.col(c) for c in ("lifetime_revenue", "avg_monthly_revenue_calc", "failed_payments_90d", "recent_paid", "prior_paid")}
+    return own | {"payment_failure_flag": flag(F.col("failed_payments_90d") > 0), "contraction_flag": flag(less)}
+
+
+def payment_windows(payments: DataFrame, subscriptions: DataFrame, snapshot: DataFrame, count_unpaid: bool = False) -> DataFrame:
+    """Revenue, failures of the last 90 days and contraction, a row for each customer who has ever paid.
+
+    A customer without a paid payment has no row, so failures don't count either, unless ``count_unpaid``.
+    """
+    # sums and counts by customer first, so that payments meet no join; the billing cycle divides sums of amounts alike
+    own = beside(payments, snapshot).groupBy("customer_id").agg(*[c.alias(n) for n, c in payment_sums().items()])
+    cycles = subscriptions.select("customer_id", cycle_months().alias("cycle_months"))
+    rows = own.join(cycles.hint("merge"), "customer_id", "left").withColumn("cycle_months", F.coalesce("cycle_months", F.lit(1)))
+    rows = rows.groupBy("customer_id").agg(*_paid(F.sum))
+    rows = rows if count_unpaid else rows.where("n_paid > 0")
+    return rows.select("customer_id", *[c.alias(n) for n, c in _windows().items()])
+
+
+def with_payment_windows(subscriptions: DataFrame) -> DataFrame:
+    """Subscriptions, one a customer, with the windows of ``payment_windows`` in place of the payments' sums that they are beside."""
+    sums = payment_sums()
+    own = [c for c in subscriptions.columns if c not in sums]
+    rows = subscriptions.withColumn("cycle_months", cycle_months()).select(*own, *_paid(lambda c: c))
+    return rows.select(*own, *[F.when(F.col("n_paid") > 0, c).alias(n) for n, c in _windows().items()])
 
 
 def customer_features(customers: DataFrame, subscriptions: DataFrame, usage: DataFrame, payments: DataFrame, snapshot: DataFrame) -> DataFrame:
     """One row for each customer with a subscription; no usage and no payments count as zero."""
+    rows = customers.join(subscriptions.hint("merge"), "customer_id")
+    return account_features(rows.join(payment_windows(payments, subscriptions, snapshot).hint("merge"), "customer_id", "left"), usage, snapshot)
+
+
+def account_features(accounts: DataFrame, usage: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """``customer_features`` of customers that are beside their subscriptions and payment windows."""
     today, start = F.col("snapshot_date"), F.col("subscription_start_date")
     churned = F.col("status") == "churned"
     renewal = F.datediff(next_renewal(start, today, cycle_months()), today)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    rows = beside(customers.join(subscriptions.hint("merge"), "customer_id"), snapshot)
-    rows = rows.join(usage_windows(usage, snapshot).hint("merge"), "customer_id", "left").join(payment_windows(payments, subscriptions, snapshot).hint("merge"), "customer_id", "left")
+    rows = beside(accounts, snapshot).join(usage_windows(usage, snapshot).hint("merge"), "customer_id", "left")
     return rows.select(
         "customer_id",
         "segment",

@@ -31,18 +31,21 @@ class Marts:
     """
 
     def __init__(self, customers: DataFrame, subscriptions: DataFrame, usage: DataFrame, payments: DataFrame, shared: bool = False, many: Callable[[], DataFrame] | None = None, recent: Callable[[DataFrame], DataFrame] | None = None, cut: bool = False):
-        self.customers, self.subscriptions, self.usage, self.payments, self.shared, self.cut = customers, subscriptions, usage, payments, shared, cut
+        self._customers, self.subscriptions, self.usage, self.payments, self.shared, self.cut = customers, subscriptions, usage, payments, shared, cut
         self._many, self._recent = many, recent
+        self._star: Star | None = None
         self._kept: list[DataFrame] = []
 
     @classmethod
     def of_star(cls, spark: SparkSession, folder: str, shared: bool = False, cut: bool = False) -> Marts:
-        s = Star(spark, folder)
+        s = Star(spark, folder, ahead=cut)
         if cut:
             s.owners = _checkpoint(s.owners)
         out = cls(s.customers(), s.subscriptions(), s.usage(), s.payments(), shared, s.subscriptions_multi, s.recent_usage, cut)
-        out.customers, out.subscriptions = out._base(out.customers), out.subscriptions if cut else out._base(out.subscriptions)
-        out._kept.append(s.last_day)
+        out._star = s
+        if not cut:
+            out.subscriptions = out._keep(out.subscriptions)
+            out._kept.append(s.last_day)
         return out
 
     @classmethod
@@ -65,6 +68,10 @@ class Marts:
         while self._kept:
             self._kept.pop().unpersist()
 
+    @cached_property
+    def customers(self) -> DataFrame:
+        return self._base(self._customers) if self._star else self._customers
+
     @cached_property
     def many(self) -> DataFrame:
         """Several subscriptions a customer, for the checks that look for overlaps."""
@@ -76,6 +83,8 @@ class Marts:
 
     @cached_property
     def snapshot(self) -> DataFrame:
+        if self._star and self.cut:
+            return self._star.snapshot
         s = self.subscriptions
         days = features.snapshot_date((s, "subscription_start_date"), (s, "subscription_end_date"), (self.payments, "payment_date"), last=(self.usage, "usage_date"))
         self._kept.append(days.persist())  # one row
@@ -100,7 +109,9 @@ class Marts:
 
     @cached_property
     def features(self) -> DataFrame:
-        return self._base(features.customer_features(self.customers, self.subscriptions, self.recent_usage, self.payments, self.snapshot))
+        if not (self._star and self.cut):
+            return self._base(features.customer_features(self.customers, self.subscriptions, self.recent_usage, self.payments, self.snapshot))
+        return self._base(features.account_features(self._star.accounts(), self.recent_usage, self.snapshot))
 
     @cached_property
     def cohorts(self) -> DataFrame:
@@ -279,7 +290,7 @@ class Marts:
 
     def load(self, folder: str, name: str, form: str = "parquet") -> DataFrame:
         """A mart as ``write`` left it, with its own types; a later stage can start from it."""
-        return sources.load_mart(self.customers.sparkSession, f"{folder}/{name}", self.exports([name])[name].schema, form)
+        return sources.load_mart(self.payments.sparkSession, f"{folder}/{name}", self.exports([name])[name].schema, form)
 
     def write(self, folder: str, form: str = "parquet", names: list[str] | None = None) -> None:
         for name, mart in self.exports(names).items():

@@ -49,7 +49,7 @@ def _typed(m: Marts) -> DataFrame:
 
 def _round_trip(m: Marts) -> DataFrame:
     """A mart written as CSV and loaded with its own types, in a folder that driver and executors share."""
-    spark = m.customers.sparkSession
+    spark = m.payments.sparkSession
     folder = f"{shared_folder(spark)}/marts-{uuid.uuid4().hex}"
     try:
         m.write(folder, "csv", ["customer_risk_priority_ranked"])
